@@ -53,7 +53,7 @@ def psi_numeric(baseline: DataFrame, current: DataFrame, column: str) -> DataFra
     edges = bins.select("edges").scalar()
     x = F.col(column).cast("double")
     usable = current.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    placed = usable.withColumn("bin", F.size(F.filter(edges, lambda edge: edge <= F.col("_x"))))
+    placed = usable.withColumn("_edges", edges).withColumn("bin", F.size(F.filter("_edges", lambda edge: edge <= F.col("_x"))))
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t")).scalar()
     expected = bins.select(F.posexplode("expected").alias("bin", "expected_share"))
