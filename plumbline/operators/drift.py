@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import QUANTILES, frequencies, top_values
-from plumbline.operators.quantiles import cumulative, exact_quantiles
+from plumbline.operators.quantiles import band_cuts, cumulative, exact_quantiles
 
 # Fixed value: empty bins count as this share, so the logarithm stays finite.
 FLOOR = 1e-4
@@ -94,18 +94,18 @@ def ks_two_sample(current: DataFrame, prior: DataFrame, column: str, threshold:
     ever sorted in one task.
     """
 
-    def counted(df: DataFrame, mark: str) -> DataFrame:
+    def side(df: DataFrame, current_side: bool) -> DataFrame:
         x = F.col(column).cast("double") + F.lit(0.0)
-        return df.select(x.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("_side", F.lit(mark))
-
-    sides = counted(current, "a").unionByName(counted(prior, "b"))
-    values = sides.groupBy("value").agg(F.count_if(F.col("_side") == "a").alias("a"), F.count_if(F.col("_side") == "b").alias("b"))
-    totals = values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    na, nb = totals.select("na").scalar(), totals.select("nb").scalar()
-    keyed = values.withColumn("column_name", F.lit(column))
-    cdf = cumulative(keyed, {"_ca": F.col("a"), "_cb": F.col("b")})
-    gap = F.abs(F.col("_ca") / F.nullif(na, F.lit(0)) - F.col("_cb") / F.nullif(nb, F.lit(0)))
-    d = cdf.agg(F.max(gap).alias("statistic")).withColumn("n_current", na).withColumn("n_prior", nb)
+        rows = df.select(x.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        return rows.withColumn("_current", F.lit(current_side))
+
+    sides = side(current, True).unionByName(side(prior, False))
+    values = sides.groupBy("value").agg(F.count_if("_current").alias("a"), F.count_if(~F.col("_current")).alias("b"))
+    tallies = {"n_current": lambda _: F.count_if("_current"), "n_prior": lambda _: F.count_if(~F.col("_current"))}
+    cuts = band_cuts(sides, ["value"], tallies)
+    cdf = cumulative(values.withColumn("column_name", F.lit("value")), {"_ca": "a", "_cb": "b"}, cuts)
+    gap = F.abs(F.col("_ca") / F.nullif(F.col("n_current"), F.lit(0)) - F.col("_cb") / F.nullif(F.col("n_prior"), F.lit(0)))
+    d = cdf.agg(F.max(gap).alias("statistic"), F.max("n_current").alias("n_current"), F.max("n_prior").alias("n_prior"))
     scale = F.sqrt(F.col("n_current") * F.col("n_prior") / (F.col("n_current") + F.col("n_prior"))) * F.col("statistic")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import FORMAT_PATTERNS
-from plumbline.operators.quantiles import quantiles_of_counts
+from plumbline.operators.quantiles import band_cuts, quantiles_of_counts
 from plumbline.operators.schemachecks import column_kind
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -114,7 +114,7 @@ def distinct_counts(freq: DataFrame) -> DataFrame:
 
 
 def top_values(freq: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values of each column, ties by value.
+    """The ``k`` most frequent values of each column, ties by value (by digest for long texts).
 
     The rank filter keeps ``k`` rows per column on the map side before the ranking shuffle.
     """
@@ -123,12 +123,11 @@ def top_values(freq: DataFrame, k: int = 10) -> DataFrame:
 
 
 def restore_long_values(df: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Put the whole text back where :func:`frequencies` used a digest, for the few ranked rows."""
+    """Put the whole text back where :func:`frequencies` used a digest, for rows of :func:`top_values`."""
     strings = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return ranked
     picked = ranked.filter(F.col("value").startswith("sha256:")).select("column_name", "value")
-    out = ranked.withColumn("_whole", F.lit(None).cast("string"))
     cells = df.select(*[F.when(F.octet_length(F.col(f"`{f.name}`")) > LONG_TEXT, F.col(f"`{f.name}`")).alias(f.name) for f in strings])
     cells = cells.unpivot([], [F.col(f"`{f.name}`") for f in strings], "column_name", "_text").filter(F.col("_text").isNotNull())
     # `picked` holds k rows per column, so it is broadcast; one text per picked digest is kept.
@@ -148,15 +147,15 @@ def sample_values(freq: DataFrame, k: int = 5) -> DataFrame:
     return freq.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def numeric_counts(df: DataFrame, freq: DataFrame) -> DataFrame:
-    """The numeric columns' part of a frequency table, as numbers."""
+def numeric_quantiles(df: DataFrame, freq: DataFrame, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles of the numeric columns, from the numeric part of a frequency table."""
     names = [f.name for f in df.schema.fields if column_kind(f.dataType) == "numeric"]
-    value = F.col("value").try_cast("double")
-    return (
+    counts = (
         freq.filter(F.col("column_name").isin(*names))
-        .select("column_name", value.alias("value"), "n")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        .select("column_name", F.col("value").try_cast("double").alias("value"), "n")
+        .filter(F.col("value").isNotNull() & ~F.isnan("value") & ~F.col("value").isin(float("inf"), float("-inf")))
     )
+    return quantiles_of_counts(counts, probabilities, band_cuts(df, names))
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:
@@ -181,7 +180,7 @@ def profile(df: DataFrame) -> DataFrame:
     )
     samples = sample_values(freq).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
     quant = (
-        quantiles_of_counts(numeric_counts(df, freq), QUANTILES)
+        numeric_quantiles(df, freq)
         .groupBy("column_name")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("p").cast("string"), "q")))).alias("quantiles"))
     )

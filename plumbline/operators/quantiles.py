@@ -1,62 +1,87 @@
 """Exact order statistics over whole columns, without a single task ever holding a column.
 
-``percentile`` keeps a column's distinct values in one aggregation buffer. Here values are first counted
-(map-side combined), a small sketch of the *distinct* values cuts each column into bands of similar size,
-and prefix sums over the bands find the ranks. The sketch only balances the work: it never decides a result.
+``percentile`` keeps a column's distinct values in one aggregation buffer. Here a sketch (one map-side
+aggregation, no shuffle of rows) first cuts each column into bands of similar size; values are then counted
+and prefix sums over the bands find the ranks. The cut points are fixed before the main job, so every part
+of its plan, and every retry of a task, puts a value into the same band. They only balance the work: they
+never decide a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import running_totals
 
-BANDS = 64
+# Two-level search: FINE cut points are looked at within one of the coarse steps.
+FINE = 32
+SMALL = 1_000_000
+
+
+def _finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x + F.lit(0.0))
+
+
+def band_cuts(df: DataFrame, columns: Sequence[str], tallies: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """``(column_name, _coarse, _cuts, _total, tallies…)``: cut points and row counts of each column.
+
+    One aggregation over the table. What reaches the driver is at most 1024 doubles per column, a bound
+    set by the schema.
+    """
+    extra = dict(tallies or {})
+    grid = [i / (FINE * FINE) for i in range(1, FINE * FINE)]
+    aggs = []
+    for i, c in enumerate(columns):
+        x = _finite(F.col(f"`{c}`").cast("double"))
+        aggs += [F.percentile_approx(x, grid, 4096).alias(f"q{i}"), F.count(x).alias(f"n{i}")]
+        aggs += [make(x).alias(f"t{i}_{name}") for name, make in extra.items()]
+    seen = df.agg(*aggs).first()
+    rows = []
+    for i, c in enumerate(columns):
+        total = seen[f"n{i}"]
+        cuts = sorted(set(seen[f"q{i}"] or []))
+        if total < SMALL:
+            cuts = cuts[:: max(1, len(cuts) // FINE)]
+        rows.append((c, cuts[FINE - 1 :: FINE], cuts, total, *[seen[f"t{i}_{name}"] for name in extra]))
+    schema = "column_name string, _coarse array<double>, _cuts array<double>, _total bigint" + "".join(f", {name} bigint" for name in extra)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _band(value: Column) -> Column:
+    """How many cut points lie below the value."""
+    coarse = F.size(F.filter("_coarse", lambda cut: cut < value))
+    fine = F.size(F.filter(F.slice("_cuts", coarse * FINE + 1, F.lit(FINE)), lambda cut: cut < value))
+    return coarse * FINE + fine
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column_name, value double, n)`` of the finite numeric values of ``columns``."""
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column_name"), (F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    finite = F.col("value").isNotNull() & ~F.isnan("value") & ~F.col("value").isin(float("inf"), float("-inf"))
-    return cells.filter(finite).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def banded(counts: DataFrame, key: str = "column_name", value: str = "value", bands: int = BANDS) -> DataFrame:
-    """Add ``_band``: the number of sketch cut points below the value."""
-    grid = [i / bands for i in range(1, bands)]
-    # One row per key with at most `bands` doubles, and the keys are columns of one table: bounded by the
-    # schema, so it may be broadcast. A shuffle join on the key would put a whole column into one task.
-    cuts = counts.groupBy(key).agg(F.percentile_approx(value, grid, 2000).alias("_cuts"))
-    joined = counts.join(F.broadcast(cuts), key)
-    return joined.withColumn("_band", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
-
-
-def cumulative(counts: DataFrame, sums: dict[str, Column], key: str = "column_name", value: str = "value") -> DataFrame:
-    """Running sums along ``value`` within ``key``; equal-size bands keep every window small."""
-    return running_totals(banded(counts, key, value), [key], [value], sums, F.col("_band")).drop("_band")
+    cells = df.select(*[_finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "value").filter(F.col("value").isNotNull())
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cumulative(counts: DataFrame, sums: Mapping[str, str], cuts: DataFrame) -> DataFrame:
+    """Running sums along ``value`` within ``column_name``; ``sums`` maps new names to count columns.
+
+    ``cuts`` comes from :func:`band_cuts` and is small, so it is broadcast: a shuffle join on the column
+    name would put a whole column into one task.
+    """
+    banded = counts.join(F.broadcast(cuts), "column_name").withColumn("_band", _band(F.col("value"))).drop("_coarse", "_cuts")
+    return running_totals(banded, ["column_name"], ["value"], {n: F.col(c) for n, c in sums.items()}, F.col("_band")).drop("_band")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """``(column_name, p, q)`` with linear interpolation between the two nearest ranks."""
-    return quantiles_of_counts(value_counts(df, columns), probabilities)
+    return quantiles_of_counts(value_counts(df, columns), probabilities, band_cuts(df, columns))
 
 
-def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """:func:`exact_quantiles` from ready ``(column_name, value, n)`` counts."""
-    totals = counts.groupBy("column_name").agg(F.sum("n").alias("_total"))
-    ranked = cumulative(counts, {"_upto": F.col("n")}).join(F.broadcast(totals), "column_name")
+def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], cuts: DataFrame) -> DataFrame:
+    """:func:`exact_quantiles` from ready ``(column_name, value, n)`` counts and the columns' cut points."""
+    ranked = cumulative(counts, {"_upto": "n"}, cuts)
     position = lambda p: p * (F.col("_total") - 1)
     first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1
 

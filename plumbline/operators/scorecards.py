@@ -53,10 +53,12 @@ def dataset_scores(
     """
     active = checks.filter(F.col("status") == "active").select("check_id", "dataset_id", "severity")
     judged = active.join(statuses.select("check_id", *also_by, F.col("status").alias("_run")), "check_id", "left")
-    status, weight = normalise_status(F.col("_run")), severity_weight(F.col("severity"))
+    # Whole units (half weights, tenth points) sum exactly, so a score never depends on the order of rows.
+    status, weight = normalise_status(F.col("_run")), (severity_weight(F.col("severity")) * 2).cast("bigint")
+    tenths = F.round(lookup(status, STATUS_POINTS, 0.5) * 10).cast("bigint")
     points = judged.groupBy("dataset_id", *also_by).agg(
         F.sum(weight).alias("_weight"),
-        F.sum(weight * lookup(status, STATUS_POINTS, 0.5)).alias("_points"),
+        F.sum(weight * tenths).alias("_points"),
         F.count(F.lit(1)).alias("active_checks"),
         *[F.count_if(status == s).alias(f"{name}_checks") for s, name in (("pass", "passing"), ("warn", "warning"), ("fail", "failing"), ("error", "error"), ("unknown", "unknown"))],
     )
@@ -67,7 +69,7 @@ def dataset_scores(
         out = out.withColumn("open_exceptions", F.lit(0))
     counts = ["active_checks", "passing_checks", "warning_checks", "failing_checks", "error_checks", "unknown_checks", "open_exceptions"]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})
-    base = F.round(F.col("_points") / F.nullif(F.col("_weight"), F.lit(0.0)) * 100, 2)
+    base = F.round(F.col("_points") * 1000 / F.nullif(F.col("_weight"), F.lit(0))) / 100
     penalty = F.least(F.lit(MAX_PENALTY), F.col("open_exceptions") * PENALTY_PER_OPEN)
     out = out.withColumn("base_score", base).withColumn(
         "exception_penalty", F.when(F.col("base_score").isNull(), 0.0).otherwise(penalty)
@@ -92,17 +94,19 @@ def rollups(scores: DataFrame, also_by: Sequence[str] = ()) -> DataFrame:
     keyed = scores.withColumn("dataset", F.col("dataset_id").cast("string"))
     dims = [*DIMENSIONS, "dataset"]
     sets = [list(also_by), *[[*also_by, d] for d in dims]]
-    w, target = F.col("importance_weight"), F.col("slo_target").isNotNull() & (F.col("slo_status") != "disabled")
+    w, target = F.col("importance_weight").cast("bigint"), F.col("slo_target").isNotNull() & (F.col("slo_status") != "disabled")
     scored = F.col("score").isNotNull()
 
     def weighted(value: str, where: Column) -> Column:
-        return F.sum(F.when(where, F.col(value) * w)) / F.nullif(F.sum(F.when(where, w)), F.lit(0.0))
+        # Hundredths and whole weights sum exactly.
+        hundredths = F.round(F.col(value) * 100).cast("bigint")
+        return F.round(F.sum(F.when(where, hundredths * w)) / F.nullif(F.sum(F.when(where, w)), F.lit(0))) / 100
 
     counts = ["active_checks", "passing_checks", "warning_checks", "failing_checks", "error_checks", "unknown_checks", "open_exceptions"]
     grouped = keyed.groupingSets(sets, *also_by, *dims).agg(
         F.grouping_id().alias("_g"),
-        F.round(weighted("score", scored), 2).alias("score"),
-        F.round(weighted("slo_target", target), 2).alias("slo_target"),
+        weighted("score", scored).alias("score"),
+        weighted("slo_target", target).alias("slo_target"),
         F.count(F.lit(1)).alias("total_datasets"),
         F.count_if(scored).alias("scored_datasets"),
         F.count_if(target).alias("_targets"),

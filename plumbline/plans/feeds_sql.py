@@ -138,7 +138,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from (select *, round(greatest(0.0, least(100.0, base_score - exception_penalty)), 2) as score
         from (select d.dataset_id, d.table_name, d.domain, d.team, d.owner, d.importance, d.slo_enabled,
           case d.importance when 'critical' then 4.0::double when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end as importance_weight,
-          round(p.points / p.weight * 100, 2) as base_score,
+          round(p.points * 1000 / p.weight) / 100 as base_score,
           case when p.points is null then 0.0::double else least(30.0, coalesce(o.n, 0) * 2.0::double) end as exception_penalty,
           case when not d.slo_enabled then null else coalesce(d.slo_target_score,
             case d.importance when 'critical' then 98.0 when 'high' then 95.0 when 'medium' then 90.0 else 85.0 end) end as slo_target,
@@ -146,8 +146,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           coalesce(p.failing, 0) as failing_checks, coalesce(p.errors, 0) as error_checks, coalesce(p.unknowns, 0) as unknown_checks,
           coalesce(o.n, 0) as open_exceptions
           from datasets d
-          left join (select dataset_id, sum(w)::double as weight,
-              sum(w * case s when 'pass' then 1.0 when 'warn' then 0.7 when 'unknown' then 0.5 else 0.0 end)::double as points, count(*) as active_checks,
+          left join (select dataset_id, sum(w * 2)::double as weight,
+              sum(w * 2 * case s when 'pass' then 10 when 'warn' then 7 when 'unknown' then 5 else 0 end)::double as points, count(*) as active_checks,
               count(*) filter (where s = 'pass') as passing, count(*) filter (where s = 'warn') as warning, count(*) filter (where s = 'fail') as failing,
               count(*) filter (where s = 'error') as errors, count(*) filter (where s = 'unknown') as unknowns
               from judged group by dataset_id) p using (dataset_id)

@@ -63,9 +63,8 @@ NUMERIC = [c for c, t in LINE_COLUMNS.items() if t not in ("string", "timestamp_
 )
 def profile_numeric(d: Data) -> DataFrame:
     df = d.table("lineitem").select(*NUMERIC)
-    counts = profile.numeric_counts(df, profile.frequencies(df))
     names = [f"p{int(p * 100):02d}" for p in profile.QUANTILES]
-    quant = profile.quantiles_of_counts(counts, profile.QUANTILES)
+    quant = profile.numeric_quantiles(df, profile.frequencies(df))
     wide = quant.groupBy("column_name").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 4).alias(n) for p, n in zip(profile.QUANTILES, names, strict=True)])
     facts = profile.column_facts(df).select("column_name", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
     return facts.join(wide, "column_name")
@@ -74,11 +73,14 @@ def profile_numeric(d: Data) -> DataFrame:
 TOP_COLUMNS = {"customer": ["c_name", "c_nationkey", "c_mktsegment"]}
 
 
+KEYED = "case when strlen(text) > 64 then 'sha256:' || sha256(text) else text end"
+
+
 @query(
     "profile_top_values",
     _union(
         [
-            f"select * from (select '{c}' as column_name, cast({c} as varchar) as value, count(*) as n, cast(row_number() over (order by count(*) desc, cast({c} as varchar)) as int) as rank "
+            f"select * from (select '{c}' as column_name, {c} as value, count(*) as n, cast(row_number() over (order by count(*) desc, {KEYED.replace('text', c)}) as int) as rank "
             f"from documents group by {c} qualify rank <= 10)"
             for c in ("lang", "source", "text")
         ]
@@ -86,11 +88,7 @@ TOP_COLUMNS = {"customer": ["c_name", "c_nationkey", "c_mktsegment"]}
 )
 def profile_top_values(d: Data) -> DataFrame:
     df = d.table("documents").select("lang", "source", "text")
-    freq = profile.frequencies(df)
-    # Ties are broken by the whole text, not by its digest, so every tied value at the cut is restored first.
-    cut = profile.top_values(freq).groupBy("column_name").agg(F.min("n").alias("_least"))
-    near = profile.restore_long_values(df, freq.join(F.broadcast(cut), "column_name").filter((F.col("n") >= F.col("_least")) & (F.col("n") > 1)).drop("_least"))
-    return profile.top_values(near).select("column_name", "value", "n", "rank")
+    return profile.restore_long_values(df, profile.top_values(profile.frequencies(df))).select("column_name", "value", "n", "rank")
 
 
 @query(
@@ -219,7 +217,7 @@ def profiled_tables(d: Data) -> DataFrame:
         name = F.lit(t).alias("table_name")
         facts = profile.column_facts(df).select(name, "*")
         distinct = profile.distinct_counts(freq).select(name, "*")
-        p99 = profile.quantiles_of_counts(profile.numeric_counts(df, freq), [0.99]).select(name, "column_name", F.col("q").alias("p99"))
+        p99 = profile.numeric_quantiles(df, freq, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
         out.append(propose.profiled(facts, distinct, p99))
     return reduce(DataFrame.unionByName, out)
 
