@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import FORMAT_PATTERNS
-from plumbline.operators.quantiles import band_cuts, quantiles_of_counts
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.schemachecks import column_kind
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -155,7 +155,7 @@ def numeric_quantiles(df: DataFrame, freq: DataFrame, probabilities: Sequence[fl
         .select("column_name", F.col("value").try_cast("double").alias("value"), "n")
         .filter(F.col("value").isNotNull() & ~F.isnan("value") & ~F.col("value").isin(float("inf"), float("-inf")))
     )
-    return quantiles_of_counts(counts, probabilities, band_cuts(df, names))
+    return exact_quantiles(df, names, probabilities, counts)
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:

@@ -18,7 +18,9 @@ from plumbline.operators.ordered import running_totals
 
 # Two-level search: FINE cut points are looked at within one of the coarse steps.
 FINE = 32
-SMALL = 1_000_000
+# Cells that one aggregation buffer may hold.
+SMALL = 2_000_000
+GRID = f"array({', '.join(f'{i / FINE**2}D' for i in range(1, FINE**2))})"
 
 
 def _finite(x: Column) -> Column:
@@ -32,18 +34,17 @@ def band_cuts(df: DataFrame, columns: Sequence[str], tallies: Mapping[str, Calla
     set by the schema.
     """
     extra = dict(tallies or {})
-    grid = [i / (FINE * FINE) for i in range(1, FINE * FINE)]
+    numbers = df.withColumns({f"_x{i}": _finite(F.col(f"`{c}`").cast("double")) for i, c in enumerate(columns)})
     aggs = []
-    for i, c in enumerate(columns):
-        x = _finite(F.col(f"`{c}`").cast("double"))
-        aggs += [F.percentile_approx(x, grid, 4096).alias(f"q{i}"), F.count(x).alias(f"n{i}")]
-        aggs += [make(x).alias(f"t{i}_{name}") for name, make in extra.items()]
-    seen = df.agg(*aggs).first()
+    for i in range(len(columns)):
+        aggs += [F.expr(f"percentile_approx(_x{i}, {GRID}, 2048)").alias(f"q{i}"), F.count(f"_x{i}").alias(f"n{i}")]
+        aggs += [make(F.col(f"_x{i}")).alias(f"t{i}_{name}") for name, make in extra.items()]
+    seen = numbers.agg(*aggs).first()
     rows = []
     for i, c in enumerate(columns):
         total = seen[f"n{i}"]
         cuts = sorted(set(seen[f"q{i}"] or []))
-        if total < SMALL:
+        if total <= SMALL:
             cuts = cuts[:: max(1, len(cuts) // FINE)]
         rows.append((c, cuts[FINE - 1 :: FINE], cuts, total, *[seen[f"t{i}_{name}"] for name in extra]))
     schema = "column_name string, _coarse array<double>, _cuts array<double>, _total bigint" + "".join(f", {name} bigint" for name in extra)
@@ -74,9 +75,24 @@ def cumulative(counts: DataFrame, sums: Mapping[str, str], cuts: DataFrame) -> D
     return running_totals(banded, ["column_name"], ["value"], {n: F.col(c) for n, c in sums.items()}, F.col("_band")).drop("_band")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """``(column_name, p, q)`` with linear interpolation between the two nearest ranks."""
-    return quantiles_of_counts(value_counts(df, columns), probabilities, band_cuts(df, columns))
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], counts: DataFrame | None = None, small: int = SMALL
+) -> DataFrame:
+    """``(column_name, p, q)`` with linear interpolation between the two nearest ranks.
+
+    A table is counted first. Up to ``small`` cells, Spark's ``percentile`` holds them in one buffer; beyond
+    that, values go through bands. ``counts`` spares a second value count where the caller has one.
+    """
+    if df.count() * len(columns) <= small:
+        wide = df.agg(*[F.percentile(_finite(F.col(f"`{c}`").cast("double")), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)])
+        lines = [
+            F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"), F.get(f"q{i}", F.lit(j)).alias("q"))
+            for i, c in enumerate(columns)
+            for j, p in enumerate(probabilities)
+        ]
+        return wide.select(F.inline(F.array(*lines))).filter(F.col("q").isNotNull())
+    found = value_counts(df, columns) if counts is None else counts
+    return quantiles_of_counts(found, probabilities, band_cuts(df, columns))
 
 
 def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], cuts: DataFrame) -> DataFrame:
