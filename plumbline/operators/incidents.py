@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ranks import SEVERITY_RANK, lookup
 from plumbline.operators.joins import salted_join
-from plumbline.operators.ordered import previous_row, running_totals
+from plumbline.operators.ordered import carry_forward, previous_row, running_totals
 
 FAILURES = ("fail", "error")
 ORDER = ["started_at", "run_id"]
@@ -24,41 +24,38 @@ def _day() -> Column:
     return F.to_date("started_at")
 
 
-def incident_events(runs: DataFrame) -> DataFrame:
-    """The timeline of every check's incident: opened, occurred, recovered, with the episode number.
+def incident_moves(runs: DataFrame) -> DataFrame:
+    """Runs that open, repeat or close their check's incident: opened, occurred or recovered.
 
-    A fold over ordered runs, written as two carried windows so that a check with a very long history is
+    A fold over ordered runs, written as one carried window, so that a check with a very long history is
     cut into days.
     """
     facts = ["check_id", "dataset_id", "severity", *ORDER, "status"]
-    chain = previous_row(runs.select(*facts), ["check_id"], ORDER, ["status"], _day()).withColumnRenamed("prev_status", "run_before")
-    decisive = chain.filter(F.col("status").isin("pass", *FAILURES)).withColumn("failing", F.col("status").isin(*FAILURES))
-    linked = previous_row(decisive, ["check_id"], ORDER, ["failing"], _day())
-    was = F.coalesce(F.col("prev_failing"), F.lit(False))
-    kind = F.when(F.col("failing") & ~was, "opened").when(F.col("failing"), "occurred").when(was, "recovered")
+    failing = F.when(F.col("status").isin("pass", *FAILURES), F.col("status").isin(*FAILURES))
+    before = {"run_before": F.col("status"), "_was": failing}
+    linked = carry_forward(runs.select(*facts), ["check_id"], ORDER, before, _day()).withColumn("_failing", failing)
+    was = F.coalesce(F.col("_was"), F.lit(False))
+    kind = F.when(F.col("_failing") & ~was, "opened").when(F.col("_failing"), "occurred").when(~F.col("_failing") & was, "recovered")
     moves = linked.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    return moves.select(*facts[:-1], F.col("status").alias("run_status"), "run_before", "kind")
+
+
+def incident_events(runs: DataFrame) -> DataFrame:
+    """The timeline of every check's incident with its episode number and occurrence count."""
     sums = {
         "episode": F.when(F.col("kind") == "opened", 1).otherwise(0),
-        "occurrence_count": F.col("failing").cast("int"),
+        "occurrence_count": F.when(F.col("kind") == "recovered", 0).otherwise(1),
     }
-    numbered = running_totals(moves, ["check_id"], ORDER, sums, _day())
-    return numbered.select(
-        *facts[:-1],
-        F.col("status").alias("run_status"),
-        "run_before",
-        "kind",
-        ((F.col("kind") == "opened") & (F.col("episode") > 1)).alias("reopened"),
-        "episode",
-        "occurrence_count",
-    )
+    numbered = running_totals(incident_moves(runs), ["check_id"], ORDER, sums, _day())
+    return numbered.withColumn("reopened", (F.col("kind") == "opened") & (F.col("episode") > 1))
 
 
-def incident_state(events: DataFrame) -> DataFrame:
-    """One durable incident per check, from aggregates over its timeline."""
+def incident_state(moves: DataFrame) -> DataFrame:
+    """One durable incident per check, from aggregates over its moves."""
     at = F.struct(*ORDER)
     failing = F.col("kind") != "recovered"
     last_kind = F.max_by("kind", at)
-    return events.groupBy("check_id").agg(
+    return moves.groupBy("check_id").agg(
         F.max("dataset_id").alias("dataset_id"),
         F.max_by("severity", at).alias("severity"),
         F.when(last_kind == "recovered", "resolved").otherwise("open").alias("status"),
@@ -68,7 +65,7 @@ def incident_state(events: DataFrame) -> DataFrame:
         F.when(last_kind == "recovered", F.max("started_at")).alias("resolved_at"),
         F.max_by("run_id", at).alias("current_run_id"),
         F.count_if(failing).alias("occurrence_count"),
-        F.count_if(F.col("reopened")).alias("reopen_count"),
+        (F.count_if(F.col("kind") == "opened") - 1).alias("reopen_count"),
     )
 
 
@@ -113,8 +110,8 @@ def notifications(events: DataFrame, windows: DataFrame) -> DataFrame:
     gap = F.timestamp_diff("SECOND", F.col("prev_started_at"), F.col("started_at"))
     fresh = (F.col("kind") == "opened") | F.coalesce(gap >= F.greatest(F.lit(1), "dedupe_minutes") * 60, F.lit(True))
     runs = running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day())
-    sole = runs.groupBy("check_id", "stretch").agg(F.count(F.lit(1)).alias("_n"))
-    sized = runs.join(sole, ["check_id", "stretch"])
+    sizes = runs.groupBy("check_id", "stretch").agg(F.count(F.lit(1)).alias("_n"))
+    sized = runs.join(sizes, ["check_id", "stretch"])
     # The first of a stretch fires whatever came before; only longer stretches need the fold.
     alone = sized.filter(F.col("_n") == 1).select("check_id", "run_id", "started_at")
     folded = (

@@ -1,8 +1,9 @@
 """Lineage graphs as edge tables: bounded neighbourhoods, closures, name resolution and overlays.
 
 A walk is a loop of joins between the frontier and the edges. Each step keeps only unseen nodes, made
-distinct on the map side, and is written to the shared checkpoint folder, so a lost executor costs one
-step and the plan never grows with the depth.
+distinct on the map side, and is written as a table of the shared folder, so a lost executor costs one
+step, the plan never grows with the depth, and a frontier is broadcast exactly while its stored size is
+small.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 MAX_DEPTH = 5
 
@@ -25,7 +26,8 @@ def walk(arcs: DataFrame, start: DataFrame, depth: int | None = None) -> DataFra
 
     Without a depth the walk goes on until a step finds nothing new.
     """
-    reached = cut_lineage(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    arcs = stored(arcs.select("source", "target"), "arcs") if depth is None or depth > 1 else arcs
+    reached = stored(start.select("id").distinct().withColumn("depth", F.lit(0)), "step")
     frontier, step = reached, 0
     while depth is None or step < depth:
         step += 1
@@ -37,7 +39,7 @@ def walk(arcs: DataFrame, start: DataFrame, depth: int | None = None) -> DataFra
             .join(reached.select("id"), "id", "left_anti")
             .withColumn("depth", F.lit(step))
         )
-        frontier = cut_lineage(found)
+        frontier = stored(found, "step")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

@@ -16,25 +16,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], chunk: Column) -> DataFrame:
+    """For each row and name, the last non-null value among the rows before it along ``order``."""
+    names = list(values)
+    base = df.withColumn("_chunk", chunk).withColumns({f"_value_{n}": values[n] for n in names})
+    at = F.struct(*[F.col(c) for c in order])
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        base.groupBy(*keys, "_chunk")
+        .agg(*[F.max_by(f"_value_{n}", F.when(F.col(f"_value_{n}").isNotNull(), at)).alias(f"_tail_{n}") for n in names])
+        .select(*keys, "_chunk", *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in names])
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = base.withColumns({f"_near_{n}": F.last(f"_value_{n}", ignorenulls=True).over(inside) for n in names})
+    joined = local.join(carried, [*keys, "_chunk"])
+    return joined.select(*[F.col(c) for c in df.columns], *[F.coalesce(f"_near_{n}", f"_carry_{n}").alias(n) for n in names])
+
+
 def previous_row(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: Column, prefix: str = "prev_"
 ) -> DataFrame:
-    """``lag`` of ``cols`` along ``order`` within ``keys``."""
-    base = df.withColumn("_chunk", chunk)
-    payload = F.struct(*[F.col(c) for c in cols])
-    tails = (
-        base.groupBy(*keys, "_chunk")
-        .agg(F.max_by(payload, F.struct(*[F.col(c) for c in order])).alias("_tail"))
-        .select(
-            *keys,
-            "_chunk",
-            F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"),
-        )
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    joined = base.withColumn("_near", F.lag(payload).over(inside)).join(tails, [*keys, "_chunk"])
-    seen = F.coalesce(F.col("_near"), F.col("_carry"))
-    return joined.select(*[F.col(c) for c in df.columns], *[seen[c].alias(prefix + c) for c in cols])
+    """``lag`` of ``cols`` along ``order`` within ``keys``; a struct keeps null cells apart from no row."""
+    seen = carry_forward(df, keys, order, {"_seen": F.struct(*[F.col(c) for c in cols])}, chunk)
+    return seen.select(*[F.col(c) for c in df.columns], *[F.col("_seen")[c].alias(prefix + c) for c in cols])
 
 
 def running_totals(

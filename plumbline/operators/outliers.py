@@ -75,6 +75,13 @@ def _depths(tree: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
         node[live] = np.where(below, tree["left"][at], tree["right"][at])
 
 
+def _spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Hash the rows over all shuffle partitions: the Python work per row outweighs the shuffle by far, and
+    a fixed number keeps adaptive execution from merging partitions that are small in bytes only."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *by)
+
+
 def prepare(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str], int]:
     """Standardised features: missing and infinite cells become the column's median, constant columns go.
 
@@ -127,7 +134,7 @@ def train(scaled: DataFrame, keys: Sequence[str], features: Sequence[str], rows:
         return pd.DataFrame({"tree": [number], "size": [len(picked)], **{k: [v] for k, v in tree.items()}})
 
     schema = "tree int, size int, feature array<int>, cut array<double>, left array<int>, right array<int>"
-    grown = placed.select("tree", "_h", *names).groupBy("tree").applyInPandas(build, schema).orderBy("tree").collect()
+    grown = _spread(placed.select("tree", "_h", *names), ["tree"]).groupBy("tree").applyInPandas(build, schema).orderBy("tree").collect()
     return [
         {
             "size": r["size"],
@@ -155,7 +162,7 @@ def isolation_scores(scaled: DataFrame, keys: Sequence[str], features: Sequence[
             yield part[ids].assign(score=np.power(2.0, -depth / len(shipped.value) / norm))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scaled.schema.fields if f.name in set(ids))
-    return scaled.mapInPandas(score, f"{fields}, score double")
+    return _spread(scaled, keys).mapInPandas(score, f"{fields}, score double")
 
 
 def isolation_outliers(

@@ -98,13 +98,13 @@ def dataset_movers(d: Data) -> DataFrame:
     return insights.dataset_movers(d.exceptions, AS_OF)
 
 
-def _events(d: Data) -> DataFrame:
-    return incidents.incident_events(d.check_runs)
+def _moves(d: Data) -> DataFrame:
+    return incidents.incident_moves(d.check_runs)
 
 
 @query("incident_activity", with_ctes("incidents", body="select cast(first_seen_at as date) as day, count(*) as n from incidents where first_seen_at >= timestamp '2023-11-02' group by 1"))
 def incident_activity(d: Data) -> DataFrame:
-    return insights.incident_activity(incidents.incident_state(_events(d)), "first_seen_at", AS_OF)
+    return insights.incident_activity(incidents.incident_state(_moves(d)), "first_seen_at", AS_OF)
 
 
 @query(
@@ -114,7 +114,7 @@ def incident_activity(d: Data) -> DataFrame:
     left join (select cast(started_at as date) as day, count(*) as n from moves where kind = 'opened' and check_id % 30 = 1 group by 1) using (day)"""),
 )
 def incident_heatmap(d: Data) -> DataFrame:
-    opened = _events(d).filter((F.col("kind") == "opened") & (F.col("check_id") % 30 == 1))
+    opened = _moves(d).filter((F.col("kind") == "opened") & (F.col("check_id") % 30 == 1))
     return insights.heat_map(insights.incident_activity(opened, "started_at", AS_OF), AS_OF)
 
 
@@ -324,7 +324,7 @@ def _health(d: Data) -> DataFrame:
     left join (select dataset_id, count(*) filter (where status in ('open', 'acknowledged')) as n, max(last_seen_at) as last_incident_at from incidents group by 1) using (dataset_id)"""),
 )
 def status_tiles(d: Data) -> DataFrame:
-    return insights.status_tiles(_health(d), incidents.incident_state(_events(d)), d.datasets)
+    return insights.status_tiles(_health(d), incidents.incident_state(_moves(d)), d.datasets)
 
 
 @query(
@@ -343,7 +343,7 @@ def status_overall(d: Data) -> DataFrame:
     where kind in ('opened', 'recovered') order by started_at desc, run_id desc limit 20"""),
 )
 def status_updates(d: Data) -> DataFrame:
-    news = _events(d).filter(F.col("kind").isin("opened", "recovered")).orderBy(F.desc("started_at"), F.desc("run_id")).limit(20)
+    news = _moves(d).filter(F.col("kind").isin("opened", "recovered")).orderBy(F.desc("started_at"), F.desc("run_id")).limit(20)
     return news.join(d.datasets.select("dataset_id", "table_name"), "dataset_id").select("kind", "check_id", "table_name", "severity", "started_at")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import FORMAT_PATTERNS
 from plumbline.operators import contracts, joins, localize, profile, propose
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.rowchecks import violation_predicate
 from plumbline.operators.spec import CheckSpec
 from plumbline.plans.feeds import Data
@@ -64,7 +65,7 @@ NUMERIC = [c for c, t in LINE_COLUMNS.items() if t not in ("string", "timestamp_
 def profile_numeric(d: Data) -> DataFrame:
     df = d.table("lineitem").select(*NUMERIC)
     names = [f"p{int(p * 100):02d}" for p in profile.QUANTILES]
-    quant = profile.numeric_quantiles(df, profile.frequencies(df))
+    quant = exact_quantiles(df, NUMERIC, profile.QUANTILES)
     wide = quant.groupBy("column_name").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 4).alias(n) for p, n in zip(profile.QUANTILES, names, strict=True)])
     facts = profile.column_facts(df).select("column_name", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
     return facts.join(wide, "column_name")

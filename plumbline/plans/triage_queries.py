@@ -182,7 +182,7 @@ def incident_events(d: Data) -> DataFrame:
 
 @query("incident_state", with_ctes("incidents", body="select * from incidents"))
 def incident_state(d: Data) -> DataFrame:
-    return incidents.incident_state(events_of(d))
+    return incidents.incident_state(incidents.incident_moves(d.check_runs))
 
 
 @query(
