@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,19 @@ def decile_bins(baseline: DataFrame, column: str) -> DataFrame:
     """One row: the distinct inner decile edges of the baseline and the share each bin holds.
 
     Deciles are interpolated from the profile's seven quantiles. Tied deciles share an edge and pool
-    their mass, so a column that is mostly one value is no drift against itself.
+    their mass, so a column that is mostly one value is no drift against itself. Edges are rounded to nine
+    places, so a value that equals an edge does not change sides with the last bit of the arithmetic.
     """
     wide = exact_quantiles(baseline, [column], QUANTILES).groupBy().pivot("p", list(QUANTILES)).agg(F.max("q"))
     q = {p: F.col(f"`{p}`") for p in QUANTILES}
 
-    def at_share(share: float) -> Column:
-        for lo, hi in zip(QUANTILES, QUANTILES[1:], strict=False):
-            if lo <= share <= hi:
-                return q[lo] + (q[hi] - q[lo]) * ((share - lo) / (hi - lo))
-        raise ValueError(share)
+    def decile(k: int) -> Column:
+        share = Fraction(k, 10)
+        points = [(p, Fraction(str(p))) for p in QUANTILES]
+        (lo, low), (hi, high) = next(pair for pair in zip(points, points[1:], strict=False) if share <= pair[1][1])
+        return F.round(q[lo] + (q[hi] - q[lo]) * float((share - low) / (high - low)), 9)
 
-    edges = F.array(*[at_share(k / 10) for k in range(1, 10)])
+    edges = F.array(*[decile(k) for k in range(1, 10)])
     inner = wide.select(edges.alias("_all"), F.array_distinct(edges).alias("edges"))
     e = lambda k: F.get("_all", F.lit(k))
     middles = [(e(k) + e(k + 1)) / 2.0 for k in range(8)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.ranks import SEVERITY_RANK, lookup
 from plumbline.operators.joins import salted_join
 from plumbline.operators.ordered import carry_forward, previous_row, running_totals
+from plumbline.session import stored
 
 FAILURES = ("fail", "error")
 ORDER = ["started_at", "run_id"]
@@ -102,14 +103,14 @@ def notifications(events: DataFrame, windows: DataFrame) -> DataFrame:
     check's dedupe window (``windows(check_id, dedupe_minutes)``, 60 where absent) has passed since the
     last notification. That last rule is sequential. A pause of a whole window always re-arms it, so the
     candidates split into independent runs at such pauses, and only the runs are folded, in batches that
-    hold one timestamp of state.
+    hold one timestamp of state. The candidates are stored once, since both paths and the sizes read them.
     """
     timed = events.join(windows, "check_id", "left").withColumn("dedupe_minutes", F.coalesce("dedupe_minutes", F.lit(60)))
     candidates = timed.filter((F.col("kind") == "opened") | ((F.col("kind") == "occurred") & (F.col("run_before") == "warn")))
     linked = previous_row(candidates, ["check_id"], ORDER, ["started_at"], _day())
     gap = F.timestamp_diff("SECOND", F.col("prev_started_at"), F.col("started_at"))
     fresh = (F.col("kind") == "opened") | F.coalesce(gap >= F.greatest(F.lit(1), "dedupe_minutes") * 60, F.lit(True))
-    runs = running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day())
+    runs = stored(running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day()), "stretches")
     sizes = runs.groupBy("check_id", "stretch").agg(F.count(F.lit(1)).alias("_n"))
     sized = runs.join(sizes, ["check_id", "stretch"])
     # The first of a stretch fires whatever came before; only longer stretches need the fold.

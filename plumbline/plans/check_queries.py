@@ -217,10 +217,8 @@ MIDDLE = datetime(2024, 1, 16)
 
 PSI_NUMERIC = """with base as (select value as x from events where ts < timestamp '2024-01-16'), cur as (select value as x from events where ts >= timestamp '2024-01-16' and event_id % 3 <> 0 or ts >= timestamp '2024-01-16' and value > 40),
     q as (select quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) as v from base),
-    e as (select [v[2] + (v[3] - v[2]) * ((0.1 - 0.05) / (0.25 - 0.05))::double, v[2] + (v[3] - v[2]) * ((0.2 - 0.05) / (0.25 - 0.05))::double,
-      v[3] + (v[4] - v[3]) * ((0.3 - 0.25) / 0.25)::double, v[3] + (v[4] - v[3]) * ((0.4 - 0.25) / 0.25)::double, v[4],
-      v[4] + (v[5] - v[4]) * ((0.6 - 0.5) / 0.25)::double, v[4] + (v[5] - v[4]) * ((0.7 - 0.5) / 0.25)::double,
-      v[5] + (v[6] - v[5]) * ((0.8 - 0.75) / (0.95 - 0.75))::double, v[5] + (v[6] - v[5]) * ((0.9 - 0.75) / (0.95 - 0.75))::double] as edges from q),
+    e as (select list_transform([v[2] + (v[3] - v[2]) * 0.25, v[2] + (v[3] - v[2]) * 0.75, v[3] + (v[4] - v[3]) * 0.2, v[3] + (v[4] - v[3]) * 0.6, v[4],
+      v[4] + (v[5] - v[4]) * 0.4, v[4] + (v[5] - v[4]) * 0.8, v[5] + (v[6] - v[5]) * 0.25, v[5] + (v[6] - v[5]) * 0.75], lambda t: round(t, 9)) as edges from q),
     b as (select len(list_filter(edges, lambda t: t <= x)) as bin, count(*) as n from cur, e group by 1),
     s as (select g.bin, coalesce(n, 0)::double / (select count(*) from cur) as a, 0.1::double as x from (select unnest(range(0, 10)) as bin) g left join b using (bin))"""
 

@@ -11,6 +11,7 @@ from plumbline.operators import exceptions, incidents, insights, lineage, reconc
 from plumbline.plans.feeds import AS_OF, Data, moment
 from plumbline.plans.feeds_sql import with_ctes
 from plumbline.plans.registry import query
+from plumbline.session import stored
 
 
 @query(
@@ -138,6 +139,9 @@ TRIAGE_SQL = """select exception_id, case when hit then 'acknowledged' else stat
     from (select *, {hit} as hit from exceptions)"""
 
 
+STALE = "(select count(*) > 0 from exceptions where exception_id % 100 = 1)"
+
+
 def _triaged(d: Data, stale: bool) -> DataFrame:
     picked = d.exceptions.filter(F.col("exception_id") % 10 == 1)
     version = F.when(F.col("exception_id") % 100 == 1, F.col("version") + int(stale)).otherwise(F.col("version"))
@@ -151,7 +155,7 @@ def triage_apply(d: Data) -> DataFrame:
     return _triaged(d, stale=False)
 
 
-@query("triage_conflict", with_ctes("exceptions", body=TRIAGE_SQL.format(now="marked_at", hit="false", refused="(select count(*) > 0 from exceptions where exception_id % 100 = 1)")))
+@query("triage_conflict", with_ctes("exceptions", body=TRIAGE_SQL.format(now="timestamp '2024-01-31'", hit=f"(exception_id % 10 = 1 and not {STALE})", refused=STALE)))
 def triage_conflict(d: Data) -> DataFrame:
     return _triaged(d, stale=True)
 
@@ -216,7 +220,7 @@ WINDOWS_SQL = "480 + (check_id // 10) % 5 * 720"
 )
 def incident_notifications(d: Data) -> DataFrame:
     windows = d.checks.select("check_id", (F.lit(480) + F.floor(F.col("check_id") / 10) % 5 * 720).cast("int").alias("dedupe_minutes"))
-    return incidents.notifications(events_of(d), windows)
+    return incidents.notifications(stored(events_of(d), "timeline"), windows)
 
 
 ROUTED = """, subjects as (select c.check_id, c.dataset_id, c.severity, l.status as run_status from checks c join latest l using (check_id) where c.status = 'active'),
@@ -244,7 +248,7 @@ def alert_routing(d: Data) -> DataFrame:
     where last_seen_at + to_minutes(delay) <= timestamp '2024-01-30 20:00:00' and max_level > escalation_level"""),
 )
 def escalations_due(d: Data) -> DataFrame:
-    opened = incident_state(d).filter(F.col("status") == "open").withColumn("escalation_level", F.floor(F.col("check_id") % 20 / 10).cast("int"))
+    opened = stored(incident_state(d).filter(F.col("status") == "open"), "incidents").withColumn("escalation_level", F.floor(F.col("check_id") % 20 / 10).cast("int"))
     levels = opened.select("check_id", "escalation_level")
     planned = incidents.next_escalations(opened, _routed(d).join(levels, "check_id"), "last_seen_at")
     due = incidents.escalations_due(planned, moment(datetime(2024, 1, 30, 20)))
