@@ -24,7 +24,7 @@ def decile_bins(baseline: DataFrame, column: str) -> DataFrame:
     """One row: the distinct inner decile edges of the baseline and the share each bin holds.
 
     Deciles are interpolated from the profile's seven quantiles. Tied deciles share an edge and pool
-    their mass, so a column that is mostly one value is no drift against itself. Edges are rounded to nine
+    their mass, so the heavy bin expects what it holds. Edges are rounded to nine
     places, so a value that equals an edge does not change sides with the last bit of the arithmetic.
     """
     wide = exact_quantiles(baseline, [column], QUANTILES).groupBy().pivot("p", list(QUANTILES)).agg(F.max("q"))

@@ -76,7 +76,9 @@ def dataset_scores(
     )
     importance = normalise_importance(F.col("importance"))
     out = out.withColumn("importance", importance).withColumn("importance_weight", lookup(F.col("importance"), IMPORTANCE_WEIGHT))
-    out = out.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base_score") - F.col("exception_penalty"))), 2))
+    # greatest and least skip NULLs, so an unscored dataset has to be kept out of them.
+    clamped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base_score") - F.col("exception_penalty"))), 2)
+    out = out.withColumn("score", F.when(F.col("base_score").isNotNull(), clamped))
     enabled = F.coalesce(F.col("slo_enabled"), F.lit(True))
     explicit = F.round("slo_target_score", 2)
     out = out.withColumn("slo_target", F.when(enabled, F.coalesce(explicit, lookup(F.col("importance"), DEFAULT_SLO_TARGET))))

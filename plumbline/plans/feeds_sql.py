@@ -135,7 +135,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """select *, case when not slo_enabled then null else round(score - slo_target, 2) end as score_gap,
         case when not slo_enabled then 'disabled' when score is null then 'unknown' when round(score - slo_target, 2) >= 0 then 'met'
              when round(score - slo_target, 2) >= -2 then 'at_risk' else 'breached' end as slo_status
-        from (select *, round(greatest(0.0, least(100.0, base_score - exception_penalty)), 2) as score
+        from (select *, case when base_score is not null then round(greatest(0.0, least(100.0, base_score - exception_penalty)), 2) end as score
         from (select d.dataset_id, d.table_name, d.domain, d.team, d.owner, d.importance, d.slo_enabled,
           case d.importance when 'critical' then 4.0::double when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end as importance_weight,
           round(p.points * 1000 / p.weight) / 100 as base_score,
