@@ -102,10 +102,11 @@ def ks_two_sample(current: DataFrame, prior: DataFrame, column: str, threshold:
         return rows.withColumn("_current", F.lit(current_side))
 
     sides = side(current, True).unionByName(side(prior, False))
-    values = sides.groupBy("value").agg(F.count_if("_current").alias("a"), F.count_if(~F.col("_current")).alias("b"))
+    # The column name becomes data, as in any value count: a literal key would be folded out of the joins.
+    cells = sides.unpivot(["_current"], ["value"], "column_name", "value")
+    values = cells.groupBy("column_name", "value").agg(F.count_if("_current").alias("a"), F.count_if(~F.col("_current")).alias("b"))
     tallies = {"n_current": lambda _: F.count_if("_current"), "n_prior": lambda _: F.count_if(~F.col("_current"))}
-    cuts = band_cuts(sides, ["value"], tallies)
-    cdf = cumulative(values.withColumn("column_name", F.lit("value")), {"_ca": "a", "_cb": "b"}, cuts)
+    cdf = cumulative(values, {"_ca": "a", "_cb": "b"}, band_cuts(sides, ["value"], tallies))
     gap = F.abs(F.col("_ca") / F.nullif(F.col("n_current"), F.lit(0)) - F.col("_cb") / F.nullif(F.col("n_prior"), F.lit(0)))
     d = cdf.agg(F.max(gap).alias("statistic"), F.max("n_current").alias("n_current"), F.max("n_prior").alias("n_prior"))
     scale = F.sqrt(F.col("n_current") * F.col("n_prior") / (F.col("n_current") + F.col("n_prior"))) * F.col("statistic")

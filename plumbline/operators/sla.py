@@ -95,13 +95,14 @@ def burn_down(slas: DataFrame, checks: DataFrame, runs: DataFrame) -> DataFrame:
     )
     joined = slas.join(target_checks(slas, checks), "sla_id").join(daily, "check_id")
     per_day = joined.groupBy("sla_id", "objective", "window_days", "day").agg(F.sum("_good").alias("_good"), F.sum("_bad").alias("_bad"))
-    number = F.unix_date("day")
-    out = None
-    for n in (7, 30):
-        frame = Window.partitionBy("sla_id").orderBy(number).rangeBetween(-(n - 1), 0)
-        part = per_day.filter(F.col("window_days") == n).withColumn("good", F.sum("_good").over(frame)).withColumn("bad", F.sum("_bad").over(frame))
-        out = part if out is None else out.unionByName(part)
-    return _judge(out.drop("_good", "_bad"))
+    # Both frames share one partitioning and order, hence one sort; each SLA then reads its own.
+    frame = {n: Window.partitionBy("sla_id").orderBy(F.unix_date("day")).rangeBetween(-(n - 1), 0) for n in (7, 30)}
+
+    def rolled(column: str) -> Column:
+        return F.when(F.col("window_days") == 7, F.sum(column).over(frame[7])).otherwise(F.sum(column).over(frame[30]))
+
+    windowed = per_day.withColumn("good", rolled("_good")).withColumn("bad", rolled("_bad"))
+    return _judge(windowed.drop("_good", "_bad"))
 
 
 def breach_transitions(burn: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from plumbline.operators.spec import CheckSpec
 from plumbline.plans.feeds import Data
 from plumbline.plans.feeds_sql import with_ctes
 from plumbline.plans.registry import query
+from plumbline.session import stored
 
 LINE_COLUMNS = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
@@ -220,7 +221,8 @@ def profiled_tables(d: Data) -> DataFrame:
         distinct = profile.distinct_counts(freq).select(name, "*")
         p99 = profile.numeric_quantiles(df, freq, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
         out.append(propose.profiled(facts, distinct, p99))
-    return reduce(DataFrame.unionByName, out)
+    # One row per column, read by several rule sets: profile once.
+    return stored(reduce(DataFrame.unionByName, out), "profile")
 
 
 def _tidy(proposals: DataFrame) -> DataFrame:
