@@ -6,7 +6,6 @@ Only ``fail`` and ``error`` open an incident and only ``pass`` closes it; ``warn
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from plumbline.functions.ranks import SEVERITY_RANK, lookup
 from plumbline.operators.joins import salted_join
 from plumbline.operators.ordered import carry_forward, previous_row, running_totals
-from plumbline.session import stored
 
 FAILURES = ("fail", "error")
 ORDER = ["started_at", "run_id"]
@@ -81,49 +79,46 @@ def incident_episodes(events: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep a candidate when the window since the last kept one has passed. Rows arrive sorted, in batches."""
-    last = None
+def _greedy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep a candidate when its stretch is new or the window since the last kept one has passed.
+
+    Rows come sorted by stretch and time; the last kept row is all that is carried between batches.
+    """
+    stretch, last = None, 0
     for part in parts:
+        stamps = part["started_at"].to_numpy().astype("datetime64[s]").astype("int64")
+        windows = part["dedupe_minutes"].clip(lower=1).to_numpy() * 60
         keep = []
-        for stamp, window in zip(part["started_at"], part["dedupe_minutes"], strict=True):
-            fire = last is None or stamp - last >= pd.Timedelta(minutes=int(max(1, window)))
-            last = stamp if fire else last
+        for mine, stamp, window in zip(zip(part["check_id"], part["stretch"], strict=True), stamps, windows, strict=True):
+            fire = mine != stretch or stamp - last >= window
+            if fire:
+                stretch, last = mine, stamp
             keep.append(fire)
         yield part.loc[keep, ["check_id", "run_id", "started_at"]]
 
 
-_greedy.__annotations__ = {"key": tuple[Any, ...], "parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-
-
 def notifications(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Which incident events notify.
 
     Opening, reopening and recovery always do. A failure that follows a ``warn`` notifies again once the
     check's dedupe window (``windows(check_id, dedupe_minutes)``, 60 where absent) has passed since the
     last notification. That last rule is sequential. A pause of a whole window always re-arms it, so the
-    candidates split into independent runs at such pauses, and only the runs are folded, in batches that
-    hold one timestamp of state. The candidates are stored once, since both paths and the sizes read them.
+    candidates split into independent stretches at such pauses; stretches spread over all tasks, and each
+    task walks its own in sorted batches.
     """
     timed = events.join(windows, "check_id", "left").withColumn("dedupe_minutes", F.coalesce("dedupe_minutes", F.lit(60)))
     candidates = timed.filter((F.col("kind") == "opened") | ((F.col("kind") == "occurred") & (F.col("run_before") == "warn")))
     linked = previous_row(candidates, ["check_id"], ORDER, ["started_at"], _day())
     gap = F.timestamp_diff("SECOND", F.col("prev_started_at"), F.col("started_at"))
     fresh = (F.col("kind") == "opened") | F.coalesce(gap >= F.greatest(F.lit(1), "dedupe_minutes") * 60, F.lit(True))
-    runs = stored(running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day()), "stretches")
-    sizes = runs.groupBy("check_id", "stretch").agg(F.count(F.lit(1)).alias("_n"))
-    sized = runs.join(sizes, ["check_id", "stretch"])
-    # The first of a stretch fires whatever came before; only longer stretches need the fold.
-    alone = sized.filter(F.col("_n") == 1).select("check_id", "run_id", "started_at")
-    folded = (
-        sized.filter(F.col("_n") > 1)
-        .select("check_id", "stretch", "run_id", "started_at", "dedupe_minutes")
+    numbered = running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day())
+    triggered = (
+        numbered.select("check_id", "stretch", "run_id", "started_at", "dedupe_minutes")
         .repartition("check_id", "stretch")
         .sortWithinPartitions("check_id", "stretch", *ORDER)
-        .groupBy("check_id", "stretch")
-        .applyInPandas(_greedy, "check_id bigint, run_id bigint, started_at timestamp_ntz")
+        .mapInPandas(_greedy, "check_id bigint, run_id bigint, started_at timestamp_ntz")
+        .withColumn("action", F.lit("triggered"))
     )
-    triggered = alone.unionByName(folded).withColumn("action", F.lit("triggered"))
     recovered = events.filter(F.col("kind") == "recovered").select("check_id", "run_id", "started_at", F.lit("recovered").alias("action"))
     return triggered.unionByName(recovered)
 
