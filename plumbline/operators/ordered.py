@@ -6,6 +6,10 @@ one summary row per chunk across, so the only window over the bare key runs on c
 results are exact: they equal the plain window.
 
 ``chunk`` must be a deterministic expression that never decreases along the order.
+
+Each local window is preceded by an explicit ``repartition`` on all of its keys. It takes the place of the
+exchange the window needs anyway; without it, rows that already sit together by key alone (after a join on
+the key, say) would count as clustered and a hot key would stay in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         .select(*keys, "_chunk", *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in names])
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = base.withColumns({f"_near_{n}": F.last(f"_value_{n}", ignorenulls=True).over(inside) for n in names})
+    local = base.repartition(*keys, "_chunk").withColumns({f"_near_{n}": F.last(f"_value_{n}", ignorenulls=True).over(inside) for n in names})
     joined = local.join(carried, [*keys, "_chunk"])
     return joined.select(*[F.col(c) for c in df.columns], *[F.coalesce(f"_near_{n}", f"_carry_{n}").alias(n) for n in names])
 
@@ -59,7 +63,7 @@ def running_totals(
         )
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumns({f"_run_{n}": F.sum(f"_part_{n}").over(inside) for n in names})
+    local = base.repartition(*keys, "_chunk").withColumns({f"_run_{n}": F.sum(f"_part_{n}").over(inside) for n in names})
     joined = local.join(carried, [*keys, "_chunk"])
     return joined.select(
         *[F.col(c) for c in df.columns], *[(F.col(f"_run_{n}") + F.col(f"_carry_{n}")).alias(n) for n in names]
@@ -88,5 +92,5 @@ def lookback(
         "_block", F.explode(F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home)))
     )
     frame = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-rows, -1)
-    measured = spread.withColumns({name: make(frame) for name, make in measures.items()})
+    measured = spread.repartition(*keys, "_block").withColumns({name: make(frame) for name, make in measures.items()})
     return measured.filter(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block")
