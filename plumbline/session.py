@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,19 +25,24 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "plum
     )
 
 
+#: Folders made for local sessions without a shared folder, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder, and then the
-    setting is written back so that later calls agree on it.
+    Only a local session without that setting (a test) gets a temporary folder, the same for all its calls.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is not None:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="plumbline-")
+    return _LOCAL_FOLDERS[application]
 
 
 def run_folder(spark: SparkSession, purpose: str) -> str:
