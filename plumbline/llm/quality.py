@@ -22,20 +22,25 @@ from plumbline.session import stored
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Blanks between words, and the symbols that count as such.
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
+#: ASCII other than letters; bytes beyond ASCII count as parts of letters.
+NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 MIN_WORDS, MAX_REPEATS_PERCENT = 50, 50
 
-#: name -> (share or size of a document, bad from, good up to); between the two the rule abstains.
-RULES: dict[str, tuple[Callable[[dict[str, np.ndarray]], np.ndarray], float, float]] = {
-    "symbols_per_word": (lambda m: m["n_symbols"] / m["words_1"], 0.10, 0.03),
-    "repeated_words": (lambda m: m["n_repeat_words"] / m["words_1"], 0.30, 0.12),
-    "repeated_lines": (lambda m: m["n_dup_lines"] / m["lines_1"], 0.30, 0.10),
-    "upper_case": (lambda m: m["n_upper"] / m["chars_1"], 0.25, 0.10),
-    "shouts": (lambda m: m["n_shouts"] / m["words_1"], 0.10, 0.02),
-    "digits": (lambda m: m["n_digits"] / m["chars_1"], 0.25, 0.10),
+#: name -> (share or size of a document, bad from, good up to). Between the two the rule abstains. A rule that looks for
+#: one defect never votes good (None): that a text lacks this defect says little about its quality.
+RULES: dict[str, tuple[Callable[[dict[str, np.ndarray]], np.ndarray], float, float | None]] = {
+    "other_than_letters": (lambda m: 1 - m["n_letters"] / m["chars_1"], 0.20, 0.07),
     "word_length": (lambda m: abs(m["word_chars"] / m["words_1"] - 6.0), 4.0, 2.5),
-    "bare_marks": (lambda m: m["n_marks"] / m["words_1"], 0.10, 0.03),
+    "symbols_per_word": (lambda m: m["n_symbols"] / m["words_1"], 0.10, None),
+    "repeated_words": (lambda m: m["n_repeat_words"] / m["words_1"], 0.35, None),
+    "repeated_lines": (lambda m: m["n_dup_lines"] / m["lines_1"], 0.40, None),
+    "upper_case": (lambda m: m["n_upper"] / m["chars_1"], 0.25, None),
+    "shouts": (lambda m: m["n_shouts"] / m["words_1"], 0.10, None),
+    "bare_marks": (lambda m: m["n_marks"] / m["words_1"], 0.10, None),
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: P(bad), P(abstain), P(good) of a rule on a bad and on a good document, before the corpus is seen.
+START = {"one defect": np.array([[0.40, 0.60, 1e-6], [0.01, 0.99, 1e-6]]), "both ways": np.array([[0.45, 0.25, 0.30], [0.02, 0.18, 0.80]])}
 SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in MEASURES] + [T.StructField("votes", T.IntegerType())])
 
 
@@ -71,9 +76,9 @@ def measure(texts: pd.Series) -> dict[str, np.ndarray]:
         upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         rows.append((
             len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), duplicate_lines(raw), repeat_words(words), raw.count(b"\n") + 1,
-            upper, raw.count(b"!!") + raw.count(b"??"), len(raw) - len(raw.translate(None, b"0123456789")), sum(raw.count(b" " + m + b" ") for m in (b"|", b"-", b"*", b"#")),
+            upper, raw.count(b"!!") + raw.count(b"??"), len(raw.translate(None, NOT_LETTERS)) - (len(raw) - len(text)), sum(raw.count(b" " + m + b" ") for m in (b"|", b"-", b"*", b"#")),
         ))
-    names = [*MEASURES, "n_lines", "n_upper", "n_shouts", "n_digits", "n_marks"]
+    names = [*MEASURES, "n_lines", "n_upper", "n_shouts", "n_letters", "n_marks"]
     table = np.array(rows, np.int64).reshape(-1, len(names))
     m = {name: table[:, i] for i, name in enumerate(names)}
     return m | {"words_1": np.maximum(m["n_words"], 1), "chars_1": np.maximum(m["word_chars"], 1), "lines_1": np.maximum(m["n_lines"], 1)}
@@ -84,7 +89,7 @@ def vote_codes(m: dict[str, np.ndarray]) -> np.ndarray:
     code = np.zeros(len(m["n_words"]), np.int64)
     for value, bad, good in RULES.values():
         x = value(m)
-        vote = np.where(x >= bad, BAD, np.where((x <= good) & (m["n_words"] > 0), GOOD, ABSTAIN))
+        vote = np.where(x >= bad, BAD, np.where((x <= (-np.inf if good is None else good)) & (m["n_words"] > 0), GOOD, ABSTAIN))
         code = code * 3 + vote
     return code
 
@@ -103,21 +108,21 @@ def unpacked(codes: np.ndarray) -> np.ndarray:
 def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior_good: float = 0.8, strength: float = 0.02) -> np.ndarray:
     """The posterior that a document with such votes is good, by expectation-maximisation.
 
-    ``P(vote | class)`` starts at, and is pulled towards, a rule that is right four times in five when it votes; the
-    pull weighs ``strength`` of all documents, so that the classes cannot change places.
+    ``P(vote | class)`` starts at, and is pulled towards, the shares in ``START``; the pull weighs ``strength`` of all
+    documents, so that the classes cannot change places.
     """
     if not len(codes):
         return np.zeros(0)
     votes, total = unpacked(codes), counts.sum()
-    start = np.array([[0.64, 0.20, 0.16], [0.04, 0.20, 0.76]])
-    given = np.repeat(start[:, None, :], len(RULES), axis=1)
+    start = np.stack([START["one defect" if good is None else "both ways"] for _, _, good in RULES.values()], axis=1)
+    given = start
     share, rule = prior_good, np.arange(len(RULES))
     for _ in range(rounds):
         like = np.log(given[:, rule, votes]).sum(axis=2) + np.log([1 - share, share])[:, None]
         good = 1 / (1 + np.exp(np.clip(like[0] - like[1], -700, 700)))
         weight = np.stack([(1 - good) * counts, good * counts])
         seen = np.stack([[[(weight[c] * (votes[:, r] == v)).sum() for v in range(3)] for r in rule] for c in range(2)])
-        pull = strength * total * start[:, None, :] + 1
+        pull = strength * total * start + 1e-3
         given = (seen + pull) / (seen + pull).sum(axis=2, keepdims=True)
         share = (weight[1].sum() + strength * total * prior_good + 1) / (total * (1 + strength) + 2)
     return good
