@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, quality
+from plumbline.llm import exact, neardup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def query(name: str, oracle: str | None = None) -> Callable[[Callable[[SparkSess
     return register
 
 
+@query(
+    "op2_near_dedup",
+    """with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as shingle from words),
+    sizes as (select doc_id, count(*) as n from sets group by 1),
+    pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from sets a join sets b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+    links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_ >= 75 * (x.n + y.n - both_)),
+    sides as (select a, b from links union select b, a from links),
+    reach as (select doc_id as node, doc_id as other from documents union select node, b from reach join sides on a = other)
+    select d.doc_id, coalesce(s.n, 0) as n_shingles, r.c as component_id, d.doc_id = r.c as kept
+    from documents d left join sizes s on s.doc_id = d.doc_id join (select node, min(other) as c from reach group by 1) r on r.node = d.doc_id""",
+)
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(table(spark, folder, "documents"))
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
