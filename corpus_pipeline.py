@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, quality
+from plumbline.llm import exact, mixing, neardup, packing, quality
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
-STAGES = [("quality rules", keep_good), ("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [("quality rules", keep_good), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("source mix", mix_sources), ("packing", pack)]
 
 #: The expectation-maximisation fit and the tokenizer are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL: str | None = None

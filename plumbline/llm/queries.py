@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, neardup, quality
+from plumbline.llm import exact, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,31 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
+
+
+@query(
+    "op6_source_mix",
+    """with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5(doc_id::varchar) as ord from documents),
+    sizes as (select source, sum(size)::bigint as source_size from docs group by 1),
+    numbered as (select *, row_number() over (order by source nulls last) as number, 3 * source_size as most from sizes),
+    weighed as (select *, [5, 2, 1][1 + (number - 1) % 3]::bigint as weight, [1.5, 1.0, 0.5][1 + (number - 1) % 3]::double as start from numbered),
+    summed as (select *, sum(source_size) over ()::bigint as words, sum(weight) over ()::bigint as weights,
+        coalesce(sum(most) over before, 0)::bigint as most_before, coalesce(sum(weight) over before, 0)::bigint as weights_before from weighed
+        window before as (order by most / weight, number rows between unbounded preceding and 1 preceding)),
+    judged as (select *, most <= (words - most_before) / (weights - weights_before) * weight as limited from summed),
+    aims as (select *, case when limited then most::double else (words - coalesce(sum(case when limited then most end) over (), 0)::bigint)
+        / (weights - coalesce(sum(case when limited then weight end) over (), 0)::bigint) * weight end as target from judged),
+    places as (select d.*, source_size, target, start, floor(target + 0.5)::bigint as goal,
+        sum(size) over (partition by d.source order by ord rows between unbounded preceding and current row)::bigint - size as place
+        from docs d join aims a on d.source is not distinct from a.source),
+    taken as (select *, greatest(0, least(size, goal - place)) as t0, greatest(0, least(size, goal - place - source_size)) as t1, greatest(0, least(size, goal - place - 2 * source_size)) as t2 from places)
+    select doc_id, size, source_size, target, t0 + t1 + t2 as taken, (t0 > 0)::bigint + (t1 > 0)::bigint + (t2 > 0)::bigint as n_copies,
+    case when t0 > 0 then round(2 * (place / target) / (start + sqrt(start * start + 4 * (1 - start) * (place / target))), 9) end as position from taken""",
+)
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
