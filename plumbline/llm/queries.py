@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, mixing, neardup, packing, quality
+from plumbline.llm import bitpack, exact, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
+@query("op7_bit_packed_tokens")
+def op7_bit_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return bitpack.round_trip(table(spark, folder, "documents"))
