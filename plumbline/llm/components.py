@@ -11,27 +11,22 @@ from plumbline.session import stored
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges(a, b)``; the root is the smallest node that can be reached.
 
-    Each round is two joins on tables that were written before, so a hub with many neighbours is an ordinary skewed
-    join that Spark can split; rounds grow with the logarithm of a component's width.
+    Each round is a written table; rounds grow with the logarithm of a component's width. Neighbours are only reduced to
+    their minimum, which combines before the shuffle, and a hub with many neighbours is one side of an ordinary join.
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
-    seen = _digest(edges)
-    while seen[0]:
-        edges = stored(_small_star(stored(_large_star(edges), "star-edges")), "star-edges")
-        now = _digest(edges)
-        if now == seen:
-            break
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    seen: tuple = ()
+    while True:
+        edges = stored(_small_star(_large_star(edges)), "star-edges")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == seen or now[0] == 0:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def _least(sides: DataFrame) -> DataFrame:
     """The smallest of each node and its neighbours."""
-    return stored(sides.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "star-least")
+    return sides.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, exact, licenses, mixing, neardup, packing, quality
+from plumbline.llm import bitpack, exact, langid, licenses, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_bit_packed_tokens")
 def op7_bit_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return bitpack.round_trip(table(spark, folder, "documents"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.held_out_languages(table(spark, folder, "documents"))
