@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, exact, langid, licenses, mixing, neardup, packing, quality
+from plumbline.llm import bitpack, exact, langid, licenses, mixing, neardup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,14 @@ def op7_bit_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_warc",
+    """with p as (select page_id, encode(coalesce(html, '')) as payload from pages), d as (select page_id, octet_length(payload) as n, sha1(payload) as digest from p),
+    g as (select *, max(page_id) over (partition by digest, n) as largest from d)
+    select page_id, n as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id <> largest then largest end as refers_to from g""",
+)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
