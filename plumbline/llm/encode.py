@@ -38,7 +38,7 @@ class Encoder:
         self._split, self._model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self._known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         found = self._known.get(word)
         if found is None:
             found = np.array([t.id for part, _ in self._split(word) for t in self._model(part)], "<u4").tobytes()
@@ -60,7 +60,7 @@ class Encoder:
         heads = code[ends[:-1]]
         firsts, head_code = np.unique(heads, return_inverse=True)
         code[ends[:-1]] = len(distinct) + head_code
-        known = [self._word(" " + w) for w in distinct] + [self._word(distinct[i]) for i in firsts]
+        known = [self.word(" " + w) for w in distinct] + [self.word(distinct[i]) for i in firsts]
         if end is not None:
             known.append(np.array([end], "<u4").tobytes())
             code = np.insert(code, ends[1:], len(known) - 1)
@@ -92,8 +92,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of a partition again, in portions of about ``AT_ONCE`` bytes of text (one row at least)."""
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text", at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition again, in portions of about ``at_once`` bytes of text (one row at least)."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -101,7 +101,7 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
         begin = 0
         for i, n in enumerate(lengths):
             size += int(n)
-            if size >= AT_ONCE:
+            if size >= at_once:
                 held.append(batch.slice(begin, i + 1 - begin))
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size, begin = [], 0, i + 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, exact, langid, licenses, mixing, neardup, packing, quality, warc
+from plumbline.llm import bitpack, exact, langid, licenses, lmscore, mixing, neardup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.scores(table(spark, folder, "documents"))
