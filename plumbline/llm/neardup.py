@@ -11,8 +11,9 @@ coordinates; two that agree in at least ``MATCHES`` of ``COORDINATES`` are candi
 
 Only components are asked for, so a list is never expanded into all its pairs. Equal sets are one class. In each round
 every list pairs its members with one pivot of the list; links found join components, and lists that lie in one
-component are done. Whatever lists still span components after the rounds have the members outside the list's main
-component paired with all others: no link between components is lost.
+component are done. The lists that still span components after the rounds are settled exactly: their classes are joined
+by a prefix filter on the full sets, each with classes of larger components only. No link between components is lost, and
+a class that differs from a large group in many shingles of its own meets none of the group.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from plumbline.session import stored
 SHINGLE = 5
 COORDINATES, MATCHES = 64, 27
 PREFIX = COORDINATES - MATCHES + 1
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Set sizes within this factor are looked up together.
+SIZE_STEP = 1.05
 #: Words whose hash a worker remembers.
 REMEMBERED = 400_000
 _STEPS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -156,7 +159,7 @@ def _links(body: DataFrame, classes: DataFrame) -> DataFrame:
         lists = stored(labelled.join(stored(mixed_lists, "open-lists"), "element"), "open-lists")
         if lists.isEmpty():
             break
-        pairs = _pivot_pairs(lists, turn) if turn < PIVOT_ROUNDS else _all_pairs(lists)
+        pairs = _pivot_pairs(lists, turn) if turn < PIVOT_ROUNDS else _rest_pairs(lists, sets)
         found = stored(_confirmed(pairs, signatures, sets), "links")
         links = stored(links.union(found).distinct(), "links")
         labels = stored(components(links).select(F.col("node").alias("cid"), "root"), "labels")
@@ -184,13 +187,39 @@ def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs across components: the members outside a list's main component, each with the whole list."""
-    shares = lists.groupBy("element", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = stored(shares.groupBy("element").agg(F.max(F.struct("size", "label")).alias("most")).select("element", F.col("most.label").alias("main")), "main-labels")
-    outside = lists.join(main, "element").filter("label <> main").select("element", F.col("cid").alias("o_cid"), F.col("label").alias("o_label"), F.col("n").alias("o_n"))
-    pairs = lists.join(outside, "element").filter("label <> o_label").filter(_near_sizes("n", "o_n"))
-    return pairs.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
+def _least_common(x: Column, y: Column) -> Column:
+    """How many shingles sets of these sizes have in common if they are similar: 100 c >= 75 (x + y - c)."""
+    return F.ceil(3 * (x + y) / 7)
+
+
+def _rest_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs across components that can be links, by an exact prefix filter on the full sets of the lists' classes.
+
+    Shingles are ordered from rare to common among these classes. Similar sets x and y have one in common among the first
+    ``x - common + 1`` of x and ``y - common + 1`` of y. A class looks up the sizes that a partner can have, so that it is
+    posted under few shingles for each, and meets only classes of components that come later by size.
+    """
+    members = lists.select("cid", "n", "label").distinct()
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    members = stored(members.join(sizes, "label").select("cid", F.col("n").cast("int").alias("n"), F.struct("size", "label").alias("component")), "rest-classes")
+    placed = stored(lists.select("element", "cid").join(members, "cid"), "rest-lists")
+    last = placed.groupBy("element").agg(F.max("component").alias("last"))
+    seekers = stored(placed.join(stored(last, "rest-lists"), "element").filter("component < last").select("cid").distinct(), "rest-seekers")
+    shingles = stored(sets.join(members, "cid").select("cid", "n", "component", F.explode("shingles").alias("shingle")), "rest-shingles")
+    common = stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "rest-counts")
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("df", "shingle"))
+    ranked = shingles.join(common, "shingle").withColumn("rank", nth).filter("df > 1 and 4 * (rank - 1) <= n")
+    ranked = stored(ranked.select("cid", "n", "component", "shingle", "rank"), "rest-prefixes")
+    bucket = lambda size: F.floor(F.log(size) / float(np.log(SIZE_STEP))).cast("int")
+    least = lambda b: F.floor(F.pow(F.lit(SIZE_STEP), b) * (1 - 1e-9))
+    sought = ranked.join(seekers, "cid").select(F.col("cid").alias("o_cid"), F.col("n").alias("o_n"), F.col("component").alias("o_component"), "shingle", F.col("rank").alias("o_rank"))
+    sought = sought.withColumn("bucket", F.explode(F.sequence(bucket(F.ceil(0.75 * F.col("o_n"))), bucket(F.ceil(F.col("o_n") / 0.75)))))
+    sought = sought.filter(F.col("o_rank") <= F.col("o_n") - _least_common(F.col("o_n"), F.greatest(least(F.col("bucket")), F.ceil(0.75 * F.col("o_n")))) + 1)
+    found = ranked.withColumn("bucket", bucket(F.col("n"))).join(sought, ["shingle", "bucket"])
+    common_least = _least_common(F.col("n"), F.col("o_n"))
+    found = found.filter(F.col("o_component") < F.col("component")).filter(_near_sizes("n", "o_n"))
+    found = found.filter((F.col("rank") <= F.col("n") - common_least + 1) & (F.col("o_rank") <= F.col("o_n") - common_least + 1))
+    return found.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
