@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
+from plumbline.plans.catalog import ORACLES, QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def twins() -> duckdb.DuckDBPyConnection:
 
 def test_every_twin_has_its_query() -> None:
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(QUERIES) - set(ORACLES)
     assert without == {"panels_batch", "check_ml_outlier", "drift_ks_verdict", "profile_full", "profile_approximate"}
 
 
@@ -29,11 +30,11 @@ def test_entry(spark: SparkSession) -> None:
     assert [r["status"] for r in rows if r["check_id"] == 11] == ["error"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_twin(spark: SparkSession, twins: duckdb.DuckDBPyConnection, name: str) -> None:
     assert difference(entry.queries()[name](spark, FOLDER), twins, entry.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark: SparkSession, name: str) -> None:
     assert entry.queries()[name](spark, FOLDER).count() >= 0
