@@ -91,7 +91,7 @@ def page(enriched: DataFrame, sort: str = "newest", offset: int = 0, limit: int
         "occurrences": [F.desc("occurrence_count"), newest],
         "severity": [severity_order(F.col("severity")), newest],
     }.get(sort, [newest])
-    return enriched.orderBy(*order).offset(offset).limit(min(limit, 500))
+    return enriched.orderBy(*order).offset(offset).limit(limit)
 
 
 def facets(enriched: DataFrame, top_datasets: int = 20, **filters: object) -> DataFrame:

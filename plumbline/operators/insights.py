@@ -182,7 +182,7 @@ def global_search(branches: Mapping[str, tuple[DataFrame, Column, Column]], need
             df.select(F.lit(kind).alias("type"), ident.cast("bigint").alias("id"), title.alias("title"))
             .filter(F.contains(F.lower("title"), F.lit(text)))
             .orderBy("title", "id")
-            .limit(max(1, min(limit, 25)))
+            .limit(limit)
             .withColumn("_order", F.lit(position))
         )
         out = hits if out is None else out.unionByName(hits)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from plumbline.session import stored
 
-MAX_DEPTH = 5
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -48,7 +47,9 @@ def walk(arcs: DataFrame, start: DataFrame, depth: int | None = None) -> DataFra
 
 def subgraph(edges: DataFrame, start: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` undirected steps and the edges among them."""
-    nodes = walk(both_ways(edges), start, max(1, min(depth, MAX_DEPTH)))
+    if depth < 1:
+        raise ValueError("a subgraph needs a depth of 1 at least")
+    nodes = walk(both_ways(edges), start, depth)
     return nodes, edges_among(edges, nodes)
 
 
@@ -96,8 +97,8 @@ def resolve_references(references: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.select(*references.columns, F.coalesce("_exact", "_lone", external).alias("node_id"), how.alias("resolved_by"))
 
 
-def overlay(nodes: DataFrame, health: DataFrame, knowledge: DataFrame, max_nodes: int = 500) -> DataFrame:
-    """Nodes with health and ownership, limited to what a drawing holds."""
+def overlay(nodes: DataFrame, health: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """Nodes with health and ownership."""
     joined = nodes.join(health, "dataset_id", "left").join(knowledge, "dataset_id", "left")
     return joined.select(
         *nodes.columns,
@@ -106,4 +107,4 @@ def overlay(nodes: DataFrame, health: DataFrame, knowledge: DataFrame, max_nodes
         F.coalesce("open_exceptions", F.lit(0)).cast("bigint").alias("open_exceptions"),
         F.coalesce("owner", F.lit("")).alias("owner"),
         F.coalesce("importance", F.lit("")).alias("importance"),
-    ).orderBy("id").limit(max_nodes)
+    )

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.schemachecks import column_kind
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 TREES = 200
 SAMPLE = 256
+MIN_ROWS = 50
 EULER = 0.5772156649015329
 
 
@@ -97,7 +98,7 @@ def prepare(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None =
     bounds = base.agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(wanted)], *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(wanted)]).first()
     features = [c for i, c in enumerate(wanted) if bounds[f"_lo{i}"] is not None and bounds[f"_hi{i}"] > bounds[f"_lo{i}"]]
     rows = bounds["_n"]
-    if not features or rows < 50:
+    if not features or rows < MIN_ROWS:
         return base, [], rows
     # One median per column: as many rows as the table has numeric columns.
     medians = {r["column_name"]: r["q"] for r in exact_quantiles(base, features, [0.5]).collect()}
@@ -162,22 +163,25 @@ def isolation_scores(scaled: DataFrame, keys: Sequence[str], features: Sequence[
             yield part[ids].assign(score=np.power(2.0, -depth / len(shipped.value) / norm))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scaled.schema.fields if f.name in set(ids))
-    return _spread(scaled, keys).mapInPandas(score, f"{fields}, score double")
+    return scaled.mapInPandas(score, f"{fields}, score double")
 
 
 def isolation_outliers(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, contamination: float = 0.005, cap: int = 200
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, contamination: float = 0.005
 ) -> DataFrame:
-    """Rows whose isolation score lies beyond the contamination quantile, strangest first, at most ``cap``.
+    """All rows whose isolation score lies beyond the contamination quantile, strangest first.
 
-    All rows are scored; the cap is the report's length, as for any top-k.
+    All rows are scored. A forest needs 50 rows and a column that varies; without them the one row of the result has
+    null keys and ``status`` says why, while flagged rows have the status ``outlier``.
     """
     scaled, features, rows = prepare(df, keys, columns)
     if not features:
-        return df.select(*keys).withColumn("score", F.lit(None).cast("double")).limit(0)
+        why = "not enough rows" if rows < MIN_ROWS else "no column varies"
+        nothing = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+        return df.sparkSession.range(1).select(*nothing, F.lit(None).cast("double").alias("score"), F.lit(why).alias("status"))
     trees = train(scaled, keys, features, rows)
     # Scoring is the costly part and both the threshold and the filter need it: write it once.
-    scores = cut_lineage(isolation_scores(scaled, keys, features, trees))
+    scores = stored(isolation_scores(scaled, keys, features, trees), "isolation-scores")
     share = 1.0 - min(max(contamination, 1e-4), 0.5)
     threshold = exact_quantiles(scores, ["score"], [share]).select("q").scalar()
-    return scores.filter(F.col("score") > threshold).orderBy(F.desc("score"), *keys).limit(cap)
+    return scores.filter(F.col("score") > threshold).withColumn("status", F.lit("outlier")).orderBy(F.desc("score"), *keys)

@@ -1,7 +1,7 @@
 """Profile a table: one wide pass for column facts, one value-frequency table for everything about distinctness.
 
-The frequency table (values counted on the map side) feeds distinct counts, top values, samples and exact
-quantiles, so the table is read twice however many columns it has.
+The frequency table (values counted on the map side) feeds distinct counts, top values and samples; exact quantiles
+come from band counts.
 """
 
 from __future__ import annotations
@@ -147,15 +147,9 @@ def sample_values(freq: DataFrame, k: int = 5) -> DataFrame:
     return freq.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def numeric_quantiles(df: DataFrame, freq: DataFrame, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact quantiles of the numeric columns, from the numeric part of a frequency table."""
-    names = [f.name for f in df.schema.fields if column_kind(f.dataType) == "numeric"]
-    counts = (
-        freq.filter(F.col("column_name").isin(*names))
-        .select("column_name", F.col("value").try_cast("double").alias("value"), "n")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value") & ~F.col("value").isin(float("inf"), float("-inf")))
-    )
-    return exact_quantiles(df, names, probabilities, counts)
+def numeric_quantiles(df: DataFrame, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles of the numeric columns."""
+    return exact_quantiles(df, [f.name for f in df.schema.fields if column_kind(f.dataType) == "numeric"], probabilities)
 
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:
@@ -180,7 +174,7 @@ def profile(df: DataFrame) -> DataFrame:
     )
     samples = sample_values(freq).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
     quant = (
-        numeric_quantiles(df, freq)
+        numeric_quantiles(df)
         .groupBy("column_name")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("p").cast("string"), "q")))).alias("quantiles"))
     )

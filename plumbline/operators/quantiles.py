@@ -1,25 +1,26 @@
 """Exact order statistics over whole columns, without a single task ever holding a column.
 
 ``percentile`` keeps a column's distinct values in one aggregation buffer. Here a sketch (one map-side
-aggregation, no shuffle of rows) first cuts each column into bands of similar size; values are then counted
-and prefix sums over the bands find the ranks. The cut points are fixed before the main job, so every part
-of its plan, and every retry of a task, puts a value into the same band. They only balance the work: they
-never decide a result.
+aggregation, no shuffle of rows) first cuts each column into bands of similar size. Bands are counted, and only
+those that hold a wanted rank are looked at again: cut and counted once more, then ranked value by value. What is
+shuffled is a count per band, and the values of a few narrow bands. Cut points only balance the work: they never
+decide a result, and the path is the same for every size.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import running_totals
 
 # Two-level search: FINE cut points are looked at within one of the coarse steps.
 FINE = 32
-# Cells that one aggregation buffer may hold.
-SMALL = 2_000_000
 GRID = f"array({', '.join(f'{i / FINE**2}D' for i in range(1, FINE**2))})"
 
 
@@ -44,8 +45,6 @@ def band_cuts(df: DataFrame, columns: Sequence[str], tallies: Mapping[str, Calla
     for i, c in enumerate(columns):
         total = seen[f"n{i}"]
         cuts = sorted(set(seen[f"q{i}"] or []))
-        if total <= SMALL:
-            cuts = cuts[:: max(1, len(cuts) // FINE)]
         rows.append((c, cuts[FINE - 1 :: FINE], cuts, total, *[seen[f"t{i}_{name}"] for name in extra]))
     schema = "column_name string, _coarse array<double>, _cuts array<double>, _total bigint" + "".join(f", {name} bigint" for name in extra)
     return df.sparkSession.createDataFrame(rows, schema)
@@ -75,45 +74,70 @@ def cumulative(counts: DataFrame, sums: Mapping[str, str], cuts: DataFrame) -> D
     return running_totals(banded, ["column_name"], ["value"], {n: F.col(c) for n, c in sums.items()}, F.col("_band")).drop("_band")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], counts: DataFrame | None = None, small: int = SMALL
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """``(column_name, p, q)`` with linear interpolation between the two nearest ranks.
 
-    A table is counted first. Up to ``small`` cells, Spark's ``percentile`` holds them in one buffer; beyond
-    that, values go through bands. ``counts`` spares a second value count where the caller has one.
+    The driver sees cut points and counts of bands: a number of rows that the columns and probabilities bound.
     """
-    if df.count() * len(columns) <= small:
-        wide = df.agg(*[F.percentile(_finite(F.col(f"`{c}`").cast("double")), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)])
-        lines = [
-            F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"), F.get(f"q{i}", F.lit(j)).alias("q"))
-            for i, c in enumerate(columns)
-            for j, p in enumerate(probabilities)
-        ]
-        return wide.select(F.inline(F.array(*lines))).filter(F.col("q").isNotNull())
-    found = value_counts(df, columns) if counts is None else counts
-    return quantiles_of_counts(found, probabilities, band_cuts(df, columns))
-
-
-def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], cuts: DataFrame) -> DataFrame:
-    """:func:`exact_quantiles` from ready ``(column_name, value, n)`` counts and the columns' cut points."""
-    ranked = cumulative(counts, {"_upto": "n"}, cuts)
-    position = lambda p: p * (F.col("_total") - 1)
-    first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1
-
-    def covers(rank: Column) -> Column:
-        return (rank >= first) & (rank <= last)
-
-    wanted = F.filter(
-        F.array(*[F.lit(float(p)) for p in probabilities]),
-        lambda p: covers(F.floor(position(p))) | covers(F.ceil(position(p))),
-    )
-    hits = ranked.select("column_name", "value", "_upto", "n", "_total", F.explode(wanted).alias("p"))
-    low, high = F.floor(position(F.col("p"))), F.ceil(position(F.col("p")))
-    ends = hits.groupBy("column_name", "p").agg(
-        F.max(F.when(covers(low), F.col("value"))).alias("_lo"),
-        F.max(F.when(covers(high), F.col("value"))).alias("_hi"),
-        F.max("_total").alias("_total"),
-    )
-    share = position(F.col("p")) - F.floor(position(F.col("p")))
-    return ends.select("column_name", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("q"))
+    spark = df.sparkSession
+    numbers = df.select(*[_finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    cells = numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "value").filter(F.col("value").isNotNull())
+    first = band_cuts(df, columns)
+    banded = cells.join(F.broadcast(first), "column_name").withColumn("band", _band(F.col("value"))).select("column_name", "value", "band")
+    totals = {r["column_name"]: r["_total"] for r in first.select("column_name", "_total").collect()}
+    places = [(c, p, p * (n - 1)) for c, n in totals.items() if n for p in map(float, probabilities)]
+    ranks = {(c,): sorted({r for name, _, at in places if name == c for r in (math.floor(at), math.ceil(at))}) for c in totals}
+    hits = _holding(banded.groupBy("column_name", "band").count(), ["column_name"], ranks)
+    inner = banded.join(_hit_table(spark, hits, ["column_name", "band"]), ["column_name", "band"])
+    cuts = inner.groupBy("column_name", "band").agg(F.expr(f"percentile_approx(value, {GRID}, 2048)").alias("_cuts")).collect()
+    steps = spark.createDataFrame([(r["column_name"], r["band"], sorted(set(r["_cuts"]))) for r in cuts], "column_name string, band int, _cuts array<double>")
+    steps = steps.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % FINE == FINE - 1))
+    inner = inner.join(F.broadcast(steps), ["column_name", "band"]).withColumn("sub", _band(F.col("value"))).select("column_name", "band", "sub", "value")
+    last = _holding(inner.groupBy("column_name", "band", "sub").count(), ["column_name", "band"], {k: [r for r, _ in v] for k, v in hits.items()})
+    values = inner.join(_hit_table(spark, last, ["column_name", "band", "sub"]), ["column_name", "band", "sub"])
+    counts = values.groupBy("column_name", "band", "sub", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("column_name", "band", "sub").orderBy("value"))
+    # Ranks count from the start of a column; each was carried down as the rank within its band.
+    wanted = [(c, p, at - math.floor(at), *_ways(c, math.floor(at), hits, last), *_ways(c, math.ceil(at), hits, last)) for c, p, at in places]
+    fields = "column_name string, p double, share double, lo_band int, lo_sub int, lo_rank bigint, hi_band int, hi_sub int, hi_rank bigint"
+    asked = F.broadcast(spark.createDataFrame(wanted, fields).alias("w"))
+    ranked = counts.withColumn("_upto", upto).alias("v")
+
+    def covers(side: str) -> Column:
+        here = (F.col("band") == F.col(f"{side}_band")) & (F.col("sub") == F.col(f"{side}_sub"))
+        return here & (F.col(f"{side}_rank") < F.col("_upto")) & (F.col(f"{side}_rank") >= F.col("_upto") - F.col("n"))
+
+    found = ranked.join(asked, "column_name").filter(covers("lo") | covers("hi"))
+    ends = found.groupBy("column_name", "p", "share").agg(F.max(F.when(covers("lo"), F.col("value"))).alias("_lo"), F.max(F.when(covers("hi"), F.col("value"))).alias("_hi"))
+    return ends.select("column_name", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("share")).alias("q"))
+
+
+Hits = dict[tuple, list[tuple[int, int]]]
+
+
+def _holding(counts: DataFrame, keys: Sequence[str], ranks: Mapping[tuple, Sequence[int]]) -> Hits:
+    """The bands of each group that hold wanted ranks: (group, band) -> (rank within the group, rank within the band)."""
+    groups: dict[tuple, list[tuple[int, int]]] = {}
+    for row in counts.collect():
+        *group, band, n = row
+        groups.setdefault(tuple(group), []).append((band, n))
+    hits: Hits = {}
+    for group, bands in groups.items():
+        bands.sort()
+        before = list(accumulate((n for _, n in bands), initial=0))
+        within = set(ranks[group])
+        for rank in sorted(within):
+            at = bisect_right(before, rank) - 1
+            hits.setdefault((*group, bands[at][0]), []).append((rank - before[at], rank))
+    return hits
+
+
+def _hit_table(spark, hits: Hits, names: Sequence[str]) -> DataFrame:  # noqa: ANN001
+    schema = ", ".join(f"{n} {'string' if n == 'column_name' else 'int'}" for n in names)
+    return F.broadcast(spark.createDataFrame(sorted(hits), schema))
+
+
+def _ways(column: str, rank: int, first: Hits, last: Hits) -> tuple[int, int, int]:
+    """Band, inner band and the rank in it of a column's rank."""
+    band, within = next((k[1], inner) for k, v in first.items() if k[0] == column for inner, outer in v if outer == rank)
+    return next((k[1], k[2], inner) for k, v in last.items() if k[:2] == (column, band) for inner, outer in v if outer == within)

@@ -215,7 +215,7 @@ def zscore_outliers(d: Data) -> DataFrame:
 
 MIDDLE = datetime(2024, 1, 16)
 
-PSI_NUMERIC = """with base as (select value as x from events where ts < timestamp '2024-01-16'), cur as (select value as x from events where ts >= timestamp '2024-01-16' and event_id % 3 <> 0 or ts >= timestamp '2024-01-16' and value > 40),
+PSI_NUMERIC = """with base as (select value as x from events where ts < timestamp '2024-01-16'), cur as (select value + case when event_id % 3 = 0 and value <= 40 then 60 else 0 end as x from events where ts >= timestamp '2024-01-16'),
     q as (select quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) as v from base),
     e as (select list_transform([v[2] + (v[3] - v[2]) * 0.25, v[2] + (v[3] - v[2]) * 0.75, v[3] + (v[4] - v[3]) * 0.2, v[3] + (v[4] - v[3]) * 0.6, v[4],
       v[4] + (v[5] - v[4]) * 0.4, v[4] + (v[5] - v[4]) * 0.8, v[5] + (v[6] - v[5]) * 0.25, v[5] + (v[6] - v[5]) * 0.75], lambda t: round(t, 9)) as edges from q),
@@ -234,8 +234,10 @@ def check_drift_psi_numeric(d: Data) -> DataFrame:
 
 
 def _halves(d: Data) -> tuple[DataFrame, DataFrame]:
+    """All events before and after a day; a third of the later ones is moved up where it is low."""
     late = F.col("ts") >= moment(MIDDLE)
-    return d.events.filter(~late), d.events.filter(late & ((F.col("event_id") % 3 != 0) | (F.col("value") > 40)))
+    moved = F.col("value") + F.when((F.col("event_id") % 3 == 0) & (F.col("value") <= 40), 60).otherwise(0)
+    return d.events.filter(~late), d.events.filter(late).withColumn("value", moved)
 
 
 @query(
@@ -263,22 +265,28 @@ def check_drift_psi_categorical(d: Data) -> DataFrame:
     return bins.select("category", *[F.round(c, 6).alias(c) for c in ("expected_share", "actual_share", "term")])
 
 
-@query(
-    "check_drift_ks",
-    """with v as (select value, count(*) filter (where ts >= timestamp '2024-01-16' and (event_id % 3 <> 0 or value > 40)) as a, count(*) filter (where ts < timestamp '2024-01-16') as b from events
-      where ts < timestamp '2024-01-16' or event_id % 3 <> 0 or value > 40 group by value),
-    c as (select abs(sum(a) over (order by value) / (select sum(a) from v) - sum(b) over (order by value) / (select sum(b) from v)) as gap from v)
-    select round(max(gap), 6) as statistic, cast((select sum(a) from v) as bigint) as n_current, cast((select sum(b) from v) as bigint) as n_prior from c""",
-)
+KS = """with moved as (select ts, value + case when ts >= timestamp '2024-01-16' and event_id % 3 = 0 and value <= 40 then 60 else 0 end as value from events),
+    v as (select value, count(*) filter (where ts >= timestamp '2024-01-16') as a, count(*) filter (where ts < timestamp '2024-01-16') as b from moved group by value),
+    c as (select abs(sum(a) over (order by value) / (select sum(a) from v) - sum(b) over (order by value) / (select sum(b) from v)) as gap from v),
+    d as (select max(gap) as statistic, cast((select sum(a) from v) as bigint) as n_current, cast((select sum(b) from v) as bigint) as n_prior from c)"""
+
+
+@query("check_drift_ks", KS + " select round(statistic, 6) as statistic, n_current, n_prior from d")
 def check_drift_ks(d: Data) -> DataFrame:
     before, after = _halves(d)
     return drift.ks_two_sample(after, before, "value").select(F.round("statistic", 6).alias("statistic"), "n_current", "n_prior")
 
 
-@query("drift_ks_verdict")
+@query(
+    "drift_ks_verdict",
+    KS + """, s as (select *, sqrt(n_current::double * n_prior / (n_current + n_prior)) * statistic as l from d),
+    p as (select *, case when l < 0.2 then 1.0 else greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda k: case when k % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * k * k * l * l))))) end as p from s)
+    select round(statistic, 6) as statistic, round(p::double, 6) as p_value, n_current, n_prior, case when p <= 0.2 then 1 else 0 end::bigint as violation_count from p""",
+)
 def drift_ks_verdict(d: Data) -> DataFrame:
     before, after = _halves(d)
-    return drift.ks_two_sample(after, before, "value")
+    out = drift.ks_two_sample(after, before, "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("statistic", "p_value")})
 
 
 PAIRS = """pairs as (select dataset_id, day, lag(day) over (partition by dataset_id order by day) as before from (select distinct dataset_id, day from snapshot_columns)),

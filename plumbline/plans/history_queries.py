@@ -111,10 +111,10 @@ def incident_activity(d: Data) -> DataFrame:
     "incident_heatmap",
     with_ctes("moves", body="""select day, coalesce(n, 0) as n, cast(case when coalesce(n, 0) <= 2 then coalesce(n, 0) when n <= 4 then 3 else 4 end as int) as heat
     from (select unnest(generate_series(date '2023-11-02', date '2024-01-31', interval 1 day))::date as day)
-    left join (select cast(started_at as date) as day, count(*) as n from moves where kind = 'opened' and check_id % 30 = 1 group by 1) using (day)"""),
+    left join (select cast(started_at as date) as day, count(*) as n from moves where kind = 'opened' group by 1) using (day)"""),
 )
 def incident_heatmap(d: Data) -> DataFrame:
-    opened = _moves(d).filter((F.col("kind") == "opened") & (F.col("check_id") % 30 == 1))
+    opened = _moves(d).filter(F.col("kind") == "opened")
     return insights.heat_map(insights.incident_activity(opened, "started_at", AS_OF), AS_OF)
 
 
@@ -276,12 +276,12 @@ def sla_transitions(d: Data) -> DataFrame:
     return sla.breach_transitions(sla_burndown(d)).select("sla_id", "day", "attainment")
 
 
-CONFORM = """, runs as (select check_id, max(run_id) as run_id, arg_max(status, run_id) as rs, arg_max(violation_count, run_id) as violation_count from check_runs where check_id % 50 <> 4 group by 1),
+CONFORM = """, runs as (select check_id, max(run_id) as run_id, arg_max(status, run_id) as rs, arg_max(violation_count, run_id) as violation_count from check_runs group by 1),
     cs as (select c.*, run_id, violation_count, case when rs is null then 'unknown' when rs = 'pass' then 'pass' else 'breached' end as clause_status from clauses c left join runs using (check_id))"""
 
 
 def _clauses(d: Data) -> DataFrame:
-    return contracts.clause_conformance(d.clauses, d.check_runs.filter(F.col("check_id") % 50 != 4))
+    return contracts.clause_conformance(d.clauses, d.check_runs)
 
 
 @query("contract_clauses", with_ctes("clauses", "check_runs", body=CONFORM + " select * from cs"))

@@ -219,7 +219,7 @@ def profiled_tables(d: Data) -> DataFrame:
         name = F.lit(t).alias("table_name")
         facts = profile.column_facts(df).select(name, "*")
         distinct = profile.distinct_counts(freq).select(name, "*")
-        p99 = profile.numeric_quantiles(df, freq, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
+        p99 = profile.numeric_quantiles(df, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
         out.append(propose.profiled(facts, distinct, p99))
     # One row per column, read by several rule sets: profile once.
     return stored(reduce(DataFrame.unionByName, out), "profile")

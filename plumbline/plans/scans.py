@@ -58,7 +58,7 @@ def classify_columns(d: Data) -> DataFrame:
 
 @query(
     "workbench_select",
-    "select c_mktsegment as segment, count(*) as n, round(avg(c_acctbal), 2) as avg_balance from customer where c_acctbal >= 1000 group by 1 order by 1 limit 200",
+    "select c_mktsegment as segment, count(*) as n, round(avg(c_acctbal), 2) as avg_balance, false as truncated from customer where c_acctbal >= 1000 group by 1",
 )
 def workbench_select(d: Data) -> DataFrame:
     d.table("customer").createOrReplaceTempView("customer")
@@ -66,7 +66,14 @@ def workbench_select(d: Data) -> DataFrame:
     return workbench.run_select(d.spark, body, {"least": 1000})
 
 
-@query("panels_batch")
+@query(
+    "panels_batch",
+    """select cast(0 as int) as panel, 'Total rows' as title, '{"total_rows":' || count(*) || '}' as row, false as truncated, null::varchar as error from orders
+    union all select 1, 'Orders by status', '{"value":"' || o_orderstatus || '","n":' || count(*) || '}', false, null from orders group by o_orderstatus
+    union all select 2, 'Broken', null, null, 'AnalysisException: UNRESOLVED_COLUMN.WITH_SUGGESTION'
+    union all select 3, 'Writes', null, null, 'ParseException: PARSE_SYNTAX_ERROR'
+    union all select 4, 'Events per day', '{"day":"' || day || '","n":' || n || '}', false, null from (select cast(ts as date) as day, count(*) as n from events group by 1 order by 1 desc limit 45)""",
+)
 def panels_batch(d: Data) -> DataFrame:
     for t in ("orders", "events"):
         d.table(t).createOrReplaceTempView(t)

@@ -125,13 +125,13 @@ def reconcile_counts(d: Data) -> DataFrame:
 
 @query(
     "auto_resolve",
-    with_ctes("exceptions", "check_runs", body=""", passed as (select distinct check_id from check_runs where status = 'pass' and rows_evaluated is not null and started_at >= timestamp '2024-01-30')
+    with_ctes("exceptions", "check_runs", body=""", passed as (select distinct check_id from check_runs where status = 'pass' and rows_evaluated is not null)
     select exception_id, check_id, case when e.status = 'open' and p.check_id is not null then 'resolved' else e.status end as status,
     version + case when e.status = 'open' and p.check_id is not null then 1 else 0 end as version, e.status = 'open' and p.check_id is not null as auto_resolved from exceptions e left join passed p using (check_id)"""),
 )
 def auto_resolve(d: Data) -> DataFrame:
     state = d.exceptions.select("exception_id", "check_id", "status", "version")
-    return reconcile.auto_resolve(state, d.check_runs.filter(F.col("started_at") >= moment(datetime(2024, 1, 30))))
+    return reconcile.auto_resolve(state, d.check_runs)
 
 
 TRIAGE_SQL = """select exception_id, case when hit then 'acknowledged' else status end as status, case when hit then 3 else assigned_to_id end as assigned_to_id, case when hit then {now} else marked_at end as marked_at,
@@ -341,7 +341,7 @@ def lineage_columns(d: Data) -> DataFrame:
 
 @query(
     "lineage_resolve",
-    """with cat as (select distinct lower(p_brand) as s, lower(p_type) as n, lower(p_brand) || '.' || lower(p_type) as node_id from part where p_size < 25),
+    """with cat as (select distinct lower(p_brand) as s, lower(p_type) as n, lower(p_brand) || '.' || lower(p_type) as node_id from part),
     refs as (select distinct case p_size % 3 when 0 then p_brand when 1 then 'Brand#X' end as ref_schema, p_type || case when p_size % 7 = 0 then ' x' else '' end as ref_name from part),
     lone as (select n, min(node_id) as node_id from cat group by 1 having count(*) = 1)
     select ref_schema, ref_name, coalesce(e.node_id, l.node_id, case when ref_schema is null then ref_name else ref_schema || '.' || ref_name end) as node_id,
@@ -350,7 +350,7 @@ def lineage_columns(d: Data) -> DataFrame:
 )
 def lineage_resolve(d: Data) -> DataFrame:
     part, size = d.table("part"), F.col("p_size")
-    catalog = part.filter(size < 25).select(
+    catalog = part.select(
         F.col("p_brand").alias("schema_name"), F.col("p_type").alias("table_name"), F.concat_ws(".", F.lower("p_brand"), F.lower("p_type")).alias("node_id")
     ).distinct()
     refs = part.select(
@@ -366,9 +366,9 @@ def lineage_resolve(d: Data) -> DataFrame:
     f as (select l.dataset_id, count(*) filter (where c.status = 'active' and l.s = 'fail') as fails from l left join checks c using (check_id) group by 1),
     o as (select dataset_id, count(*) as opens from exceptions where status = 'open' group by 1)
     select table_name as id, dataset_id, case when coalesce(fails, 0) > 0 then 'fail' when coalesce(opens, 0) > 0 then 'warn' when fails is not null then 'pass' else 'unknown' end as health,
-    coalesce(fails, 0) as failing_checks, coalesce(opens, 0) as open_exceptions, owner, importance from datasets left join f using (dataset_id) left join o using (dataset_id) order by id limit 100"""),
+    coalesce(fails, 0) as failing_checks, coalesce(opens, 0) as open_exceptions, owner, importance from datasets left join f using (dataset_id) left join o using (dataset_id)"""),
 )
 def lineage_overlay(d: Data) -> DataFrame:
     nodes = d.datasets.select(F.col("table_name").alias("id"), "dataset_id")
     health = insights.lineage_health(d.check_runs, d.checks, d.exceptions, d.datasets)
-    return lineage.overlay(nodes, health, d.datasets.select("dataset_id", "owner", "importance"), 100)
+    return lineage.overlay(nodes, health, d.datasets.select("dataset_id", "owner", "importance"))

@@ -29,8 +29,8 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 200) -> DataFrame:
-    """The first rows in a stable order, at most 200."""
-    return df.orderBy(*order).limit(max(1, min(n, 200)))
+    """The first ``n`` rows in a stable order."""
+    return df.orderBy(*order).limit(n)
 
 
 @dataclass(frozen=True)

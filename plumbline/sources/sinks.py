@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.cells import flat_cell, spreadsheet_safe, unique_names
 
-EXPORT_CAP = 10_000
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -38,9 +37,10 @@ def safe_csv_rows(df: DataFrame) -> DataFrame:
     return df.select(*[spreadsheet_safe(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
 
 
-def export_csv(df: DataFrame, path: str, order: Sequence[str], cap: int = EXPORT_CAP) -> None:
-    """An ordered, capped CSV download."""
-    safe_csv_rows(df.orderBy(*order).limit(cap)).write.mode("errorifexists").option("header", "true").csv(path)
+def export_csv(df: DataFrame, path: str, order: Sequence[str], limit: int | None = None) -> None:
+    """An ordered CSV download of all rows, or of the first ``limit``."""
+    rows = df.orderBy(*order)
+    safe_csv_rows(rows if limit is None else rows.limit(limit)).write.mode("errorifexists").option("header", "true").csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -7,28 +7,28 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.spec import CheckSpec, register_check
 from plumbline.session import cut_lineage
 
-PANEL_CAP = 500
+PANEL_ROWS = 500
 
 
 def run_select(spark: SparkSession, text: str, args: Mapping[str, Any] | None = None, limit: int = 200) -> DataFrame:
     """A query as a subquery under a limit.
 
     Only a query fits there, so statements that write or define do not parse. Values go in as named
-    parameters, never as text.
+    parameters, never as text. One row more than ``limit`` is asked for, and ``truncated`` says of every row
+    whether the query had more.
     """
     body = text.strip().rstrip(";")
-    return spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT {int(limit)}", args=dict(args or {}))
-
-
-def truncated(spark: SparkSession, text: str, args: Mapping[str, Any] | None = None, limit: int = 200) -> bool:
-    """Whether the query has at least ``limit`` rows, so that the capped result may be cut."""
-    return run_select(spark, text, args, limit).count() >= limit
+    rows = spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT {int(limit) + 1}", args=dict(args or {}))
+    # The limit leaves its rows in one partition, in the query's order.
+    in_order = Window.orderBy(F.monotonically_increasing_id())
+    numbered = rows.select("*", F.row_number().over(in_order).alias("_nth"), (F.count(F.lit(1)).over(Window.partitionBy()) > limit).alias("truncated"))
+    return numbered.filter(F.col("_nth") <= limit).drop("_nth")
 
 
 @dataclass(frozen=True)
@@ -37,21 +37,21 @@ class Panel:
     sql: str
 
 
-def run_panels(spark: SparkSession, panels: Sequence[Panel], cap: int = PANEL_CAP) -> DataFrame:
-    """``(panel, title, row, error)`` of every panel; one that fails becomes a row with its error.
+def run_panels(spark: SparkSession, panels: Sequence[Panel], limit: int = PANEL_ROWS) -> DataFrame:
+    """``(panel, title, row, truncated, error)`` of every panel; one that fails becomes a row with its error.
 
-    Each panel is a Spark job of its own and at most ``cap`` rows long.
+    Each panel is a Spark job of its own and at most ``limit`` rows long.
     """
-    schema = "panel int, title string, row string, error string"
+    schema = "panel int, title string, row string, truncated boolean, error string"
     out = spark.createDataFrame([], schema)
     for i, panel in enumerate(panels):
         try:
-            rows = run_select(spark, panel.sql, limit=cap)
-            part = cut_lineage(rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("row")))
-            part = part.select(F.lit(i).alias("panel"), F.lit(panel.title).alias("title"), "row", F.lit(None).cast("string").alias("error"))
+            rows = run_select(spark, panel.sql, limit=limit)
+            part = cut_lineage(rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns[:-1]])).alias("row"), "truncated"))
+            part = part.select(F.lit(i).alias("panel"), F.lit(panel.title).alias("title"), "row", "truncated", F.lit(None).cast("string").alias("error"))
         except PySparkException as failure:
             why = f"{type(failure).__name__}: {failure.getCondition()}"
-            part = spark.createDataFrame([(i, panel.title, None, why)], schema)
+            part = spark.createDataFrame([(i, panel.title, None, None, why)], schema)
         out = out.unionByName(part)
     return out
 
@@ -89,8 +89,8 @@ def heuristic_panels(table: str, facts: DataFrame, distinct: DataFrame) -> list[
 def sql_violations(df: DataFrame, spec: CheckSpec, history: DataFrame | None = None) -> DataFrame:
     """The rows a SQL rule returns. The checked table is visible to it as ``source``."""
     body = spec.params["sql"].strip().rstrip(";")
-    df.createOrReplaceTempView("source")
-    return df.sparkSession.sql(f"SELECT * FROM (\n{body}\n)", args=dict(spec.params.get("args") or {}))
+    # The name is the rule's alone: no session view is replaced.
+    return df.sparkSession.sql(f"WITH source AS (SELECT * FROM {{checked_rows}}) SELECT * FROM (\n{body}\n)", args=dict(spec.params.get("args") or {}), checked_rows=df)
 
 
 register_check("custom_sql", sql_violations, needs_column=False, required=("sql",))

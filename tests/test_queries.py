@@ -21,7 +21,7 @@ def twins() -> duckdb.DuckDBPyConnection:
 def test_every_twin_has_its_query() -> None:
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(QUERIES) - set(ORACLES)
-    assert without == {"panels_batch", "check_ml_outlier", "drift_ks_verdict", "profile_full", "profile_approximate"}
+    assert without == {"check_ml_outlier", "profile_full", "profile_approximate"}
 
 
 def test_entry(spark: SparkSession) -> None:

@@ -47,7 +47,9 @@ def test_files(spark: SparkSession, tmp_path: Path) -> None:
 def test_workbench_reads_only(spark: SparkSession) -> None:
     spark.range(50).createOrReplaceTempView("fifty")
     assert workbench.run_select(spark, "SELECT id FROM fifty WHERE id < :top;", {"top": 20}, limit=5).count() == 5
-    assert workbench.truncated(spark, "SELECT id FROM fifty", limit=5) and not workbench.truncated(spark, "SELECT id FROM fifty", limit=51)
+    cut = workbench.run_select(spark, "SELECT id FROM fifty ORDER BY id DESC", limit=5).collect()
+    assert [r["id"] for r in cut] == [49, 48, 47, 46, 45] and all(r["truncated"] for r in cut)
+    assert not any(r["truncated"] for r in workbench.run_select(spark, "SELECT id FROM fifty", limit=50).collect())
     assert workbench.run_select(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a -- done").first()["x"] == 1
     for statement in ("DROP VIEW fifty", "INSERT INTO fifty VALUES (1)", "CREATE TABLE t (a INT)", "SELECT 1; SELECT 2"):
         with pytest.raises(PySparkException):
@@ -58,7 +60,7 @@ def test_workbench_reads_only(spark: SparkSession) -> None:
 def test_panels_isolate_errors(spark: SparkSession) -> None:
     spark.range(3).createOrReplaceTempView("three")
     panels = [workbench.Panel("ok", "SELECT id FROM three"), workbench.Panel("bad name", "SELECT nope FROM three"), workbench.Panel("bad run", "SELECT 1 / (id - id) AS x FROM three")]
-    rows = workbench.run_panels(spark, panels, cap=2).collect()
+    rows = workbench.run_panels(spark, panels, limit=2).collect()
     assert [r["row"] for r in rows if r["panel"] == 0] == ['{"id":0}', '{"id":1}']
     assert {r["panel"] for r in rows if r["error"]} == {1, 2}
 
