@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.profile import as_text, group_key
+from plumbline.operators.profile import as_text, group_key, restore_long_values
 
 
 def attribution_factors(df: DataFrame, failing: Column, columns: Sequence[str], pii: Iterable[str] = (), k: int = 8) -> DataFrame:
@@ -15,6 +15,7 @@ def attribution_factors(df: DataFrame, failing: Column, columns: Sequence[str],
 
     Every row counts, and both sides come out of one pass: cells are counted by (column, value) with the
     failing and healthy tallies side by side, combined on the map side. Masked columns never leave the scan.
+    Without healthy rows nothing can be told apart: no factors then, and :func:`attribution_gap` says why.
     """
     hidden = {p.lower() for p in pii}
     fields = [f for f in df.schema.fields if f.name in set(columns) and f.name.lower() not in hidden]
@@ -28,7 +29,7 @@ def attribution_factors(df: DataFrame, failing: Column, columns: Sequence[str],
     n_bad, n_good = totals.select("b").scalar(), totals.select("g").scalar()
     fail = F.col("fail_count") / F.nullif(n_bad, F.lit(0))
     healthy = F.coalesce(F.col("healthy_count") / F.nullif(n_good, F.lit(0)), F.lit(0.0))
-    scored = counts.filter(F.col("fail_count") > 0).select(
+    scored = counts.filter((F.col("fail_count") > 0) & (n_good > 0)).select(
         "column_name",
         "value",
         "fail_count",
@@ -38,7 +39,16 @@ def attribution_factors(df: DataFrame, failing: Column, columns: Sequence[str],
         F.round(fail / (healthy + F.lit(1e-9)), 2).alias("lift"),
         F.round(fail * 0.6 + F.greatest(fail - healthy, F.lit(0.0)) * 0.4, 6).alias("score"),
     )
-    return scored.orderBy(F.desc("score"), F.desc("fail_pct"), F.asc("column_name"), F.asc("value")).limit(k)
+    order = [F.desc("score"), F.desc("fail_pct"), F.asc("column_name"), F.asc("value")]
+    return restore_long_values(df.select(*[F.col(f"`{f.name}`") for f in fields]), scored.orderBy(*order).limit(k)).orderBy(*order)
+
+
+def attribution_gap(df: DataFrame, failing: Column) -> DataFrame:
+    """One row: failing and healthy rows, and why attribution is not computable (null where it is)."""
+    bad = F.coalesce(failing, F.lit(False))
+    seen = df.agg(F.count_if(bad).alias("failing_rows"), F.count_if(~bad).alias("healthy_rows"))
+    why = F.when(F.col("failing_rows") == 0, "no failing rows").when(F.col("healthy_rows") == 0, "no healthy rows")
+    return seen.withColumn("reason", why)
 
 
 def best_segment(facts: DataFrame, distinct: DataFrame, exclude: str | None = None) -> str | None:

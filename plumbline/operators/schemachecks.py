@@ -27,25 +27,23 @@ def column_kind(kind: T.DataType) -> str:
 
 
 def column_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per column of every table with its observed NULLs, from one narrow pass per table."""
+    """One row per declared column of every table. Only schemas are read, no data."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [
+        (table, i, f.name, f.dataType.simpleString(), column_kind(f.dataType), f.nullable)
+        for table, df in tables.items()
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, name string, dtype string, kind string, nullable boolean")
+
+
+def null_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(table_name, name, null_count)``: the NULLs that each column holds, from one narrow pass per table."""
     out = None
     for table, df in tables.items():
-        fields = df.schema.fields
-        counts = df.agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.count(f"`{f.name}`").alias(f"_c{i}") for i, f in enumerate(fields)],
-        )
-        lines = [
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(f.name).alias("name"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.lit(column_kind(f.dataType)).alias("kind"),
-                (F.col("_rows") - F.col(f"_c{i}")).alias("null_count"),
-                (F.col("_rows") > F.col(f"_c{i}")).alias("nullable"),
-            )
-            for i, f in enumerate(fields)
-        ]
+        names = [f.name for f in df.schema.fields]
+        counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
+        lines = [F.struct(F.lit(c).alias("name"), (F.col("_rows") - F.col(f"_c{i}")).alias("null_count")) for i, c in enumerate(names)]
         part = counts.select(F.lit(table).alias("table_name"), F.inline(F.array(*lines)))
         out = part if out is None else out.unionByName(part)
     return out

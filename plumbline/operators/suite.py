@@ -2,40 +2,133 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranks import run_status
-from plumbline.operators.rowchecks import ROW_CHECKS, count_where, violation_predicate
+from plumbline.operators import drift, historychecks, outliers, schemachecks
+from plumbline.operators.rowchecks import ROW_CHECKS, count_where, reason, violation_predicate
+from plumbline.operators.schemachecks import column_kind
 from plumbline.operators.spec import CHECK_TYPES, CheckSpec
-from plumbline.operators.tablechecks import unique_counts
+from plumbline.operators.tablechecks import freshness, unique_counts
+from plumbline.sources import workbench
 
 RESULT = "check_id int, check_type string, column_name string, severity string, rows_evaluated bigint, violation_count bigint, status string, detail string"
 
 
-def _fused(spec: CheckSpec, as_of: datetime | None) -> Column | None:
-    """The check's violation count as an aggregate of the shared scan."""
+Given = DataFrame | None
+
+
+def _kind(df: DataFrame, spec: CheckSpec) -> str | None:
+    return next((column_kind(f.dataType) for f in df.schema.fields if f.name == spec.column), None)
+
+
+def _fused(df: DataFrame, spec: CheckSpec, as_of: datetime | None) -> tuple[Column, Column | None] | None:
+    """The check's violation count as an aggregate of the shared scan, and a count of cells that cannot be judged.
+
+    A cast that fails would end the scan for all checks. Text is cast on trial instead, and a check with cells
+    that do not fit becomes an error of its own.
+    """
+    value, kind, params = F.col(f"`{spec.column}`"), _kind(df, spec), spec.params
+    if spec.check_type == "range" and kind == "string" and not any(isinstance(params.get(p), str) for p in ("min", "max")):
+        number = value.try_cast("double")
+        low, high = params.get("min"), params.get("max")
+        outside = F.lit(False) if low is None else number < float(low)
+        outside = outside if high is None else outside | (number > float(high))
+        return count_where(outside), count_where(value.isNotNull() & number.isNull())
+    if spec.check_type == "accepted_values" and kind not in (None, "string") and any(isinstance(v, str) for v in params["values"]):
+        return count_where(value.isNotNull() & ~value.cast("string").isin(*map(str, params["values"]))), None
     if spec.check_type in ROW_CHECKS:
-        return count_where(violation_predicate(spec))
+        return count_where(violation_predicate(spec)), None
     if spec.check_type == "row_count_min":
-        low = F.count(F.lit(1)) < int(spec.params.get("min_rows", 1))
-        return F.when(low, 1).otherwise(0).cast("bigint")
-    if spec.check_type == "freshness" and spec.params.get("strategy", "static") == "static" and as_of is not None:
+        low = F.count(F.lit(1)) < int(params.get("min_rows", 1))
+        return F.when(low, 1).otherwise(0).cast("bigint"), None
+    if spec.check_type == "freshness" and params.get("strategy", "static") == "static" and as_of is not None:
         now = F.lit(as_of).cast("timestamp_ntz")
-        stamp = F.col(spec.column).cast("timestamp_ntz")
+        stamp = value.try_cast("timestamp_ntz")
         latest = F.max(F.when(stamp <= now, stamp))
         age = F.timestamp_diff("SECOND", latest, now) / 3600.0
-        stale = latest.isNull() | (age > float(spec.params.get("max_age_hours", 24)))
-        return F.when(stale, 1).otherwise(0).cast("bigint")
+        stale = latest.isNull() | (age > float(params.get("max_age_hours", 24)))
+        return F.when(stale, 1).otherwise(0).cast("bigint"), count_where(value.isNotNull() & stamp.isNull())
     return None
 
 
-def _line(spec: CheckSpec, rows: Column, violations: Column, error: str | None = None) -> Column:
+def _unique(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    return unique_counts(df, spec.column)
+
+
+def _contract(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    expected = df.sparkSession.createDataFrame([tuple(c) for c in spec.params["expected_columns"]], "name string, dtype string, nullable boolean")
+    diffs = schemachecks.contract_diff(expected, schemachecks.column_catalog({"": df}), spec.params.get("allow_additive", True))
+    return diffs.agg(count_where(F.col("violation")).alias("violation_count"))
+
+
+def _schema_change(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    """``given`` is the baseline: name, dtype, nullable."""
+    return schemachecks.contract_diff(_needed(given), schemachecks.column_catalog({"": df})).agg(count_where(F.col("violation")).alias("violation_count"))
+
+
+def _drift(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    """``given`` is the baseline's rows."""
+    limit = float(spec.params.get("threshold", 0.2))
+    if spec.params.get("method") == "ks":
+        return drift.ks_two_sample(df, _needed(given), spec.column, limit)
+    psi = drift.psi_numeric if _kind(df, spec) == "numeric" else drift.psi_categorical
+    return drift.psi_verdict(psi(_needed(given), df, spec.column), limit)
+
+
+def _outliers(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    found = outliers.isolation_outliers(df, spec.params["keys"], spec.params.get("columns"), float(spec.params.get("contamination", 0.005)))
+    return found.agg(F.count_if(F.col("status") == "outlier").alias("violation_count"))
+
+
+def _volume(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    """``given`` is the history: run_id, rows_evaluated. The table's own count is judged as the run after it."""
+    now = df.agg(F.count(F.lit(1)).alias("rows_evaluated")).select(F.lit(True).alias("now"), F.lit(None).cast("bigint").alias("run_id"), "rows_evaluated")
+    runs = _needed(given).select(F.lit(False).alias("now"), F.col("run_id").cast("bigint").alias("run_id"), F.col("rows_evaluated").cast("bigint").alias("rows_evaluated"))
+    both = runs.unionByName(now).withColumn("dataset", F.lit(1))
+    judge = historychecks.volume_adaptive if spec.params.get("strategy") == "adaptive" else historychecks.volume_sigma
+    tuned = {k: spec.params[k] for k in ("lookback_runs", "min_history", "sigma", "multiplier") if k in spec.params}
+    return judge(both, "dataset", ["now", "run_id"], "rows_evaluated", F.col("now").cast("int"), **tuned).filter("now").select("rows_evaluated", "violation_count")
+
+
+def _freshness(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    """``given`` is the history: run_id, latest."""
+    if as_of is None:
+        raise ValueError("freshness needs as_of")
+    tuned = {k: spec.params[k] for k in ("lookback_runs", "min_history", "multiplier", "grace_hours") if k in spec.params}
+    history = _needed(given).withColumn("dataset", F.lit(1))
+    learned = historychecks.adaptive_max_age(history, "dataset", ["run_id"], "latest", float(spec.params.get("max_age_hours", 24)), **tuned)
+    return freshness(df, spec.column, as_of, learned.select("max_age_hours").scalar())
+
+
+def _sql(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    return workbench.sql_violations(df, spec).agg(F.count(F.lit(1)).alias("violation_count"))
+
+
+def _needed(given: Given) -> DataFrame:
+    if given is None:
+        raise ValueError("no baseline or history was given")
+    return given
+
+
+#: Check types that take a pass of their own. Each returns one row with ``violation_count``.
+ALONE: dict[str, Callable[[DataFrame, CheckSpec, Given, datetime | None], DataFrame]] = {
+    "unique": _unique, "schema_contract": _contract, "schema_change": _schema_change, "distribution_drift": _drift, "ml_outlier": _outliers, "row_count_anomaly": _volume, "freshness": _freshness, "custom_sql": _sql,
+}
+
+
+def _line(spec: CheckSpec, rows: Column, violations: Column, error: str | None = None, unfit: Column | None = None) -> Column:
     status = F.lit("error") if error else run_status(violations, F.lit(spec.tolerance), F.lit(spec.severity))
+    detail = F.lit(error).cast("string")
+    if unfit is not None:
+        status = F.when(unfit > 0, "error").otherwise(status)
+        violations = F.when(unfit == 0, violations)
+        detail = F.when(unfit > 0, F.concat(F.lit("CAST_INVALID_INPUT: "), unfit.cast("string"), F.lit(" cells")))
     return F.struct(
         F.lit(spec.check_id).cast("int").alias("check_id"),
         F.lit(spec.check_type).alias("check_type"),
@@ -44,7 +137,7 @@ def _line(spec: CheckSpec, rows: Column, violations: Column, error: str | None =
         rows.cast("bigint").alias("rows_evaluated"),
         violations.cast("bigint").alias("violation_count"),
         status.alias("status"),
-        F.lit(error).cast("string").alias("detail"),
+        detail.alias("detail"),
     )
 
 
@@ -57,51 +150,66 @@ def _resolves(df: DataFrame, measure: Column) -> str | None:
     return None
 
 
-def run_suite(df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | None = None, by: Sequence[Column] = ()) -> DataFrame:
+def _named(failure: Exception) -> str:
+    return f"{type(failure).__name__}: {failure.getCondition()}" if isinstance(failure, PySparkException) else f"{type(failure).__name__}: {failure}"
+
+
+def run_suite(
+    df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | None = None, by: Sequence[Column] = (), given: Mapping[int, DataFrame] | None = None
+) -> DataFrame:
     """One result row per check (and per value of ``by``).
 
-    All row, volume and freshness checks become aggregates of one pass; a check that does not resolve
-    turns into an ``error`` row and leaves the others alone. Uniqueness and registered custom types need
-    a pass of their own and are appended.
+    All row, volume and static freshness checks become aggregates of one pass. Every other type is a job of its own,
+    run here; ``given`` holds its baseline or history by check id. A check that does not resolve, meets cells that
+    do not fit, or fails while it runs, turns into an ``error`` row and leaves the others alone.
     """
-    good: list[tuple[CheckSpec, Column]] = []
+    good: list[tuple[CheckSpec, Column, Column | None]] = []
     bad: list[tuple[CheckSpec, str]] = []
     alone: list[CheckSpec] = []
     for spec in specs:
-        measure = _fused(spec, as_of)
+        measure = _fused(df, spec, as_of)
         if measure is None:
             alone.append(spec)
             continue
-        problem = _resolves(df, measure)
-        bad.append((spec, problem)) if problem else good.append((spec, measure))
+        problem = _resolves(df, measure[0])
+        bad.append((spec, problem)) if problem else good.append((spec, *measure))
+    if by and alone:
+        raise ValueError(f"not available per slice: {', '.join(s.check_type for s in alone)}")
 
-    names = [f"_v{i}" for i in range(len(good))]
+    measures = [m.alias(f"_v{i}") for i, (_, m, _) in enumerate(good)] + [u.alias(f"_u{i}") for i, (_, _, u) in enumerate(good) if u is not None]
     grouped = df.groupBy(*by) if by else df.groupBy()
-    counts = grouped.agg(
-        F.count(F.lit(1)).alias("_rows"), *[m.alias(n) for n, (_, m) in zip(names, good, strict=True)]
-    )
-    keep = [c for c in counts.columns if c != "_rows" and c not in names]
+    counts = grouped.agg(F.count(F.lit(1)).alias("_rows"), *measures)
+    keep = counts.columns[: len(by)]
     none = F.lit(None).cast("bigint")
     rows_of = lambda spec: none if spec.check_type == "freshness" else F.col("_rows")
-    lines = [_line(s, rows_of(s), F.col(n)) for n, (s, _) in zip(names, good, strict=True)]
+    lines = [_line(s, rows_of(s), F.col(f"_v{i}"), unfit=None if u is None else F.col(f"_u{i}")) for i, (s, _, u) in enumerate(good)]
     lines += [_line(s, none, none, why) for s, why in bad]
     out = counts.select(*keep, F.explode(F.array(*lines)).alias("_r")).select(*keep, "_r.*") if lines else None
-
-    if by:
-        if alone:
-            raise ValueError(f"not available per slice: {', '.join(s.check_type for s in alone)}")
-        return out
-    for spec in alone:
-        custom = CHECK_TYPES[spec.check_type].violations
-        if spec.check_type == "unique":
-            result = unique_counts(df, spec.column).select(
-                F.inline(F.array(_line(spec, F.col("rows_evaluated"), F.col("violation_count"))))
-            )
-        elif custom is not None:
-            result = custom(df, spec, None).agg(F.count(F.lit(1)).alias("_v")).select(
-                F.inline(F.array(_line(spec, none, F.col("_v"))))
-            )
-        else:
-            raise ValueError(f"{spec.check_type} has its own operator")
-        out = result if out is None else out.unionByName(result)
+    results = [_alone(df, spec, (given or {}).get(spec.check_id), as_of) for spec in alone]
+    if results:
+        extra = df.sparkSession.createDataFrame(results, RESULT)
+        out = extra if out is None else out.unionByName(extra)
     return out
+
+
+def _alone(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> tuple:
+    head = (spec.check_id, spec.check_type, spec.column, spec.severity)
+    run, custom = ALONE.get(spec.check_type), CHECK_TYPES[spec.check_type].violations
+    try:
+        if run is None and custom is None:
+            raise ValueError("the check type has no way to run")
+        found = run(df, spec, given, as_of) if run else custom(df, spec, given).agg(F.count(F.lit(1)).alias("violation_count"))
+        rows = F.col("rows_evaluated") if "rows_evaluated" in found.columns else F.lit(None)
+        status = run_status(F.col("violation_count"), F.lit(spec.tolerance), F.lit(spec.severity))
+        row = found.select(rows.cast("bigint").alias("r"), F.col("violation_count").cast("bigint").alias("v"), status.alias("s")).first()
+        return (*head, row["r"], row["v"], row["s"], None)
+    except (PySparkException, ValueError, KeyError) as failure:
+        return (*head, None, None, "error", _named(failure))
+
+
+def suite_violations(df: DataFrame, specs: Sequence[CheckSpec]) -> DataFrame:
+    """``(check_id, row, reason)`` of every row that violates a row check, in one pass and without a cap."""
+    found = [F.when(F.coalesce(violation_predicate(s), F.lit(False)), F.struct(F.lit(s.check_id).cast("int").alias("check_id"), reason(s).alias("reason"))) for s in specs if s.check_type in ROW_CHECKS]
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    hits = df.select(row.alias("row"), F.explode(F.array_compact(F.array(*found))).alias("_f"))
+    return hits.select("_f.check_id", "row", "_f.reason")

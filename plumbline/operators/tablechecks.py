@@ -14,8 +14,9 @@ from plumbline.operators.rowchecks import count_where
 def duplicate_groups(df: DataFrame, column: str) -> DataFrame:
     """Non-null values that occur more than once, with their row counts."""
     return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
+        df.select(F.col(f"`{column}`").alias(column))
+        .filter(F.col(f"`{column}`").isNotNull())
+        .groupBy(F.col(f"`{column}`"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
         .filter(F.col("occurrences") > 1)
     )
@@ -27,8 +28,8 @@ def unique_counts(df: DataFrame, column: str) -> DataFrame:
     Copies of a value are combined on the map side, so a value held by a third of all rows reaches its
     reducer as one partial count per task.
     """
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    dup = F.col(column).isNotNull() & (F.col("_n") > 1)
+    counted = df.groupBy(F.col(f"`{column}`").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    dup = F.col("_value").isNotNull() & (F.col("_n") > 1)
     rows = F.coalesce(F.sum(F.when(dup, F.col("_n"))), F.lit(0))
     groups = count_where(dup)
     return counted.agg(
@@ -39,9 +40,14 @@ def unique_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def duplicate_rows(df: DataFrame, column: str) -> DataFrame:
+    """All rows whose value occurs more than once."""
+    return df.join(duplicate_groups(df, column).select(F.col(f"`{column}`").alias("_value")), F.col(f"`{column}`") == F.col("_value"), "left_semi")
+
+
 def duplicate_samples(df: DataFrame, column: str, groups: int = 10) -> DataFrame:
     """All rows of the most duplicated values."""
-    top = duplicate_groups(df, column).orderBy(F.desc("occurrences"), F.asc(column)).limit(groups)
+    top = duplicate_groups(df, column).orderBy(F.desc("occurrences"), F.asc(f"`{column}`")).limit(groups)
     # `groups` rows at most, whatever the table holds: safe to broadcast, and it spares the table a shuffle.
     return df.join(F.broadcast(top.select(column)), column, "left_semi")
 
@@ -49,7 +55,7 @@ def duplicate_samples(df: DataFrame, column: str, groups: int = 10) -> DataFrame
 def freshness(df: DataFrame, column: str, as_of: datetime, max_age_hours: float | Column) -> DataFrame:
     """Age of the newest non-future value against a limit; one row."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    stamp = F.col(column).cast("timestamp_ntz")
+    stamp = F.col(f"`{column}`").cast("timestamp_ntz")
     seen = df.agg(
         F.max(F.when(stamp <= now, stamp)).alias("latest"),
         count_where(stamp > now).alias("future_rows"),

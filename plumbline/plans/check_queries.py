@@ -103,20 +103,18 @@ EXPECTED = [("DOC_ID", "BIGINT", False), ("text", "string", False), ("quality",
 
 @query(
     "check_schema_contract",
-    """with current as (select 'doc_id' as name, 'bigint' as dtype, count(*) > count(doc_id) as nullable from DOCS union all select 'text', 'string', count(*) > count(text) from DOCS
-    union all select 'lang', 'string', count(*) > count(lang) from DOCS union all select 'source', 'string', count(*) > count(source) from DOCS
-    union all select 'n_chars', 'bigint', count(*) > count(n_chars) from DOCS union all select 'quality', 'int', count(*) > count(quality) from DOCS
-    union all select 'toxic', 'int', count(*) > count(toxic) from DOCS),
+    """with current as (select * from (values ('doc_id', 'bigint', true), ('text', 'string', true), ('lang', 'string', true), ('source', 'string', true), ('n_chars', 'bigint', true),
+    ('quality', 'int', true), ('toxic', 'int', true)) t(name, dtype, nullable)),
     expected as (select * from (values ('DOC_ID','BIGINT',false),('text','string',false),('quality',' Int ',false),('toxic','bigint',true),('reviewed_by','string',null)) t(name, dtype, nullable)),
     j as (select e.name as en, c.name as cn, e.dtype as et, c.dtype as ct, e.nullable as eu, c.nullable as cu from expected e full outer join current c on lower(e.name) = lower(c.name))
     select en as column_name, 'missing' as change, et as expected, null as actual, true as violation from j where cn is null
     union all select cn, 'added', null, ct, false from j where en is null
     union all select en, 'type_changed', et, ct, true from j where lower(trim(et)) <> lower(trim(ct))
-    union all select en, 'nullability_changed', cast(eu as varchar), cast(cu as varchar), true from j where eu <> cu""".replace("DOCS", LABELLED),
+    union all select en, 'nullability_changed', cast(eu as varchar), cast(cu as varchar), true from j where eu <> cu""",
 )
 def check_schema_contract(d: Data) -> DataFrame:
     expected = d.values(EXPECTED, "name string, dtype string, nullable boolean")
-    return schemachecks.contract_diff(expected, schemachecks.column_catalog({"documents": labelled(d)}))
+    return schemachecks.contract_diff(expected, schemachecks.column_catalog({"documents": labelled(d)}))  # declared columns: no data is read
 
 
 @query(
@@ -381,6 +379,53 @@ def suite_run(d: Data) -> DataFrame:
     return suite.run_suite(d.table("lineitem"), LINE_SUITE, SUITE_AS_OF)
 
 
+EVERY_TYPE_SQL = """with n as (select count(*) as n, count(*) filter (where o_totalprice > 400000) as dear, count(*) - count(distinct o_custkey) as again,
+    count(*) filter (where o_totalprice < 1000) as cheap from orders)
+    select t.* from n, lateral (values
+    (1, 'range', 'o_orderstatus', 'error', n, null, 'error', 'CAST_INVALID_INPUT: ' || n || ' cells'),
+    (2, 'unique', 'nowhere', 'error', null, null, 'error', 'AnalysisException: UNRESOLVED_COLUMN.WITH_SUGGESTION'),
+    (3, 'custom_sql', null, 'error', null, null, 'error', 'ParseException: PARSE_SYNTAX_ERROR'),
+    (4, 'custom_sql', null, 'error', null, dear, case when dear > 0 then 'fail' else 'pass' end, null),
+    (5, 'custom_sql', null, 'error', null, null, 'error', 'ArithmeticException: DIVIDE_BY_ZERO'),
+    (6, 'schema_contract', null, 'error', null, 1, 'fail', null),
+    (7, 'schema_change', null, 'warn', null, 1, 'warn', null),
+    (8, 'distribution_drift', 'o_totalprice', 'error', null, 0, 'pass', null),
+    (9, 'row_count_anomaly', null, 'error', n, 1, 'fail', null),
+    (10, 'freshness', 'o_orderdate', 'error', null, 1, 'fail', null),
+    (11, 'unique', 'o_custkey', 'error', n, again, case when again > 0 then 'fail' else 'pass' end, null),
+    (12, 'row_count_anomaly', null, 'error', null, null, 'error', 'ValueError: no baseline or history was given'),
+    (13, 'range', 'o_totalprice', 'info', n, cheap, case when cheap > 0 then 'warn' else 'pass' end, null)
+    ) t(check_id, check_type, column_name, severity, rows_evaluated, violation_count, status, detail)"""
+
+
+@query("suite_every_type", EVERY_TYPE_SQL)
+def suite_every_type(d: Data) -> DataFrame:
+    """All kinds of checks through one door, with those that cannot run as error rows."""
+    orders = d.table("orders")
+    specs = [
+        CheckSpec(1, "range", "o_orderstatus", {"min": 0}),
+        CheckSpec(2, "unique", "nowhere"),
+        CheckSpec(3, "custom_sql", params={"sql": "SELECT o_orderkey FROM source WHERE ("}),
+        CheckSpec(4, "custom_sql", params={"sql": "SELECT o_orderkey FROM source WHERE o_totalprice > :most", "args": {"most": 400000}}),
+        CheckSpec(5, "custom_sql", params={"sql": "SELECT 1 / (o_orderkey - o_orderkey) AS x FROM source WHERE 1 / (o_orderkey - o_orderkey) > 0"}),
+        CheckSpec(6, "schema_contract", params={"expected_columns": [("o_orderkey", "bigint", None), ("reviewed_by", "string", None)]}),
+        CheckSpec(7, "schema_change", severity="warn"),
+        CheckSpec(8, "distribution_drift", "o_totalprice", {"method": "ks"}),
+        CheckSpec(9, "row_count_anomaly"),
+        CheckSpec(10, "freshness", "o_orderdate", {"strategy": "adaptive"}),
+        CheckSpec(11, "unique", "o_custkey"),
+        CheckSpec(12, "row_count_anomaly"),
+        CheckSpec(13, "range", "o_totalprice", {"min": 1000}, severity="info"),
+    ]
+    given = {
+        7: d.values([("o_orderkey", "bigint", True), ("gone", "string", True)], "name string, dtype string, nullable boolean"),
+        8: orders.filter(F.col("o_orderkey") % 2 == 0),
+        9: d.values([(i, 100 + i % 2) for i in range(10)], "run_id bigint, rows_evaluated bigint"),
+        10: d.values([(i, datetime(2024, 1, 1 + i)) for i in range(6)], "run_id bigint, latest timestamp_ntz"),
+    }
+    return suite.run_suite(orders, specs, datetime(2024, 2, 1), given=given)
+
+
 @query(
     "suite_history",
     " union all ".join(

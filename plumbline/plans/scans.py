@@ -37,10 +37,10 @@ CATALOG_TABLES = {
 }
 
 
-def _catalog_sql(tables: list[str]) -> str:
-    return " union all ".join(
-        f"select '{t}' as table_name, {i} as ordinal, '{name}' as name, '{dtype}' as dtype, '{kind}' as kind, count(*) - count({name}) as null_count, "
-        f"count(*) > count({name}) as nullable from {t}"
+def _catalog_sql(tables: list[str], counted: bool = False) -> str:
+    nulls = lambda name: f", count(*) - count({name}) as null_count" if counted else ""
+    return " union ".join(
+        f"select '{t}' as table_name, {i} as ordinal, '{name}' as name, '{dtype}' as dtype, '{kind}' as kind, true as nullable{nulls(name)} from {t}"
         for t in tables
         for i, (name, dtype, kind) in enumerate(CATALOG_TABLES[t])
     )
@@ -51,9 +51,10 @@ def column_catalog(d: Data) -> DataFrame:
     return schemachecks.column_catalog({t: d.table(t) for t in ("customer", "events", "embeddings")})
 
 
-@query("classify_columns", f"select kind, count(*) as columns, cast(sum(null_count) as bigint) as null_cells from ({_catalog_sql(['customer', 'events', 'embeddings'])}) group by kind")
+@query("classify_columns", f"select kind, count(*) as columns, cast(sum(null_count) as bigint) as null_cells from ({_catalog_sql(['customer', 'events', 'embeddings'], True)}) group by kind")
 def classify_columns(d: Data) -> DataFrame:
-    return column_catalog(d).groupBy("kind").agg(F.count(F.lit(1)).alias("columns"), F.sum("null_count").alias("null_cells"))
+    nulls = schemachecks.null_counts({t: d.table(t) for t in ("customer", "events", "embeddings")})
+    return column_catalog(d).join(nulls, ["table_name", "name"]).groupBy("kind").agg(F.count(F.lit(1)).alias("columns"), F.sum("null_count").alias("null_cells"))
 
 
 @query(
