@@ -32,7 +32,7 @@ def _least(sides: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang each node's larger neighbours on its smallest neighbour."""
     sides = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-    return sides.filter("y > x").join(_least(sides), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return sides.filter("y > x").join(_least(sides), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

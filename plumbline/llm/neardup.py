@@ -9,9 +9,9 @@ coordinates; two that agree in at least ``MATCHES`` of ``COORDINATES`` are candi
   the two signatures.
 * A true pair (similarity 0.75) agrees in fewer than ``MATCHES`` = 27 of 64 coordinates once in about 10 ** 8 pairs.
 
-Only components are asked for, so a list is never expanded into all its pairs. Equal sets are one class. In each round
-every list pairs its members with one pivot of the list; links found join components, and lists that lie in one
-component are done. The lists that still span components after the rounds are settled exactly: their classes are joined
+Only components are asked for, so a list is never expanded into all its pairs. Equal sets are one class. Every list
+pairs its members with a few pivots of the list; links found join components, and lists that lie in one
+component are done. The lists that still span components are settled exactly: their classes are joined
 by a prefix filter on the full sets, each with classes of larger components only. No link between components is lost, and
 a class that differs from a large group in many shingles of its own meets none of the group.
 """
@@ -34,7 +34,7 @@ from plumbline.session import stored
 SHINGLE = 5
 COORDINATES, MATCHES = 64, 27
 PREFIX = COORDINATES - MATCHES + 1
-PIVOT_ROUNDS = 2
+PIVOTS = 3
 #: Set sizes within this factor are looked up together.
 SIZE_STEP = 1.05
 #: Words whose hash a worker remembers.
@@ -141,7 +141,6 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 
 def _links(body: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links ``a < b`` between classes, enough of them to connect every component."""
-    spark = classes.sparkSession
     lists = _postings(classes)
     signatures = classes.select("cid", "signature")
     members = lists.select("cid").distinct()
@@ -149,41 +148,40 @@ def _links(body: DataFrame, classes: DataFrame) -> DataFrame:
     named = body.join(sets, body["id"].eqNullSafe(sets["id"])).select("cid", "class", "text")
     sets = stored(named.mapInArrow(_sets, _SETS), "shingle-sets").dropDuplicates(["cid"])
     sets = stored(sets, "shingle-sets")
-    labels: DataFrame | None = None
-    links = spark.createDataFrame([], "a long, b long")
-    for turn in range(PIVOT_ROUNDS + 1):
-        labelled = lists.withColumn("label", F.col("cid")) if labels is None else lists.join(labels, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
-        # The lists that still span components; the others are done.
-        labelled = stored(labelled, "labelled-lists")
-        mixed_lists = labelled.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element")
-        lists = stored(labelled.join(stored(mixed_lists, "open-lists"), "element"), "open-lists")
-        if lists.isEmpty():
-            break
-        pairs = _pivot_pairs(lists, turn) if turn < PIVOT_ROUNDS else _rest_pairs(lists, sets)
-        found = stored(_confirmed(pairs, signatures, sets), "links")
-        links = stored(links.union(found).distinct(), "links")
-        labels = stored(components(links).select(F.col("node").alias("cid"), "root"), "labels")
-        lists = lists.drop("label")
-    return links
+    lists = lists.withColumn("label", F.col("cid"))
+    links = stored(_confirmed(_pivot_pairs(lists), signatures, sets), "links")
+    labels = stored(components(links).select(F.col("node").alias("cid"), "root"), "labels")
+    labelled = stored(lists.join(labels, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "labelled-lists")
+    spanning = labelled.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("element")
+    lists = stored(labelled.join(stored(spanning, "open-lists"), "element"), "open-lists")
+    return stored(links.union(_confirmed(_rest_pairs(lists, sets), signatures, sets)).distinct(), "links")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(element, cid, n): each class under the rarest values of its signature, where another class is too."""
+    """(element, cid, n, alone): each class under the rarest values of its signature, where another class is too.
+
+    ``alone`` is how many of its values no other class has.
+    """
     posts = stored(classes.select("cid", "n", F.explode("signature").alias("element")), "postings")
     shared = posts.groupBy("element").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     posts = posts.join(stored(shared, "shared-values"), "element")
     # Values of one class alone are the rarest: they fill the front of the prefix and are posted nowhere.
     of_class = Window.partitionBy("cid")
     ranked = posts.withColumn("rank", F.row_number().over(of_class.orderBy("df", "element"))).withColumn("alone", COORDINATES - F.count(F.lit(1)).over(of_class))
-    prefix = stored(ranked.filter(F.col("rank") + F.col("alone") <= PREFIX).select("element", "cid", "n"), "prefixes")
+    prefix = stored(ranked.filter(F.col("rank") + F.col("alone") <= PREFIX).select("element", "cid", "n", "alone"), "prefixes")
     met = prefix.groupBy("element").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1").select("element")
     return stored(prefix.join(stored(met, "shared-values"), "element"), "prefixes")
 
 
-def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each member of a list with the list's pivot. The pivot is the first in an order that all lists share, so that few pivots serve many lists."""
-    pivots = stored(lists.groupBy("element").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("order"), "cid", "label", "n")).alias("p")), "pivots")
-    pairs = lists.join(pivots, "element").filter("label <> p.label").filter(_near_sizes("n", "p.n"))
+def _pivot_pairs(lists: DataFrame) -> DataFrame:
+    """Each member of a list with the list's pivots.
+
+    A pivot has as few values of its own as any in the list: it is near the middle of its group, where one link joins
+    most members. Among those, an order that all lists share lets few pivots serve many lists.
+    """
+    first = [F.min(F.struct("alone", F.xxhash64("cid", F.lit(k)).alias("order"), "cid", "n")) for k in range(PIVOTS)]
+    pivots = stored(lists.groupBy("element").agg(F.array(*first).alias("pivots")), "pivots")
+    pairs = lists.join(pivots, "element").select("cid", "n", F.explode("pivots").alias("p")).filter("cid <> p.cid").filter(_near_sizes("n", "p.n"))
     return pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
 
 
