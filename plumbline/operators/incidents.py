@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranks import SEVERITY_RANK, lookup
-from plumbline.operators.joins import salted_join
+from plumbline.operators.joins import last_per_key, salted_join
 from plumbline.operators.ordered import carry_forward, previous_row, running_totals
 
 FAILURES = ("fail", "error")
@@ -150,10 +150,11 @@ def dedupe_windows(routed: DataFrame) -> DataFrame:
 
 
 def next_escalations(incidents: DataFrame, routed: DataFrame, base: str) -> DataFrame:
-    """When each active incident escalates next and how far it may go."""
+    """When each active incident escalates next, how far it may go, and the delay of the step after that."""
     level, delay = F.coalesce("max_escalation_level", F.lit(0)), F.coalesce("escalation_delay_minutes", F.lit(0))
-    usable = (level > F.col("escalation_level")) & (delay > 0)
-    limits = routed.groupBy("check_id").agg(F.max(level).alias("max_level"), F.min(F.when(usable, F.greatest(F.lit(1), delay))).alias("_delay"))
+    wait = lambda above: F.min(F.when((level > above) & (delay > 0), F.greatest(F.lit(1), delay)))
+    now, then = wait(F.col("escalation_level")), wait(F.col("escalation_level") + 1)
+    limits = routed.groupBy("check_id").agg(F.max(level).alias("max_level"), now.alias("_delay"), then.alias("delay_after"))
     joined = incidents.join(limits, "check_id")
     return joined.withColumn(
         "next_escalation_at", F.col(base) + F.make_dt_interval(mins=F.col("_delay"))
@@ -161,10 +162,31 @@ def next_escalations(incidents: DataFrame, routed: DataFrame, base: str) -> Data
 
 
 def escalations_due(incidents: DataFrame, now: Column) -> DataFrame:
-    """Active incidents whose next escalation is due and whose level may still rise."""
+    """Active incidents whose next escalation is due and whose level may still rise, escalated.
+
+    ``due_at`` is when they were due; ``next_escalation_at`` is the time of the step after, null after the last.
+    """
     due = F.col("status").isin("open", "acknowledged") & (F.col("next_escalation_at") <= now)
-    return incidents.filter(due & (F.col("max_level") > F.col("escalation_level"))).withColumn(
-        "escalation_level", F.col("escalation_level") + 1
+    risen = incidents.filter(due & (F.col("max_level") > F.col("escalation_level")))
+    after = now + F.make_dt_interval(mins=F.col("delay_after"))
+    return risen.withColumns({"due_at": F.col("next_escalation_at"), "next_escalation_at": after, "escalation_level": F.col("escalation_level") + 1}).drop("delay_after")
+
+
+def apply_actions(incidents: DataFrame, actions: DataFrame) -> DataFrame:
+    """Incidents after what users did: ``actions(check_id, action, at)`` with ``acknowledge`` and ``resolve``.
+
+    The last action of a check counts. Only an open incident is acknowledged; an open or acknowledged one is resolved, at
+    the time of the action. ``acted`` says whether the action changed the incident.
+    """
+    last = last_per_key(actions.select("check_id", "action", F.col("at").alias("_at")), ["check_id"], ["_at", "action"])
+    joined = incidents.join(last, "check_id", "left")
+    noted = F.coalesce((F.col("action") == "acknowledge") & (F.col("status") == "open"), F.lit(False))
+    closed = F.coalesce((F.col("action") == "resolve") & F.col("status").isin("open", "acknowledged"), F.lit(False))
+    return joined.select(
+        *[c for c in incidents.columns if c not in ("status", "resolved_at")],
+        F.when(closed, "resolved").when(noted, "acknowledged").otherwise(F.col("status")).alias("status"),
+        F.when(closed, F.col("_at")).otherwise(F.col("resolved_at")).alias("resolved_at"),
+        (noted | closed).alias("acted"),
     )
 
 

@@ -242,9 +242,10 @@ def alert_routing(d: Data) -> DataFrame:
 @query(
     "escalations_due",
     with_ctes("checks", "latest", "rules", "incidents", body=ROUTED + """, open_i as (select *, cast(check_id % 20 // 10 as int) as escalation_level from incidents where status = 'open'),
-    lim as (select i.check_id, max(coalesce(max_escalation_level, 0)) as max_level, min(case when coalesce(max_escalation_level, 0) > escalation_level and coalesce(escalation_delay_minutes, 0) > 0 then greatest(1, escalation_delay_minutes) end) as delay
+    lim as (select i.check_id, max(coalesce(max_escalation_level, 0)) as max_level, min(case when coalesce(max_escalation_level, 0) > escalation_level and coalesce(escalation_delay_minutes, 0) > 0 then greatest(1, escalation_delay_minutes) end) as delay,
+      min(case when coalesce(max_escalation_level, 0) > escalation_level + 1 and coalesce(escalation_delay_minutes, 0) > 0 then greatest(1, escalation_delay_minutes) end) as delay_after
       from open_i i join routed using (check_id) group by 1)
-    select check_id, escalation_level + 1 as escalation_level, last_seen_at + to_minutes(delay) as next_escalation_at, max_level from open_i join lim using (check_id)
+    select check_id, escalation_level + 1 as escalation_level, last_seen_at + to_minutes(delay) as due_at, timestamp '2024-01-30 20:00:00' + to_minutes(delay_after) as next_escalation_at, max_level from open_i join lim using (check_id)
     where last_seen_at + to_minutes(delay) <= timestamp '2024-01-30 20:00:00' and max_level > escalation_level"""),
 )
 def escalations_due(d: Data) -> DataFrame:
@@ -252,7 +253,21 @@ def escalations_due(d: Data) -> DataFrame:
     levels = opened.select("check_id", "escalation_level")
     planned = incidents.next_escalations(opened, _routed(d).join(levels, "check_id"), "last_seen_at")
     due = incidents.escalations_due(planned, moment(datetime(2024, 1, 30, 20)))
-    return due.select("check_id", "escalation_level", "next_escalation_at", "max_level")
+    return due.select("check_id", "escalation_level", "due_at", "next_escalation_at", "max_level")
+
+
+@query(
+    "incident_actions",
+    with_ctes("incidents", body="""select check_id, case when check_id % 3 = 1 and status = 'open' then 'resolved' when check_id % 3 = 0 and status = 'open' then 'acknowledged' else status end as status,
+    case when check_id % 3 = 1 and status = 'open' then timestamp '2024-01-31' else resolved_at end as resolved_at, check_id % 3 < 2 and status = 'open' as acted from incidents"""),
+)
+def incident_actions(d: Data) -> DataFrame:
+    """Users acknowledge a third of the incidents and, after an acknowledgement, resolve another third."""
+    state = incident_state(d)
+    at = F.when(F.col("check_id") % 3 == 1, moment(AS_OF)).otherwise(moment(datetime(2024, 1, 30)))
+    said = state.select("check_id", F.when(F.col("check_id") % 3 == 1, "resolve").otherwise("acknowledge").alias("action"), at.alias("at")).filter(F.col("check_id") % 3 < 2)
+    earlier = said.select("check_id", F.lit("acknowledge").alias("action"), moment(datetime(2024, 1, 29)).alias("at"))
+    return incidents.apply_actions(state, said.unionByName(earlier)).select("check_id", "status", "resolved_at", "acted")
 
 
 @query(

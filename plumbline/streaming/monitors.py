@@ -15,9 +15,9 @@ from plumbline.session import run_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """The Parquet files ``name*.parquet`` of a folder as a stream."""
+    """The Parquet file ``name.parquet`` of a folder as a stream; no other file of the folder is read."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.parquet(folder)
