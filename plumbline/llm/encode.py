@@ -7,6 +7,8 @@ in which a blank follows a blank, where the cut would not be the tokenizer's, ar
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,6 +20,9 @@ import pyarrow.compute as pc
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words whose ids a worker remembers, and bytes of text encoded at once.
 REMEMBERED, AT_ONCE = 600_000, 8_000_000
+#: Byte-level models write a byte that is no visible ASCII character as a letter from 256 on, in the order of bytes.
+_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), 127])}
+_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def byte_bpe() -> str:
@@ -29,20 +34,29 @@ def byte_bpe() -> str:
 class Encoder:
     """One tokenizer of a worker and the ids of the words it has met."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self._split, self._model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self._parts = regex.compile(public_tokenizers.PATTERN).findall
         self._known: dict[str, bytes] = {}
+        self._remembered = remembered
 
     def word(self, word: str) -> bytes:
         found = self._known.get(word)
         if found is None:
-            found = np.array([t.id for part, _ in self._split(word) for t in self._model(part)], "<u4").tobytes()
-            if len(self._known) < REMEMBERED:
+            if word.isascii() and not _CONTROLS.search(word):
+                # Words of ASCII are split by the tokenizer's own pattern; the model takes bytes as letters.
+                parts = [part.translate(_LETTERS) for part in self._parts(word)]
+            else:
+                parts = [part for part, _ in self._split(word)]
+            found = array("I", [t.id for part in parts for t in self._model(part)]).tobytes()
+            if len(self._known) < self._remembered:
                 self._known[word] = found
         return found
 
@@ -88,8 +102,8 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: str = "text", at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
