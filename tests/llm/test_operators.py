@@ -146,7 +146,7 @@ def test_each_token_is_scored_once_with_its_window() -> None:
         at = 0
         while scored < n:
             x = np.array([own[at : at + attention.WINDOW]])
-            logits = (attention._forward(p, x)[-1] @ p["logit"] + p["logit_b"])[0].astype(float)
+            logits = attention._outward(p, attention._attend(p, x)[-1])[-1][0].astype(float)
             for j in range(scored - at, min(attention.WINDOW, n - at)):
                 total += logits[j, own[at + j + 1]] - np.log(np.exp(logits[j]).sum())
                 scored += 1
