@@ -121,6 +121,24 @@ def test_lm_base_and_model(spark: SparkSession) -> None:
         assert r["score"] < 0
 
 
+def test_lm_learns_from_every_training_window(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Each token of each training text, also of texts of one window and of copies, is a target of a round."""
+    texts = [cases.prose(i, 3) for i in range(40)] + ["one two"] * 5 + [cases.prose(99, 300), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    given: list[tuple] = []
+    monkeypatch.setattr(lmscore, "learn", lambda *args: given.append(args) or lmscore.Language(*args[1:]))
+    lmscore.scores(docs)
+    rows, weights, begin = given[0]
+    seen: list[np.ndarray] = []
+    monkeypatch.setattr(attention, "train", lambda w, windows, rate, seed: seen.append(windows) or w)
+    list(lmscore._trainer(weights, begin, 0.01, 0)(iter(rows.select("data").toArrow().to_batches())))
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    lengths = np.array([len(x) for x in ids_of([" " + t if t else "" for t in learned], 0)])
+    of, at = attention.window_starts(lengths)
+    windows = np.concatenate(seen)
+    assert len(windows) == len(at) and (windows[:, 1:] >= 0).sum() == np.minimum(attention.WINDOW, lengths[of] - at).sum()
+
+
 def test_attention_is_a_distribution_and_learns() -> None:
     vocabulary = attention.vocabulary(np.random.default_rng(0).integers(0, 50, 500))
     assert np.isclose(sum(10 ** vocabulary.shares[vocabulary.classes == c].sum() if False else (10 ** vocabulary.shares[vocabulary.classes == c]).sum() for c in range(attention.CLASSES)), attention.CLASSES)
