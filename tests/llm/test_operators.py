@@ -139,6 +139,20 @@ def test_lm_learns_from_every_training_window(spark: SparkSession, monkeypatch:
     assert len(windows) == len(at) and (windows[:, 1:] >= 0).sum() == np.minimum(attention.WINDOW, lengths[of] - at).sum()
 
 
+def test_a_token_past_the_first_window_sees_nine_tokens_or_more() -> None:
+    rng = np.random.default_rng(4)
+    weights = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)) + rng.normal(0, 0.2, attention._ENDS[-1]).astype(np.float32)
+    classes = rng.integers(0, attention.CLASSES, 120)
+    whole = lambda c, n: attention.score(weights, c[:n], np.array([0, n]), 0)[0] - attention.score(weights, c[: n - 1], np.array([0, n - 1]), 0)[0]
+    for n in range(40, 72):
+        moved = []
+        for step in range(1, 9):
+            other = classes.copy()
+            other[n - 10] = (other[n - 10] + step) % attention.CLASSES  # the ninth class before the last one
+            moved.append(abs(whole(classes, n) - whole(other, n)))
+        assert max(moved) > 1e-4
+
+
 def test_attention_is_a_distribution_and_learns() -> None:
     vocabulary = attention.vocabulary(np.random.default_rng(0).integers(0, 50, 500))
     assert np.isclose(sum(10 ** vocabulary.shares[vocabulary.classes == c].sum() if False else (10 ** vocabulary.shares[vocabulary.classes == c]).sum() for c in range(attention.CLASSES)), attention.CLASSES)
