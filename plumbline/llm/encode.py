@@ -2,7 +2,8 @@
 
 Tokenizers split a text at blanks before anything else, and in prose most words come again. So a batch is cut into
 words, each distinct word is encoded once by the tokenizer, and the ids are put together with array operations. Texts
-in which a blank follows a blank, where the cut would not be the tokenizer's, are encoded whole.
+in which a blank follows a blank, where the cut would not be the tokenizer's, and texts that hold the string of an added
+token, which the tokenizer takes out before it splits, are encoded whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [regex.escape(t.content, special_only=True) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._odd = "|".join([f"^ |[{SPACE}] ", *added])
         self.size = self.tokenizer.get_vocab_size()
         self._split, self._model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self._parts = regex.compile(public_tokenizers.PATTERN).findall
@@ -63,7 +65,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids start (one more number than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, f"^ |[{SPACE}] ").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False)
         if odd.any():
             return self._mixed(texts, odd, end)
         words = pc.split_pattern(texts, " ")

@@ -16,6 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -219,6 +220,27 @@ def test_encoder_is_the_tokenizer(texts: list[str]) -> None:
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == ids_of(texts, 0)
 
 
+def test_strings_of_added_tokens_are_those_tokens() -> None:
+    tokenizer = Tokenizer.from_file(encode.byte_bpe())  # as the file says, not as the encoder sets it
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"one {end} two", f"{end}{end} x", f" {end}", "<|endoftext|", "<|ENDOFTEXT|>", "plain words", "", None]
+    ids, starts = encode.encoder(encode.byte_bpe()).encode(pa.array(texts, pa.string()), 1)
+    got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert got[0] == [50256, 1] and got[2].count(50256) == 1
+
+
+def test_added_tokens_in_files_and_pieces(spark: SparkSession) -> None:
+    tokenizer = Tokenizer.from_file(encode.byte_bpe())
+    texts = ["a b", "one <|endoftext|> two", "c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    files = {r["doc_id"]: r for r in bitpack.round_trip(docs).collect()}
+    starts = [sum(len(x) + 1 for x in want[:i]) for i in range(3)]
+    assert [(files[i]["start"], files[i]["n_tokens"], files[i]["ids_crc32"]) for i in range(3)] == [(a, len(x) + 1, crc(x + [0])) for a, x in zip(starts, want, strict=True)]
+    check_packing(packing.pack(docs).collect(), [(i, x + [1]) for i, x in enumerate(want)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.data())
 def test_bits_round_trip(bits: int, data: st.DataObject) -> None:
