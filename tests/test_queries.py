@@ -38,3 +38,9 @@ def test_query_equals_twin(spark: SparkSession, twins: duckdb.DuckDBPyConnection
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark: SparkSession, name: str) -> None:
     assert entry.queries()[name](spark, FOLDER).count() >= 0
+
+
+def test_reliability_lists_every_sla(spark: SparkSession) -> None:
+    folder = "/root/testdata/sf0.01"
+    got = [r["sla_id"] for r in QUERIES["reliability"](spark, folder).collect()]
+    assert len(got) > 100 and sorted(got) == sorted(r["sla_id"] for r in QUERIES["sla_evaluations"](spark, folder).collect())
