@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, exact, langid, licenses, lmscore, mixing, neardup, packing, quality, warc
+from plumbline.llm import bitpack, credentials, exact, fim, langid, licenses, lmscore, mixing, neardup, packing, periods, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,28 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_lm_scoring")
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lmscore.scores(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_fill_in_middle",
+    """with units as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+    drawn as (select *, len(u) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from units),
+    formed as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+    parts as (select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from formed)
+    select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256 from parts""",
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digests(table(spark, folder, "documents"))
+
+
+@query("op11_word_runs")
+def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(table(spark, folder, "documents"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digests(table(spark, folder, "documents"))

@@ -47,7 +47,7 @@ def test_equals_twin(spark: SparkSession, name: str) -> None:
 
 def test_all_are_registered() -> None:
     numbers = {n.split("_")[0] for n in QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)}
+    assert numbers == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
