@@ -69,11 +69,14 @@ def _handed_down(rows: DataFrame, verdict: DataFrame, bits: int) -> DataFrame:
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts: that with the largest id.
 
-    Columns of any other name or type pass through, whatever they are called.
+    Columns of any other name or type pass through, whatever they are called. Null texts equal the empty text, a null id is
+    the smallest, and an empty table stays empty.
     """
     keepers = exact_groups(docs, id_column, text).filter("kept").select(F.col("keep_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_digest"))
     packed = docs.select(F.col(id_column).alias("id"), F.unhex(F.sha2(whole(text), 256)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
-    # Rows that repeat id and text are next to each other after the join, which has sorted on the same two columns.
-    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("id"))
+    # Rows that repeat id and text are next to each other after the join, which has sorted on the same two columns; which
+    # of them stays depends on their other columns only (on none that holds a map, which has no hash).
+    others = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64(*others)))
     return packed.join(keepers, same, "left_semi").withColumn("nth", nth).filter("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

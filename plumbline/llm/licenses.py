@@ -103,30 +103,34 @@ def votes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per span: ``id``, ``key``, ``n_words``, ``template``, ``label``, ``base``, ``start``, ``stop``, ``cover``.
+    """One row per span: ``id``, ``key``, ``n_words``, ``template``, ``label``, ``base``, ``start``, ``stop``, ``cover``, ``rows``.
 
-    Template -1 stands for the text itself, so that texts without a span have a row too. Start and stop are words from 0;
+    Template -1 stands for the text itself, so that texts without a span have a row too; ``rows`` is how many rows have it.
+    Cover is the share of the template's words that lie in verified grams. Start and stop are words from 0;
     the start is where the template begins, were it whole.
     """
     of = ["id", "key", "n_words", "template", "label", "base", "grams"]
     found = votes(docs, id_column, text).repartition("id", "key")
     found = found.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("pos") - F.col("tpos")))
-    lines = found.groupBy(*of, "diagonal").agg(F.collect_set("tpos").alias("places"), F.max(F.col("pos") + F.col("size")).alias("stop"))
+    # Rows that repeat id and text come together here; the closing entry of each counts them.
+    lines = found.groupBy(*of, "size", "diagonal").agg(F.collect_set("tpos").alias("places"), F.max(F.col("pos") + F.col("size")).alias("stop"), F.count(F.when(F.col("template") < 0, 1)).alias("rows"))
     along = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
     apart = F.col("base") | step.isNull() | (step > NEIGHBOURS)
     lines = lines.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = lines.groupBy(*of, "span").agg(F.min("diagonal").alias("start"), F.max("stop").alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"))
-    cover = F.when(F.col("grams") > 0, F.col("covered") / F.col("grams")).otherwise(0.0)
-    return merged.withColumn("cover", cover).select("id", "key", "n_words", "template", "label", "base", "start", "stop", "cover")
+    words = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
+    lines = lines.withColumn("places", F.array_distinct(words))
+    merged = lines.groupBy(*of, "size", "span").agg(F.min("diagonal").alias("start"), F.max("stop").alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.sum("rows").alias("rows"))
+    cover = F.when(F.col("grams") > 0, F.col("covered") / (F.col("grams") + F.col("size") - 1)).otherwise(0.0)
+    return merged.withColumn("cover", cover).select("id", "key", "n_words", "template", "label", "base", "start", "stop", "cover", "rows")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``.
 
     ``n_base`` counts the places of phrases, ``score`` is the best cover of any template. Null and empty texts have no
-    words, no labels (empty strings) and score 0. Rows that repeat id and text give one row; rows that repeat an id with
-    another text are separate. A null id stays null. An empty table gives no rows. Other columns are not read.
+    words, no labels (empty strings) and score 0. Rows that repeat give a row each, whether they repeat
+    the id, the text or both. A null id stays null. An empty table gives no rows. Other columns are not read.
     """
     found = spans(docs, id_column, text)
     place = F.col("base") & (F.col("cover") == 1)
@@ -135,9 +139,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     out = found.groupBy("id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count(F.when(place, 1)).alias("n_base"),
         F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
-        joined(F.when(place, F.col("label"))).alias("base_labels"), joined(label).alias("labels"), F.max("cover").alias("score"),
+        joined(F.when(place, F.col("label"))).alias("base_labels"), joined(label).alias("labels"), F.max("cover").alias("score"), F.sum("rows").alias("rows"),
     )
-    return out.drop("key").withColumnRenamed("id", id_column)
+    each = F.explode(F.sequence(F.lit(1), F.col("rows")))
+    return out.withColumn("nth", each).drop("key", "rows", "nth").withColumnRenamed("id", id_column)
 
 
 def scan_sql() -> str:
@@ -152,7 +157,8 @@ def scan_sql() -> str:
     lines as (select distinct doc_id, template, diagonal from hits),
     steps as (select *, diagonal - lag(diagonal) over along as step from lines window along as (partition by doc_id, template order by diagonal)),
     spans as (select *, sum(case when step <= {NEIGHBOURS} and template >= {len(PHRASES)} then 0 else 1 end) over (partition by doc_id, template order by diagonal) as span from steps),
-    covers as (select doc_id, template, label, base, span, min(diagonal) as start, count(distinct tpos) / any_value(grams) as cover from hits join spans using (doc_id, template, diagonal) group by all),
+    covered as (select *, tpos + unnest(range(size)) as word from hits join spans using (doc_id, template, diagonal)),
+    covers as (select doc_id, template, label, base, span, min(diagonal) as start, count(distinct word) / any_value(grams + size - 1) as cover from covered group by all),
     marked as (select *, base and cover = 1 as place from covers)
     select t.doc_id, len(w) as n_words, count(start) filter (place) as n_base, min(start) filter (place) as first_word, max(start) filter (place) as last_word,
     coalesce(string_agg(distinct label, ',' order by label) filter (place), '') as base_labels,

@@ -54,15 +54,15 @@ def position(place: Column, target: Column, start: Column) -> Column:
     The weight runs from ``start`` to ``2 - start`` of its mean, the demand is ``start * t + (1 - start) * t ** 2`` of
     the target, and this is its inverse.
     """
-    share = place / target
+    share = F.try_divide(place, target)
     return 2 * share / (start + F.sqrt(start * start + 4 * (1 - start) * share))
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """``rows(id, source, size, tie, ...)`` with ``source_size``, ``target``, ``taken``, ``copies`` and ``position``.
 
-    ``copies`` is an array of (turn, words, position), one entry for each time the document is taken. Only the last
-    document that a source gives is cut, to meet the target to the word.
+    ``copies`` is an array of (turn, words, position), one entry for each time the document is taken. A document is taken
+    as a whole or not at all; at the end of a source's target, by what comes nearer to it.
     """
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("order", order).withColumn("lead", F.conv(F.substring("order", 1, 8), 16, 10).cast("long"))
@@ -84,7 +84,7 @@ def placed(rows: DataFrame) -> DataFrame:
     turns = []
     for turn in range(MOST_REPEATS):
         at = F.col("place") + turn * F.col("source_size")
-        turns.append(F.struct(F.lit(turn).alias("turn"), F.greatest(F.lit(0).cast("long"), F.least("size", words - at)).alias("words"), position(at, F.col("target"), F.col("start")).alias("position")))
+        turns.append(F.struct(F.lit(turn).alias("turn"), F.when(2 * (words - at) > F.col("size"), F.col("size")).otherwise(0).alias("words"), position(at, F.col("target"), F.col("start")).alias("position")))
     copies = F.filter(F.array(*turns), lambda c: c["words"] > 0)
     rows = rows.withColumn("copies", copies).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"]))
     return rows.withColumn("position", F.get("copies.position", F.lit(0)))
@@ -93,8 +93,8 @@ def placed(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target``, ``taken``, ``n_copies``, ``position``.
 
-    A null text has no words and is never taken (``position`` is null then); null sources are one source, the last. A
-    null id is ordered as the empty text. Rows that repeat id and text are taken one after the other, each on its own.
+    A text without words (null, empty) is never taken (``position`` is null then); a source without words has target 0.
+    Null sources are one source, the last. A null id is ordered as the empty text. Rows that repeat id and text are taken one after the other, each on its own.
     The order of documents depends on ids and texts only, so reruns agree. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(whole(text)).alias("tie"))
@@ -105,13 +105,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: ``docs``, all columns, a row for each copy taken, range-sorted by training position.
 
-    A copy that is cut keeps its first words, joined by single blanks. Columns may have any names.
+    Texts are whole. Rows without words are not taken, and a table without words gives no rows. Columns may have any names.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(whole(text)).alias("tie"), F.struct(*columns).alias("row"))
-    copies = placed(rows).select("row", "size", F.explode("copies").alias("copy"), "order")
-    kept = F.filter(F.split(F.col(f"row.`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("copy.words") < F.col("size"), F.array_join(F.slice(kept, 1, F.col("copy.words").cast("int")), " ")).otherwise(F.col(f"row.`{text}`"))
-    ready = copies.select("row", cut.alias("text"), F.col("copy.position").alias("position"), "order")
+    copies = placed(rows).select("row", F.explode("copies").alias("copy"), "order")
+    ready = copies.select("row", F.col("copy.position").alias("position"), "order")
     ready = ready.repartitionByRange("position", "order").sortWithinPartitions("position", "order")
-    return ready.select(*[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return ready.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -38,7 +38,7 @@ PIVOTS = 3
 #: Set sizes within this factor are looked up together.
 SIZE_STEP = 1.05
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _STEPS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 

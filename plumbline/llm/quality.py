@@ -8,14 +8,15 @@ bounded size whatever the corpus holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.encode import portions
 from plumbline.llm.text import whole
 from plumbline.session import stored
 
@@ -67,7 +68,7 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(texts: pd.Series) -> dict[str, np.ndarray]:
+def measure(texts: list[str]) -> dict[str, np.ndarray]:
     rows = []
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
@@ -94,10 +95,17 @@ def vote_codes(m: dict[str, np.ndarray]) -> np.ndarray:
     return code
 
 
-@F.pandas_udf(SCHEMA)
-def measured(texts: pd.Series) -> pd.DataFrame:
-    m = measure(texts)
-    return pd.DataFrame({c: m[c] for c in MEASURES} | {"votes": vote_codes(m).astype(np.int32)})
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows(x, text)`` as ``x`` and ``measures``, in portions of a bounded number of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            m = measure(batch.column(1).to_pylist())
+            columns = [pa.array(m[c]) for c in MEASURES] + [pa.array(vote_codes(m).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names=SCHEMA.names)], names=[batch.schema.names[0], "measures"])
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField("measures", SCHEMA)]))
 
 
 def unpacked(codes: np.ndarray) -> np.ndarray:
@@ -146,12 +154,16 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     Null and empty texts have no words and fail the base rule. Rows are judged one by one: rows that repeat get the same
     result each, a null id is kept as it is, and an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_column).alias("id"), measured(whole(text)).alias("measures"))
+    rows = measured(docs.select(F.col(id_column).alias("id"), whole(text).alias("text")))
     judged = judge(stored(rows, "quality-measures"))
     return judged.select(F.col("id").alias(id_column), *[F.col(f"measures.{c}").alias(c) for c in MEASURES], "base_failed", "kept", "posterior")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rejected documents. Columns may have any names."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measured(whole(f"`{text}`")).alias("measures"))
-    return judge(packed).filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    """``docs``, all columns, without the rejected documents. Columns may have any names.
+
+    Rows are judged as in ``quality``: nulls, empty texts and repeated rows have the same result here. An empty table
+    stays empty. Texts are measured once; the fit and the verdict both read the stored rows.
+    """
+    packed = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(f"`{text}`").alias("text")))
+    return judge(stored(packed, "quality-rows")).filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -76,7 +76,7 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     places as (select d.*, source_size, target, start, floor(target + 0.5)::bigint as goal,
         sum(size) over (partition by d.source order by ord rows between unbounded preceding and current row)::bigint - size as place
         from docs d join aims a on d.source is not distinct from a.source),
-    taken as (select *, greatest(0, least(size, goal - place)) as t0, greatest(0, least(size, goal - place - source_size)) as t1, greatest(0, least(size, goal - place - 2 * source_size)) as t2 from places)
+    taken as (select *, case when 2 * (goal - place) > size then size else 0 end as t0, case when 2 * (goal - place - source_size) > size then size else 0 end as t1, case when 2 * (goal - place - 2 * source_size) > size then size else 0 end as t2 from places)
     select doc_id, size, source_size, target, t0 + t1 + t2 as taken, (t0 > 0)::bigint + (t1 > 0)::bigint + (t2 > 0)::bigint as n_copies,
     case when t0 > 0 then round(2 * (place / target) / (start + sqrt(start * start + 4 * (1 - start) * (place / target))), 9) end as position from taken""",
 )

@@ -215,7 +215,8 @@ def chunk_table(manifest: DataFrame, folder: str, with_data: bool = True) -> Dat
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, T.StructType(fields))
+    # A number of its own keeps adaptive execution from merging the files, whose names are small, into one task.
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, T.StructType(fields))
 
 
 def records(chunks: DataFrame) -> DataFrame:
