@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact, mixing, neardup, packing, quality
+from plumbline.session import stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage. What each stage before keeps is written and read again, so it is evaluated once.
+
+    Null and empty texts fail the quality rules and go; columns of any name or type pass through to the packing stage,
+    which gives one row per piece of a document. An empty table gives no rows.
+    """
+    return apply(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    *before, (_, last) = STAGES
+    for name, stage in before:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return last(spark, docs, sf_dir)
