@@ -153,7 +153,7 @@ def scan_sql() -> str:
     places as (select doc_id, w, unnest(range(len(w))) as pos from texts),
     grams as (select doc_id, pos, {PHRASE_GRAM} as size, array_to_string(w[pos + 1:pos + {PHRASE_GRAM}], ' ') as gram from places where pos + {PHRASE_GRAM} <= len(w)
         union all select doc_id, pos, {NOTICE_GRAM}, array_to_string(w[pos + 1:pos + {NOTICE_GRAM}], ' ') from places where pos + {NOTICE_GRAM} <= len(w)),
-    hits as (select doc_id, template, label, base, grams, tpos, pos - tpos as diagonal from grams join templates using (size, gram)),
+    hits as (select doc_id, template, label, base, grams, tpos, size, pos - tpos as diagonal from grams join templates using (size, gram)),
     lines as (select distinct doc_id, template, diagonal from hits),
     steps as (select *, diagonal - lag(diagonal) over along as step from lines window along as (partition by doc_id, template order by diagonal)),
     spans as (select *, sum(case when step <= {NEIGHBOURS} and template >= {len(PHRASES)} then 0 else 1 end) over (partition by doc_id, template order by diagonal) as span from steps),
