@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import QUANTILES, frequencies, top_values
-from plumbline.operators.quantiles import band_cuts, cumulative, exact_quantiles
+from plumbline.operators.quantiles import exact_quantiles, largest_gap
 
 # Fixed value: empty bins count as this share, so the logarithm stays finite.
 FLOOR = 1e-4
@@ -92,23 +92,10 @@ def psi_verdict(bins: DataFrame, threshold: float = 0.2) -> DataFrame:
 def ks_two_sample(current: DataFrame, prior: DataFrame, column: str, threshold: float = 0.2) -> DataFrame:
     """The largest gap between two empirical distributions over all rows, with the asymptotic p-value.
 
-    Equal values are counted first; the running counts then go through value bands, so neither sample is
-    ever sorted in one task.
+    See ``largest_gap``: only value ranges that can hold the gap are looked at closely, and nothing is sorted.
     """
-
-    def side(df: DataFrame, current_side: bool) -> DataFrame:
-        x = F.col(column).cast("double") + F.lit(0.0)
-        rows = df.select(x.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        return rows.withColumn("_current", F.lit(current_side))
-
-    sides = side(current, True).unionByName(side(prior, False))
-    # The column name becomes data, as in any value count: a literal key would be folded out of the joins.
-    cells = sides.unpivot(["_current"], ["value"], "column_name", "value")
-    values = cells.groupBy("column_name", "value").agg(F.count_if("_current").alias("a"), F.count_if(~F.col("_current")).alias("b"))
-    tallies = {"n_current": lambda _: F.count_if("_current"), "n_prior": lambda _: F.count_if(~F.col("_current"))}
-    cdf = cumulative(values, {"_ca": "a", "_cb": "b"}, band_cuts(sides, ["value"], tallies))
-    gap = F.abs(F.col("_ca") / F.nullif(F.col("n_current"), F.lit(0)) - F.col("_cb") / F.nullif(F.col("n_prior"), F.lit(0)))
-    d = cdf.agg(F.max(gap).alias("statistic"), F.max("n_current").alias("n_current"), F.max("n_prior").alias("n_prior"))
+    found = largest_gap(current, prior, column)
+    d = current.sparkSession.createDataFrame([found], "statistic double, n_current bigint, n_prior bigint")
     scale = F.sqrt(F.col("n_current") * F.col("n_prior") / (F.col("n_current") + F.col("n_prior"))) * F.col("statistic")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),

@@ -249,7 +249,7 @@ def sla_mttr(d: Data) -> DataFrame:
 
 @query(
     "reliability",
-    with_ctes("slas", "checks", "check_runs", "exceptions", body=EVALUATE + " select sla_id, breached, budget_consumed, attainment from evals order by breached desc, budget_consumed desc, sla_id limit 100"),
+    with_ctes("slas", "checks", "check_runs", "exceptions", body=EVALUATE + " select sla_id, breached, budget_consumed, attainment from evals"),
 )
 def reliability(d: Data) -> DataFrame:
     return sla.reliability(sla_evaluations(d)).select("sla_id", "breached", "budget_consumed", "attainment")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import drift, historychecks, localize, outliers, profile, rowchecks, schemachecks, suite, tablechecks
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators import drift, historychecks, localize, outliers, profile, quantiles, rowchecks, schemachecks, suite, tablechecks
+from plumbline.operators.quantiles import exact_quantiles, largest_gap
 from plumbline.operators.spec import CheckSpec, register_check
 from plumbline.sources import workbench
 
@@ -240,3 +243,58 @@ def test_attribution_finds_the_culprit(spark: SparkSession) -> None:
     top = localize.attribution_factors(df, F.col("bad"), ["region", "k", "secret"], pii=["SECRET"]).collect()
     assert (top[0]["column_name"], top[0]["value"], top[0]["fail_count"], top[0]["healthy_count"]) == ("region", "eu", 250, 0)
     assert all(r["column_name"] != "secret" for r in top)
+
+
+def test_quantiles_of_awkward_columns(spark: SparkSession) -> None:
+    """Hot values, outliers that leave one bin, the widest range of doubles, denormals, infinities and no values."""
+    rng = np.random.default_rng(3)
+    hot = np.where(rng.random(5000) < 0.9, 7.0, rng.normal(0, 1, 5000))
+    far = np.concatenate([rng.normal(0, 1e-9, 4999), [1e300]])
+    wide = np.concatenate([rng.uniform(-1, 1, 4998) * 1.7e308, [-1.7976931348623157e308, 1.7976931348623157e308]])
+    tiny = rng.integers(0, 50, 5000) * 5e-324
+    columns = {"hot": hot, "far": far, "wide": wide, "tiny": tiny, "some": np.where(rng.random(5000) < 0.5, np.nan, rng.integers(0, 9, 5000))}
+    df = spark.createDataFrame(pd.DataFrame(columns)).withColumns({"none": F.lit(None).cast("double"), "inf": F.when(F.col("hot") == 7, float("inf")).otherwise(F.lit(-0.0))})
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column_name"], r["p"]): r["q"] for r in exact_quantiles(df, df.columns, probs).collect()}
+    assert {c for c, _ in got} == {*columns, "inf"}
+    for name, values in columns.items():
+        ordered = np.sort(values[~np.isnan(values)])
+        for p in probs:
+            at = p * (len(ordered) - 1)
+            low, high = float(ordered[math.floor(at)]), float(ordered[math.ceil(at)])
+            assert got[name, p] == low + (high - low) * (at - math.floor(at)), (name, p)
+    assert got["inf", 0.5] == 0.0
+
+
+@pytest.mark.parametrize("kind", ["same", "shifted", "ties", "infinite", "far"])
+def test_gap_equals_sorted_values(spark: SparkSession, kind: str) -> None:
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, 3000), rng.normal(0.3 if kind == "shifted" else 0, 1, 2000)
+    if kind == "ties":
+        a, b = np.round(a), np.round(b * 2)
+    if kind == "infinite":
+        a, b = np.where(rng.random(3000) < 0.3, -np.inf, a), np.where(rng.random(2000) < 0.1, np.inf, b)
+    if kind == "far":
+        a, b = np.append(a * 1e-12, 1e250), np.append(b * 1e-12, -1e250)
+    cells = np.unique(np.concatenate([a, b]))
+    want = max(abs((a <= x).sum() / len(a) - (b <= x).sum() / len(b)) for x in cells)
+    frame = lambda x: spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    assert largest_gap(frame(a), frame(b), "v") == (want, len(a), len(b))
+    assert largest_gap(frame(a), frame([]), "v") == (None, len(a), 0)
+
+
+def test_no_window_over_values_in_ks(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A window sees one range's bins: at most ``BINS`` rows, however many values there are."""
+    seen: list[int] = []
+    keep = quantiles.stored
+
+    def look(df: DataFrame, purpose: str) -> DataFrame:
+        out = keep(df, purpose)
+        if purpose == "gap-bins":
+            seen.append(out.groupBy("part").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "stored", look)
+    half = spark.range(40_000).select((F.sin("id") * 1000).alias("v"))
+    assert largest_gap(half, half, "v")[0] == 0.0
+    assert seen and max(seen) <= quantiles.BINS
