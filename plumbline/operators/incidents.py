@@ -68,6 +68,32 @@ def incident_state(moves: DataFrame) -> DataFrame:
     )
 
 
+def after_runs(incidents: DataFrame, runs: DataFrame) -> DataFrame:
+    """Durable incidents after one run of each check, with ``kind`` opened, occurred, recovered or null.
+
+    ``runs(check_id, dataset_id, severity, run_id, started_at, status)`` has a row per check; ``incidents`` is what this
+    function or :func:`incident_state` returned before. Equal to the state over all moves, without reading them again.
+    """
+    now = runs.select("check_id", *[F.col(c).alias(f"_{c}") for c in ("dataset_id", "severity", "run_id", "started_at", "status")])
+    both = incidents.drop("kind").join(now, "check_id", "full_outer")
+    active = F.coalesce(F.col("status").isin("open", "acknowledged"), F.lit(False))
+    failing = F.col("_status").isin(*FAILURES)
+    kind = F.when(failing & active, "occurred").when(failing, "opened").when((F.col("_status") == "pass") & active, "recovered")
+    moved, known = F.col("kind").isNotNull(), F.col("first_seen_at").isNotNull()
+    fresh = lambda name, source=None: F.when(moved, F.col(f"_{source or name}")).otherwise(F.col(name)).alias(name)
+    out = both.withColumn("kind", kind).filter(known | moved)
+    recovered = F.col("kind") == "recovered"
+    return out.select(
+        "check_id", fresh("dataset_id"), fresh("severity"),
+        F.when(recovered, "resolved").when(F.col("kind") == "opened", "open").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("kind").isin("opened", "occurred"), F.col("_status")).otherwise(F.col("failure_status")).alias("failure_status"),
+        F.coalesce("first_seen_at", "_started_at").alias("first_seen_at"), fresh("last_seen_at", "started_at"),
+        F.when(recovered, F.col("_started_at")).when(F.col("kind") == "opened", None).otherwise(F.col("resolved_at")).alias("resolved_at"), fresh("current_run_id", "run_id"),
+        (F.coalesce("occurrence_count", F.lit(0)) + F.when(F.col("kind").isin("opened", "occurred"), 1).otherwise(0)).cast("bigint").alias("occurrence_count"),
+        (F.coalesce("reopen_count", F.lit(0)) + F.when(known & (F.col("kind") == "opened"), 1).otherwise(0)).cast("bigint").alias("reopen_count"), "kind",
+    )
+
+
 def incident_episodes(events: DataFrame) -> DataFrame:
     """First failure to recovery, one row per episode; an open episode has no recovery."""
     failing = F.col("kind") != "recovered"

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.ordered import previous_row
 
 KEY = ["check_id", "fingerprint"]
+# The comments of system events.
+REGRESSED = "regressed: row reappeared after resolve"
+PASSING = "auto-resolved: check passing"
 
 
 def distinct_sightings(sightings: DataFrame) -> DataFrame:
@@ -71,10 +74,15 @@ def reconcile_events(reconciled: DataFrame) -> DataFrame:
         F.lit("system").alias("kind"),
         F.lit("resolved").alias("from_status"),
         F.lit("open").alias("to_status"),
-        F.lit("regressed: row reappeared after resolve").alias("comment"),
+        F.lit(REGRESSED).alias("comment"),
     )
 
 
+def auto_resolve_events(resolved: DataFrame) -> DataFrame:
+    """System events of an auto-resolve: one per record that it closed."""
+    return resolved.filter("auto_resolved").select(*KEY, F.lit("system").alias("kind"), F.lit("open").alias("from_status"), F.lit("resolved").alias("to_status"), F.lit(PASSING).alias("comment"))
+
+
 def reconcile_counts(reconciled: DataFrame) -> DataFrame:
     """New, suppressed and regressed records per check, as the run's metrics carry them."""
     kind = F.col("outcome")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranks import run_status
 from plumbline.operators import drift, historychecks, outliers, schemachecks
-from plumbline.operators.rowchecks import ROW_CHECKS, count_where, reason, violation_predicate
+from plumbline.operators.rowchecks import ROW_CHECKS, count_where, violation_predicate
 from plumbline.operators.schemachecks import column_kind
 from plumbline.operators.spec import CHECK_TYPES, CheckSpec
 from plumbline.operators.tablechecks import freshness, unique_counts
@@ -27,8 +29,8 @@ def _kind(df: DataFrame, spec: CheckSpec) -> str | None:
     return next((column_kind(f.dataType) for f in df.schema.fields if f.name == spec.column), None)
 
 
-def _fused(df: DataFrame, spec: CheckSpec, as_of: datetime | None) -> tuple[Column, Column | None] | None:
-    """The check's violation count as an aggregate of the shared scan, and a count of cells that cannot be judged.
+def row_predicate(df: DataFrame, spec: CheckSpec) -> tuple[Column, Column | None] | None:
+    """Where a row violates a row check, and where its cell cannot be judged; None for other checks.
 
     A cast that fails would end the scan for all checks. Text is cast on trial instead, and a check with cells
     that do not fit becomes an error of its own.
@@ -39,11 +41,19 @@ def _fused(df: DataFrame, spec: CheckSpec, as_of: datetime | None) -> tuple[Colu
         low, high = params.get("min"), params.get("max")
         outside = F.lit(False) if low is None else number < float(low)
         outside = outside if high is None else outside | (number > float(high))
-        return count_where(outside), count_where(value.isNotNull() & number.isNull())
+        return outside, value.isNotNull() & number.isNull()
     if spec.check_type == "accepted_values" and kind not in (None, "string") and any(isinstance(v, str) for v in params["values"]):
-        return count_where(value.isNotNull() & ~value.cast("string").isin(*map(str, params["values"]))), None
-    if spec.check_type in ROW_CHECKS:
-        return count_where(violation_predicate(spec)), None
+        return value.isNotNull() & ~value.cast("string").isin(*map(str, params["values"])), None
+    return (violation_predicate(spec), None) if spec.check_type in ROW_CHECKS else None
+
+
+def _fused(df: DataFrame, spec: CheckSpec, as_of: datetime | None) -> tuple[Column, Column | None] | None:
+    """The check's violation count as an aggregate of the shared scan, and a count of cells that cannot be judged."""
+    value, params = F.col(f"`{spec.column}`"), spec.params
+    by_row = row_predicate(df, spec)
+    if by_row is not None:
+        bad, unfit = by_row
+        return count_where(bad), None if unfit is None else count_where(unfit)
     if spec.check_type == "row_count_min":
         low = F.count(F.lit(1)) < int(params.get("min_rows", 1))
         return F.when(low, 1).otherwise(0).cast("bigint"), None
@@ -102,7 +112,7 @@ def _freshness(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | N
         raise ValueError("freshness needs as_of")
     tuned = {k: spec.params[k] for k in ("lookback_runs", "min_history", "multiplier", "grace_hours") if k in spec.params}
     history = _needed(given).withColumn("dataset", F.lit(1))
-    learned = historychecks.adaptive_max_age(history, "dataset", ["run_id"], "latest", float(spec.params.get("max_age_hours", 24)), **tuned)
+    learned = historychecks.adaptive_max_age(history, "dataset", ["run_id"], "latest", float(spec.params.get("default_max_age_hours", spec.params.get("max_age_hours", 24))), **tuned)
     return freshness(df, spec.column, as_of, learned.select("max_age_hours").scalar())
 
 
@@ -163,28 +173,12 @@ def run_suite(
     run here; ``given`` holds its baseline or history by check id. A check that does not resolve, meets cells that
     do not fit, or fails while it runs, turns into an ``error`` row and leaves the others alone.
     """
-    good: list[tuple[CheckSpec, Column, Column | None]] = []
-    bad: list[tuple[CheckSpec, str]] = []
-    alone: list[CheckSpec] = []
-    for spec in specs:
-        measure = _fused(df, spec, as_of)
-        if measure is None:
-            alone.append(spec)
-            continue
-        problem = _resolves(df, measure[0])
-        bad.append((spec, problem)) if problem else good.append((spec, *measure))
+    shared, alone = split(df, specs, as_of)
     if by and alone:
         raise ValueError(f"not available per slice: {', '.join(s.check_type for s in alone)}")
-
-    measures = [m.alias(f"_v{i}") for i, (_, m, _) in enumerate(good)] + [u.alias(f"_u{i}") for i, (_, _, u) in enumerate(good) if u is not None]
     grouped = df.groupBy(*by) if by else df.groupBy()
-    counts = grouped.agg(F.count(F.lit(1)).alias("_rows"), *measures)
-    keep = counts.columns[: len(by)]
-    none = F.lit(None).cast("bigint")
-    rows_of = lambda spec: none if spec.check_type == "freshness" else F.col("_rows")
-    lines = [_line(s, rows_of(s), F.col(f"_v{i}"), unfit=None if u is None else F.col(f"_u{i}")) for i, (s, _, u) in enumerate(good)]
-    lines += [_line(s, none, none, why) for s, why in bad]
-    out = counts.select(*keep, F.explode(F.array(*lines)).alias("_r")).select(*keep, "_r.*") if lines else None
+    counts = grouped.agg(*shared.measures())
+    out = shared.results(counts, counts.columns[: len(by)])
     results = [_alone(df, spec, (given or {}).get(spec.check_id), as_of) for spec in alone]
     if results:
         extra = df.sparkSession.createDataFrame(results, RESULT)
@@ -192,6 +186,39 @@ def run_suite(
     return out
 
 
+@dataclass
+class Shared:
+    """The checks that are aggregates of one scan, and those of them that do not resolve."""
+
+    good: list[tuple[CheckSpec, Column, Column | None]]
+    bad: list[tuple[CheckSpec, str]]
+
+    def measures(self) -> list[Column]:
+        counts = [m.alias(f"_v{i}") for i, (_, m, _) in enumerate(self.good)] + [u.alias(f"_u{i}") for i, (_, _, u) in enumerate(self.good) if u is not None]
+        return [F.count(F.lit(1)).alias("_rows"), *counts]
+
+    def results(self, counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame | None:
+        """A result row per check from the measured values."""
+        none = F.lit(None).cast("bigint")
+        rows_of = lambda spec: none if spec.check_type == "freshness" else F.col("_rows")
+        lines = [_line(s, rows_of(s), F.col(f"_v{i}"), unfit=None if u is None else F.col(f"_u{i}")) for i, (s, _, u) in enumerate(self.good)]
+        lines += [_line(s, none, none, why) for s, why in self.bad]
+        return counts.select(*keep, F.explode(F.array(*lines)).alias("_r")).select(*keep, "_r.*") if lines else None
+
+
+def split(df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | None) -> tuple[Shared, list[CheckSpec]]:
+    """The checks that share a scan, and those that take a pass of their own."""
+    shared, alone = Shared([], []), []
+    for spec in specs:
+        measure = _fused(df, spec, as_of)
+        if measure is None:
+            alone.append(spec)
+            continue
+        problem = _resolves(df, measure[0])
+        shared.bad.append((spec, problem)) if problem else shared.good.append((spec, *measure))
+    return shared, alone
+
+
 def _alone(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> tuple:
     head = (spec.check_id, spec.check_type, spec.column, spec.severity)
     run, custom = ALONE.get(spec.check_type), CHECK_TYPES[spec.check_type].violations
@@ -203,13 +230,5 @@ def _alone(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None)
         status = run_status(F.col("violation_count"), F.lit(spec.tolerance), F.lit(spec.severity))
         row = found.select(rows.cast("bigint").alias("r"), F.col("violation_count").cast("bigint").alias("v"), status.alias("s")).first()
         return (*head, row["r"], row["v"], row["s"], None)
-    except (PySparkException, ValueError, KeyError) as failure:
+    except (PySparkException, Py4JError, ValueError, KeyError, TypeError) as failure:
         return (*head, None, None, "error", _named(failure))
-
-
-def suite_violations(df: DataFrame, specs: Sequence[CheckSpec]) -> DataFrame:
-    """``(check_id, row, reason)`` of every row that violates a row check, in one pass and without a cap."""
-    found = [F.when(F.coalesce(violation_predicate(s), F.lit(False)), F.struct(F.lit(s.check_id).cast("int").alias("check_id"), reason(s).alias("reason"))) for s in specs if s.check_type in ROW_CHECKS]
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    hits = df.select(row.alias("row"), F.explode(F.array_compact(F.array(*found))).alias("_f"))
-    return hits.select("_f.check_id", "row", "_f.reason")
