@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import ordered
 from plumbline.operators.ordered import lookback
 
 
@@ -34,6 +35,7 @@ def volume_sigma(
 ) -> DataFrame:
     """z-score of each run's row count against the mean and population deviation of the runs before it."""
     value = F.col(count).cast("double")
+    runs, chunk = ordered.spread(runs, [key], order, chunk)
     seen = lookback(
         runs,
         [key],
@@ -54,7 +56,7 @@ def volume_sigma(
         .withColumn("std", F.when(ready, spread))
         .withColumn("z", z)
         .withColumn("violation_count", F.when(F.abs(z) > sigma, 1).otherwise(0).cast("bigint"))
-        .drop("_mean", "_sd")
+        .drop("_mean", "_sd", ordered.PART)
     )
 
 
@@ -70,6 +72,7 @@ def volume_adaptive(
 ) -> DataFrame:
     """Median and MAD bounds from the runs before each run."""
     value = F.col(count).cast("double")
+    runs, chunk = ordered.spread(runs, [key], order, chunk)
     # At most `lookback_runs` numbers per row are gathered, never a whole history.
     seen = lookback(runs, [key], order, lookback_runs, {"_past": lambda w: F.collect_list(value).over(w)}, chunk)
     ready = F.size("_past") >= min_history
@@ -85,7 +88,7 @@ def volume_adaptive(
         .withColumn("upper_bound", F.when(ready, upper))
         .withColumn("score", F.when(ready, (value - F.col("_center")) / F.col("_spread")))
         .withColumn("violation_count", F.when(ready & ((value < lower) | (value > upper)), 1).otherwise(0).cast("bigint"))
-        .drop("_past", "_center", "_spread")
+        .drop("_past", "_center", "_spread", ordered.PART)
     )
 
 

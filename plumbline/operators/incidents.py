@@ -5,15 +5,13 @@ Only ``fail`` and ``error`` open an incident and only ``pass`` closes it; ``warn
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranks import SEVERITY_RANK, lookup
 from plumbline.operators.joins import last_per_key, salted_join
-from plumbline.operators.ordered import carry_forward, previous_row, running_totals
+from plumbline.operators.ordered import PART, carry_forward, previous_row, running_totals, spread
+from plumbline.session import stored
 
 FAILURES = ("fail", "error")
 ORDER = ["started_at", "run_id"]
@@ -23,20 +21,26 @@ def _day() -> Column:
     return F.to_date("started_at")
 
 
-def incident_moves(runs: DataFrame) -> DataFrame:
-    """Runs that open, repeat or close their check's incident: opened, occurred or recovered.
-
-    A fold over ordered runs, written as one carried window, so that a check with a very long history is
-    cut into days.
-    """
+def _moves(runs: DataFrame) -> tuple[DataFrame, Column]:
+    """The moves of :func:`incident_moves`, and chunks for what is computed along them."""
     facts = ["check_id", "dataset_id", "severity", *ORDER, "status"]
+    dealt, chunk = spread(runs.select(*facts), ["check_id"], ORDER, _day())
     failing = F.when(F.col("status").isin("pass", *FAILURES), F.col("status").isin(*FAILURES))
     before = {"run_before": F.col("status"), "_was": failing}
-    linked = carry_forward(runs.select(*facts), ["check_id"], ORDER, before, _day()).withColumn("_failing", failing)
+    linked = carry_forward(dealt, ["check_id"], ORDER, before, chunk).withColumn("_failing", failing)
     was = F.coalesce(F.col("_was"), F.lit(False))
     kind = F.when(F.col("_failing") & ~was, "opened").when(F.col("_failing"), "occurred").when(~F.col("_failing") & was, "recovered")
     moves = linked.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    return moves.select(*facts[:-1], F.col("status").alias("run_status"), "run_before", "kind")
+    return moves.select(*facts[:-1], F.col("status").alias("run_status"), "run_before", "kind", *[c for c in dealt.columns if c == PART]), chunk
+
+
+def incident_moves(runs: DataFrame) -> DataFrame:
+    """Runs that open, repeat or close their check's incident: opened, occurred or recovered.
+
+    A fold over ordered runs, written as one carried window, so that a check with a very long history is
+    cut into chunks.
+    """
+    return _moves(runs)[0].drop(PART)
 
 
 def incident_events(runs: DataFrame) -> DataFrame:
@@ -45,7 +49,8 @@ def incident_events(runs: DataFrame) -> DataFrame:
         "episode": F.when(F.col("kind") == "opened", 1).otherwise(0),
         "occurrence_count": F.when(F.col("kind") == "recovered", 0).otherwise(1),
     }
-    numbered = running_totals(incident_moves(runs), ["check_id"], ORDER, sums, _day())
+    moves, chunk = _moves(runs)
+    numbered = running_totals(moves, ["check_id"], ORDER, sums, chunk).drop(PART)
     return numbered.withColumn("reopened", (F.col("kind") == "opened") & (F.col("episode") > 1))
 
 
@@ -105,22 +110,38 @@ def incident_episodes(events: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep a candidate when its stretch is new or the window since the last kept one has passed.
+def _next_after(candidates: DataFrame) -> DataFrame:
+    """For each candidate the first one of its stretch a window or more later: ``check_id, at, run_id, to_at, to_run``.
 
-    Rows come sorted by stretch and time; the last kept row is all that is carried between batches.
+    An as-of join as one carried value: going back in time, a candidate leaves itself behind, and the question "who is first
+    from here on" meets the one left last.
+    """
+    window = F.greatest(F.lit(1), "dedupe_minutes").cast("bigint") * 60_000_000
+    base = ["check_id", "stretch"]
+    mine = F.struct("at", "run_id")
+    left = candidates.select(*base, (-F.col("at")).alias("back"), F.lit(0).alias("asks"), (-F.col("run_id")).alias("nth"), mine.alias("of"))
+    asked = candidates.select(*base, (-F.col("at") - window).alias("back"), F.lit(1).alias("asks"), (-F.col("run_id")).alias("nth"), mine.alias("of"))
+    order = ["back", "asks", "nth"]
+    points, chunk = spread(left.unionByName(asked), base, order, F.floor(F.col("back") / 86_400_000_000))
+    found = carry_forward(points, base, order, {"to": F.when(F.col("asks") == 0, F.col("of"))}, chunk)
+    return found.filter((F.col("asks") == 1) & F.col("to").isNotNull()).select("check_id", F.col("of.at").alias("at"), F.col("of.run_id").alias("run_id"), F.col("to.at").alias("to_at"), F.col("to.run_id").alias("to_run"))
+
+
+def _reached(roots: DataFrame, jumps: DataFrame) -> DataFrame:
+    """``check_id, at, run_id`` of all nodes that jumps lead to from ``roots``, themselves included.
+
+    In each round the nodes reached so far take a jump of twice the length of the round before, so a chain of n nodes
+    takes log(n) rounds, each an equality join that spreads over all nodes.
     """
-    stretch, last = None, 0
-    for part in parts:
-        stamps = part["started_at"].to_numpy().astype("datetime64[s]").astype("int64")
-        windows = part["dedupe_minutes"].clip(lower=1).to_numpy() * 60
-        keep = []
-        for mine, stamp, window in zip(zip(part["check_id"], part["stretch"], strict=True), stamps, windows, strict=True):
-            fire = mine != stretch or stamp - last >= window
-            if fire:
-                stretch, last = mine, stamp
-            keep.append(fire)
-        yield part.loc[keep, ["check_id", "run_id", "started_at"]]
+    node = ["check_id", "at", "run_id"]
+    reached, jumps = stored(roots.select(*node), "reached"), stored(jumps, "jumps")
+    while True:
+        step = stored(reached.join(jumps, node).select("check_id", F.col("to_at").alias("at"), F.col("to_run").alias("run_id")), "reached")
+        if step.isEmpty():
+            return reached
+        reached = stored(reached.unionByName(step), "reached")
+        onward = jumps.select("check_id", F.col("at").alias("to_at"), F.col("run_id").alias("to_run"), F.col("to_at").alias("far_at"), F.col("to_run").alias("far_run"))
+        jumps = stored(jumps.join(onward, ["check_id", "to_at", "to_run"]).select(*node, F.col("far_at").alias("to_at"), F.col("far_run").alias("to_run")), "jumps")
 
 
 def notifications(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -129,22 +150,22 @@ def notifications(events: DataFrame, windows: DataFrame) -> DataFrame:
     Opening, reopening and recovery always do. A failure that follows a ``warn`` notifies again once the
     check's dedupe window (``windows(check_id, dedupe_minutes)``, 60 where absent) has passed since the
     last notification. That last rule is sequential. A pause of a whole window always re-arms it, so the
-    candidates split into independent stretches at such pauses; stretches spread over all tasks, and each
-    task walks its own in sorted batches.
+    candidates split into independent stretches at such pauses; within a stretch every candidate points to the
+    first one a window later, and those that the pointers reach from the stretch's first one notify.
     """
     timed = events.join(windows, "check_id", "left").withColumn("dedupe_minutes", F.coalesce("dedupe_minutes", F.lit(60)))
     candidates = timed.filter((F.col("kind") == "opened") | ((F.col("kind") == "occurred") & (F.col("run_before") == "warn")))
-    linked = previous_row(candidates, ["check_id"], ORDER, ["started_at"], _day())
-    gap = F.timestamp_diff("SECOND", F.col("prev_started_at"), F.col("started_at"))
-    fresh = (F.col("kind") == "opened") | F.coalesce(gap >= F.greatest(F.lit(1), "dedupe_minutes") * 60, F.lit(True))
-    numbered = running_totals(linked, ["check_id"], ORDER, {"stretch": fresh.cast("int")}, _day())
-    triggered = (
-        numbered.select("check_id", "stretch", "run_id", "started_at", "dedupe_minutes")
-        .repartition("check_id", "stretch")
-        .sortWithinPartitions("check_id", "stretch", *ORDER)
-        .mapInPandas(_greedy, "check_id bigint, run_id bigint, started_at timestamp_ntz")
-        .withColumn("action", F.lit("triggered"))
-    )
+    dealt, chunk = spread(candidates.select("check_id", *ORDER, "kind", "dedupe_minutes"), ["check_id"], ORDER, _day())
+    linked = previous_row(dealt, ["check_id"], ORDER, ["started_at"], chunk)
+    gap = F.timestamp_diff("MICROSECOND", F.col("prev_started_at"), F.col("started_at"))
+    window = F.greatest(F.lit(1), "dedupe_minutes").cast("bigint") * 60_000_000
+    fresh = (F.col("kind") == "opened") | F.coalesce(gap >= window, F.lit(True))
+    numbered = running_totals(linked.withColumn("fresh", fresh), ["check_id"], ORDER, {"stretch": F.col("fresh").cast("int")}, chunk)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    numbered = numbered.withColumn("at", F.timestamp_diff("MICROSECOND", epoch, F.col("started_at")))
+    numbered = stored(numbered.select("check_id", "stretch", "run_id", "started_at", "at", "fresh", "dedupe_minutes"), "candidates")
+    told = _reached(numbered.filter("fresh"), _next_after(numbered))
+    triggered = numbered.join(told, ["check_id", "at", "run_id"], "left_semi").select("check_id", "run_id", "started_at", F.lit("triggered").alias("action"))
     recovered = events.filter(F.col("kind") == "recovered").select("check_id", "run_id", "started_at", F.lit("recovered").alias("action"))
     return triggered.unionByName(recovered)
 

@@ -5,7 +5,8 @@ each key's order into *chunks* (a day, an hour, a value band), work inside ``(ke
 one summary row per chunk across, so the only window over the bare key runs on chunk summaries. All
 results are exact: they equal the plain window.
 
-``chunk`` must be a deterministic expression that never decreases along the order.
+``chunk`` must be a deterministic expression that never decreases along the order. A day is no bound: a key can have all
+its rows in one. :func:`spread` finds keys with crowded chunks and gives them chunks that are ranges of the order itself.
 
 Each local window is preceded by an explicit ``repartition`` on all of its keys. It takes the place of the
 exchange the window needs anyway; without it, rows that already sit together by key alone (after a join on
@@ -19,6 +20,30 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
+#: More rows than this of one key in one chunk are crowded.
+CROWD = 200_000
+#: The column that :func:`spread` adds.
+PART = "_part"
+
+
+def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> tuple[DataFrame, Column]:
+    """``df`` and a chunk of it in which no key has far more than ``CROWD`` rows, ties in all of ``order`` apart.
+
+    Where a key is crowded in a chunk, the rows are dealt out by ranges of (keys, order), whose borders Spark takes from a
+    sample, and a row's range becomes its chunk: borders fall inside heavy keys as often as they have rows, on any of the
+    order's columns. The ranges are written once, so that all later steps see the same. Else ``df`` stays as it is; the
+    question costs one aggregation that combines before its shuffle.
+    """
+    crowds = df.groupBy(*keys, chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = crowds.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    if (seen["most"] or 0) <= CROWD:
+        return df, chunk
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * seen["rows"] // CROWD + 1)
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id())
+    return stored(dealt, "ordered-ranges"), F.col(PART)
+
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], chunk: Column) -> DataFrame:
     """For each row and name, the last non-null value among the rows before it along ``order``."""

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import previous_row
+from plumbline.operators.ordered import PART, previous_row, spread
 
 KEY = ["check_id", "fingerprint"]
 # The comments of system events.
@@ -151,5 +151,5 @@ def triage(state: DataFrame, request: DataFrame, change: Triage, marked_at: Colu
 
 def regressions(events: DataFrame, key: str, order: Sequence[str], chunk: Column, bad: Column, fixed: Column) -> DataFrame:
     """Events where something seen as fixed shows up bad again, against the key's event before."""
-    marked = events.withColumn("_fixed", fixed)
-    return previous_row(marked, [key], order, ["_fixed"], chunk).filter(F.col("prev__fixed") & bad).drop("_fixed", "prev__fixed")
+    marked, chunk = spread(events.withColumn("_fixed", fixed), [key], order, chunk)
+    return previous_row(marked, [key], order, ["_fixed"], chunk).filter(F.col("prev__fixed") & bad).drop("_fixed", "prev__fixed", PART)

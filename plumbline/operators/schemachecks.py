@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.fingerprint import schema_fingerprint
 from plumbline.functions.text import type_name
-from plumbline.operators.ordered import previous_row, running_totals
+from plumbline.operators.ordered import PART, previous_row, running_totals, spread
 
 
 def column_kind(kind: T.DataType) -> str:
@@ -133,6 +133,7 @@ def schema_changes(
     snapshots: DataFrame, key: str, order: Sequence[str], chunk: Column, ignore: Iterable[str] = (), alerts: Mapping[str, bool] | None = None
 ) -> DataFrame:
     """Each snapshot of ``columns`` against the one before it; one row per change."""
+    snapshots, chunk = spread(snapshots, [key], order, chunk)
     paired = previous_row(snapshots, [key], order, ["columns"], chunk)
     known = paired.filter(F.col("prev_columns").isNotNull())
     delta = schema_delta(F.col("prev_columns"), F.col("columns"), ignore, alerts)
@@ -141,6 +142,7 @@ def schema_changes(
 
 def schema_history(snapshots: DataFrame, key: str, order: Sequence[str], chunk: Column) -> DataFrame:
     """Every snapshot with a summary of what changed since the one before it."""
+    snapshots, chunk = spread(snapshots, [key], order, chunk)
     paired = previous_row(snapshots, [key], order, ["columns"], chunk)
     delta = schema_delta(F.col("prev_columns"), F.col("columns"))
     of = lambda kind: F.filter("_delta", lambda d: d["change_type"] == kind)
@@ -160,8 +162,9 @@ def schema_history(snapshots: DataFrame, key: str, order: Sequence[str], chunk:
 def drop_repeated_snapshots(snapshots: DataFrame, key: str, order: Sequence[str], chunk: Column) -> DataFrame:
     """Keep a snapshot only where its fingerprint differs from the one before it."""
     stamped = snapshots.withColumn("fingerprint", schema_fingerprint(F.col("columns")))
+    stamped, chunk = spread(stamped, [key], order, chunk)
     paired = previous_row(stamped, [key], order, ["fingerprint"], chunk)
-    return paired.filter(~F.col("prev_fingerprint").eqNullSafe(F.col("fingerprint"))).drop("prev_fingerprint")
+    return paired.filter(~F.col("prev_fingerprint").eqNullSafe(F.col("fingerprint"))).drop("prev_fingerprint", PART)
 
 
 def append_snapshot(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -193,9 +196,10 @@ def against_pinned(snapshots: DataFrame, key: str, snapshot_id: str, ignore: Ite
 def numbered_versions(revisions: DataFrame, key: str, order: Sequence[str], definition: Sequence[str], chunk: Column) -> DataFrame:
     """Contiguous version numbers of a key's revisions; a revision that changes nothing gets none."""
     stamped = revisions.withColumn("_definition", F.struct(*[F.col(c) for c in definition]))
+    stamped, chunk = spread(stamped, [key], order, chunk)
     paired = previous_row(stamped, [key], order, ["_definition"], chunk)
     changed = paired.filter(~F.col("prev__definition").eqNullSafe(F.col("_definition"))).drop("_definition", "prev__definition")
-    return running_totals(changed, [key], order, {"version": F.lit(1)}, chunk)
+    return running_totals(changed, [key], order, {"version": F.lit(1)}, chunk).drop(PART)
 
 
 def latest_version(versions: DataFrame, key: str) -> DataFrame:

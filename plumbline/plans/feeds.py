@@ -190,7 +190,7 @@ class Data:
     def rules(self) -> DataFrame:
         u = F.col("user_id")
         everywhere = self.values(
-            [(1, None, "error", "slack", True, True, 60, 30, 2), (2, None, "warn", "email", True, False, None, 0, 0)],
+            [(1, None, "error", "slack", True, True, 1440, 30, 2), (2, None, "warn", "email", True, False, 2160, 0, 0)],
             "rule_id bigint, dataset_id bigint, min_severity string, channel string, enabled boolean, on_error_runs boolean, "
             "dedupe_window_minutes int, escalation_delay_minutes int, max_escalation_level int",
         )
@@ -201,7 +201,7 @@ class Data:
             F.lit("webhook").alias("channel"),
             (u % 4 != 0).alias("enabled"),
             F.lit(False).alias("on_error_runs"),
-            F.lit(120).alias("dedupe_window_minutes"),
+            F.when(u % 40 != 0, 960).alias("dedupe_window_minutes"),
             F.lit(15).alias("escalation_delay_minutes"),
             F.lit(1).alias("max_escalation_level"),
         )

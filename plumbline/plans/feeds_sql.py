@@ -63,9 +63,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "rules": (
         ("feeds",),
         """select cast(1 as bigint) as rule_id, cast(null as bigint) as dataset_id, 'error' as min_severity, 'slack' as channel, true as enabled, true as on_error_runs,
-        60 as dedupe_window_minutes, 30 as escalation_delay_minutes, 2 as max_escalation_level
-        union all select 2, null, 'warn', 'email', true, false, null, 0, 0
-        union all select user_id + 100, user_id, 'info', 'webhook', user_id % 4 <> 0, false, 120, 15, 1 from feeds where user_id % 10 = 0""",
+        1440 as dedupe_window_minutes, 30 as escalation_delay_minutes, 2 as max_escalation_level
+        union all select 2, null, 'warn', 'email', true, false, 2160, 0, 0
+        union all select user_id + 100, user_id, 'info', 'webhook', user_id % 4 <> 0, false, case when user_id % 40 <> 0 then 960 end, 15, 1 from feeds where user_id % 10 = 0""",
     ),
     "users": (
         (),

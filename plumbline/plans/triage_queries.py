@@ -207,31 +207,29 @@ def incidents_page(d: Data) -> DataFrame:
     return listed.orderBy(F.desc("last_seen_at"), F.desc("check_id")).limit(50).select("check_id", "status", "severity", "last_seen_at", "occurrence_count")
 
 
-WINDOWS_SQL = "480 + (check_id // 10) % 5 * 720"
+ROUTED = """, subjects as (select c.check_id, c.dataset_id, c.severity, l.status as run_status from checks c join latest l using (check_id) where c.status = 'active'),
+    routed as (select s.*, r.rule_id, r.channel, r.dedupe_window_minutes, r.escalation_delay_minutes, r.max_escalation_level from subjects s join rules r on r.enabled and (r.dataset_id is null or r.dataset_id = s.dataset_id)
+      and case r.min_severity when 'error' then 2 when 'warn' then 1 else 0 end <= case s.severity when 'error' then 2 when 'warn' then 1 else 0 end where s.run_status <> 'error' or r.on_error_runs)"""
+
+
+def _routed(d: Data) -> DataFrame:
+    latest = insights.last_per_key(d.check_runs.select("check_id", "started_at", "run_id", "status"), ["check_id"], ["started_at", "run_id"])
+    subjects = d.checks.filter(F.col("status") == "active").select("check_id", "dataset_id", "severity").join(latest.select("check_id", F.col("status").alias("run_status")), "check_id")
+    return incidents.eligible_rules(subjects, d.rules, ["check_id"])
 
 
 @query(
     "incident_notifications",
-    with_ctes("moves", recursive=True, body=f""", cand as (select check_id, run_id, started_at, episode, kind, {WINDOWS_SQL} as w from moves where kind = 'opened' or (kind = 'occurred' and run_before = 'warn')),
+    with_ctes("moves", "checks", "latest", "rules", recursive=True, body=ROUTED + """, windows as (select check_id, min(case coalesce(dedupe_window_minutes, 0) when 0 then 60 else dedupe_window_minutes end) as w from routed group by 1),
+    cand as (select check_id, run_id, started_at, episode, kind, coalesce(w, 60) as w from moves left join windows using (check_id) where kind = 'opened' or (kind = 'occurred' and run_before = 'warn')),
     n as (select check_id, run_id, started_at, episode, w from cand where kind = 'opened'
       union all select c.check_id, c.run_id, c.started_at, c.episode, c.w from n join cand c on c.check_id = n.check_id and c.episode = n.episode and c.started_at >= n.started_at + to_minutes(n.w)
         and not exists (select 1 from cand x where x.check_id = n.check_id and x.episode = n.episode and x.started_at >= n.started_at + to_minutes(n.w) and x.started_at < c.started_at))
     select check_id, run_id, started_at, 'triggered' as action from n union all select check_id, run_id, started_at, 'recovered' from moves where kind = 'recovered'"""),
 )
 def incident_notifications(d: Data) -> DataFrame:
-    windows = d.checks.select("check_id", (F.lit(480) + F.floor(F.col("check_id") / 10) % 5 * 720).cast("int").alias("dedupe_minutes"))
-    return incidents.notifications(stored(events_of(d), "timeline"), windows)
-
-
-ROUTED = """, subjects as (select c.check_id, c.dataset_id, c.severity, l.status as run_status from checks c join latest l using (check_id) where c.status = 'active'),
-    routed as (select s.*, r.rule_id, r.channel, r.dedupe_window_minutes, r.escalation_delay_minutes, r.max_escalation_level from subjects s join rules r on r.enabled and (r.dataset_id is null or r.dataset_id = s.dataset_id)
-      and case r.min_severity when 'error' then 2 when 'warn' then 1 else 0 end <= case s.severity when 'error' then 2 when 'warn' then 1 else 0 end where s.run_status <> 'error' or r.on_error_runs)"""
-
-
-def _routed(d: Data) -> DataFrame:
-    latest = insights.last_per_key(d.check_runs.select("check_id", "started_at", "run_id", "status"), ["check_id"], ["started_at", "run_id"])
-    subjects = d.checks.filter(F.col("status") == "active").select("check_id", "dataset_id", "severity").join(latest.select("check_id", F.col("status").alias("run_status")), "check_id")
-    return incidents.eligible_rules(subjects, d.rules, ["check_id"])
+    """The window of a check is the shortest one of the rules that cover it."""
+    return incidents.notifications(stored(events_of(d), "timeline"), incidents.dedupe_windows(_routed(d)))
 
 
 @query("alert_routing", with_ctes("checks", "latest", "rules", body=ROUTED + " select check_id, dataset_id, severity, run_status, rule_id, channel from routed"))

@@ -268,3 +268,50 @@ def test_visibility(spark: SparkSession) -> None:
 def test_stored_tables_live_in_the_shared_folder(spark: SparkSession) -> None:
     kept = stored(spark.range(5).toDF("id"), "t")
     assert kept.count() == 5 and spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
+
+
+@pytest.fixture
+def one_hot_day(spark: SparkSession) -> DataFrame:
+    """One check with all its runs in one day, many of them at the same time, and a few others."""
+    rng = random.Random(11)
+    rows = [(1 if i % 20 else i, 1, "error", i, datetime(2024, 3, 1) + timedelta(seconds=i // 3), rng.choice(["fail", "warn", "pass", "fail"])) for i in range(9000)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "check_id long, dataset_id long, severity string, run_id long, started_at timestamp_ntz, status string").repartition(3).cache()
+
+
+def test_a_hot_key_in_one_day_is_spread(spark: SparkSession, one_hot_day: DataFrame, monkeypatch: pytest.MonkeyPatch) -> None:
+    plain = sorted(map(str, incidents.incident_events(one_hot_day).collect()))
+    monkeypatch.setattr(ordered, "CROWD", 500)
+    dealt, chunk = ordered.spread(one_hot_day, ["check_id"], incidents.ORDER, F.to_date("started_at"))
+    sizes = [r["count"] for r in dealt.filter("check_id = 1").groupBy(chunk).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 4 * 500 and dealt.count() == one_hot_day.count()
+    assert sorted(map(str, incidents.incident_events(one_hot_day).collect())) == plain
+    total = ordered.running_totals(dealt, ["check_id"], incidents.ORDER, {"n": F.lit(1)}, chunk).filter("check_id = 1")
+    last = total.orderBy("started_at", "run_id").collect()
+    assert [r["n"] for r in last] == list(range(1, len(last) + 1))
+    # Rows that only differ in the second column of the order are told apart too.
+    same_time = one_hot_day.withColumn("started_at", F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz"))
+    dealt, chunk = ordered.spread(same_time, ["check_id"], incidents.ORDER, F.to_date("started_at"))
+    assert dealt.filter("check_id = 1").select(chunk).distinct().count() > 8
+
+
+def test_notifications_of_a_flapping_check(spark: SparkSession, one_hot_day: DataFrame, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Against a walk over the candidates; no task of the plan runs Python."""
+    timeline = incidents.incident_events(one_hot_day.filter("status <> 'pass' or run_id % 5 = 0")).cache()
+    windows = spark.createDataFrame([(1, 3), (20, 0)], "check_id long, dedupe_minutes int")
+    want, last = set(), {}
+    minutes = {1: 3, 20: 0}
+    for r in timeline.orderBy("check_id", "started_at", "run_id").collect():
+        if r["kind"] == "recovered":
+            want.add((r["check_id"], r["run_id"], "recovered"))
+        elif r["kind"] == "opened" or r["run_before"] == "warn":
+            window = timedelta(minutes=max(1, minutes.get(r["check_id"], 60)))
+            if r["kind"] == "opened" or r["check_id"] not in last or r["started_at"] - last[r["check_id"]] >= window:
+                last[r["check_id"]] = r["started_at"]
+                want.add((r["check_id"], r["run_id"], "triggered"))
+    for crowd in (10**6, 400):
+        monkeypatch.setattr(ordered, "CROWD", crowd)
+        sent = incidents.notifications(timeline, windows)
+        got = [(r["check_id"], r["run_id"], r["action"]) for r in sent.collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert "Python" not in sent._jdf.queryExecution().executedPlan().toString()
