@@ -1,7 +1,13 @@
-"""The incident life cycle as a stateful stream over run rows."""
+"""The incident life cycle as a stateful stream over run rows, in event time.
+
+Rows of a check may come in any order and in any micro-batch: they wait in state until the watermark has passed them and
+are then taken in the order of their runs. What a check keeps is three numbers and the rows that the watermark has not
+reached, in a map by hour; rows are released hour by hour, so memory holds one hour of a check at a time.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,20 +18,53 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "check_id bigint, run_id bigint, started_at timestamp_ntz, run_status string, kind string, episode int, occurrence_count int"
 STATE = "failing boolean, episode int, failures int"
+#: The rows of an hour, as JSON: the state API of this Spark version takes no nested values.
+WAITING = "rows string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Microseconds of an hour, the unit in which waiting rows are kept.
+HOUR = 3_600_000_000
+_NAMES = ["check_id", "run_id", "started_at", "run_status", "kind", "episode", "occurrence_count"]
 
 
 class IncidentProcessor(StatefulProcessor):
-    """Per check, three numbers of state; rows of a batch are taken in the order of their runs."""
-
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("incident", STATE)
+        self._waiting = handle.getMapState("waiting", "hour bigint", WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = None
+        for part in rows:
+            for hour, own in part.groupby(part["at"] // HOUR):
+                place = (int(hour),)
+                held = json.loads(self._waiting.getValue(place)[0]) if self._waiting.containsKey(place) else []
+                held += [(int(at), int(run), status) for at, run, status in zip(own["at"], own["run_id"], own["status"], strict=True)]
+                self._waiting.updateValue(place, (json.dumps(held),))
+                earliest = min(int(own["at"].min()), earliest if earliest is not None else int(own["at"].min()))
+        if earliest is not None:
+            self._handle.registerTimer(earliest // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        for hour in sorted(k[0] for k in self._waiting.keys()):  # noqa: SIM118
+            held = [tuple(r) for r in json.loads(self._waiting.getValue((hour,))[0])]
+            ripe = sorted(r for r in held if r[0] // 1000 <= mark)
+            later = [r for r in held if r[0] // 1000 > mark]
+            if ripe:
+                yield self._fold(key[0], ripe)
+            if not later:
+                self._waiting.removeKey((hour,))
+                continue
+            # Hours come in order, so this is the earliest row that still waits.
+            self._waiting.updateValue((hour,), (json.dumps(later),))
+            self._handle.registerTimer(min(r[0] for r in later) // 1000)
+            break
+
+    def _fold(self, check: int, rows: list[tuple[int, int, str]]) -> pd.DataFrame:
         failing, episode, failures = self._state.get() if self._state.exists() else (False, 0, 0)
-        batch = pd.concat(list(rows)).sort_values(["started_at", "run_id"])
         out = []
-        for run_id, at, status in zip(batch["run_id"], batch["started_at"], batch["status"], strict=True):
+        for at, run_id, status in rows:
             if status in ("fail", "error"):
                 kind, episode, failures = ("occurred", episode, failures + 1) if failing else ("opened", episode + 1, failures + 1)
                 failing = True
@@ -33,21 +72,21 @@ class IncidentProcessor(StatefulProcessor):
                 kind, failing = "recovered", False
             else:
                 continue
-            out.append((key[0], run_id, at, status, kind, episode, failures))
+            out.append((check, run_id, pd.Timestamp(at, unit="us"), status, kind, episode, failures))
         self._state.update((bool(failing), int(episode), int(failures)))
-        names = ["check_id", "run_id", "started_at", "run_status", "kind", "episode", "occurrence_count"]
-        yield pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=_NAMES)
 
     def close(self) -> None:
         pass
 
 
-def incident_stream(runs: DataFrame) -> DataFrame:
-    """Incident events of a stream of ``(check_id, run_id, started_at, status)``. Needs the RocksDB state store."""
-    return (
-        runs.select("check_id", "run_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "status")
-        .groupBy("check_id")
-        .transformWithStateInPandas(
-            statefulProcessor=IncidentProcessor(), outputStructType=EVENTS, outputMode="Append", timeMode="None"
-        )
-    )
+def incident_stream(runs: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Incident events of a stream of ``(check_id, run_id, started_at, status)``, in the order of the runs.
+
+    A run counts once the watermark (the latest start seen, less ``delay``) has passed it; one that comes later than that
+    is dropped. Runs without a status that matters move the watermark, too. Needs the RocksDB state store.
+    """
+    started = F.col("started_at").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), started)
+    timed = runs.select("check_id", "run_id", micros.alias("at"), F.timestamp_micros(micros).alias("event_time"), "status").withWatermark("event_time", delay)
+    return timed.groupBy("check_id").transformWithStateInPandas(statefulProcessor=IncidentProcessor(), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")

@@ -155,12 +155,30 @@ def test_incidents_equal_the_fold(spark: SparkSession) -> None:
         assert state[c]["reopen_count"] == mine[-1][3] - 1
 
 
+def test_shuffled_runs_over_many_batches_equal_the_batch(spark: SparkSession) -> None:
+    """Each micro-batch holds runs of all times within the delay; a last run of another check moves the watermark on."""
+    runs, rows = _history(spark, checks=3, n=40)
+    home = run_folder(spark, "stream-test")
+    rng = random.Random(9)
+    shuffled = sorted(rows, key=lambda r: r[4] + timedelta(hours=rng.uniform(0, 6)))
+    shuffled.append((99, *shuffled[0][1:4], max(r[4] for r in rows) + timedelta(days=2), "warn"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_incidents.ROCKSDB)
+    for k in range(0, len(shuffled), 25):
+        spark.createDataFrame(shuffled[k : k + 25], runs.schema).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(runs.schema).parquet(f"{home}/in")
+        made = stream_incidents.incident_stream(stream, "7 hours")
+        made.writeStream.format("parquet").option("checkpointLocation", f"{home}/state").option("path", f"{home}/out").trigger(availableNow=True).start().awaitTermination()
+    got = [(r["check_id"], r["run_id"], r["kind"], r["episode"], r["occurrence_count"]) for r in spark.read.parquet(f"{home}/out").collect()]
+    assert sorted(got) == sorted(_folded(rows, 60)[0])
+
+
 def test_incident_stream_equals_batch_over_several_batches(spark: SparkSession) -> None:
     runs, rows = _history(spark, checks=3, n=40)
     home = run_folder(spark, "stream-test")
     cut = START + timedelta(hours=12)
+    end = spark.createDataFrame([(99, *rows[0][1:4], max(r[4] for r in rows) + timedelta(days=2), "warn")], runs.schema)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_incidents.ROCKSDB)
-    for part in (runs.filter(F.col("started_at") < moment(cut)), runs.filter(F.col("started_at") >= moment(cut))):
+    for part in (runs.filter(F.col("started_at") < moment(cut)), runs.filter(F.col("started_at") >= moment(cut)).unionByName(end)):
         part.coalesce(1).write.mode("append").parquet(f"{home}/in")
         stream = spark.readStream.schema(runs.schema).parquet(f"{home}/in")
         query = (
