@@ -136,10 +136,10 @@ def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior_good: fl
     return good
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Adds ``posterior``, ``base_failed`` and ``kept`` to rows that carry the struct ``measures``."""
+def judge(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds ``posterior``, ``base_failed`` and ``kept`` to rows that carry the struct ``measures``, by those of the corpus."""
     spark = rows.sparkSession
-    seen = rows.groupBy(F.col("measures.votes").alias("votes")).count().toPandas()  # at most 3 ** len(RULES) rows
+    seen = corpus.groupBy(F.col("measures.votes").alias("votes")).count().toPandas()  # at most 3 ** len(RULES) rows
     good = fit(seen["votes"].to_numpy(np.int64), seen["count"].to_numpy(np.float64))
     known = spark.createDataFrame([(int(v), float(p)) for v, p in zip(seen["votes"], good, strict=True)], "__votes int, posterior double")
     out = rows.join(F.broadcast(known), F.col("measures.votes") == F.col("__votes"), "left").drop("__votes")
@@ -155,7 +155,8 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     result each, a null id is kept as it is, and an empty table gives no rows.
     """
     rows = measured(docs.select(F.col(id_column).alias("id"), whole(text).alias("text")))
-    judged = judge(stored(rows, "quality-measures"))
+    rows = stored(rows, "quality-measures")
+    judged = judge(rows, rows)
     return judged.select(F.col("id").alias(id_column), *[F.col(f"measures.{c}").alias(c) for c in MEASURES], "base_failed", "kept", "posterior")
 
 
@@ -163,7 +164,9 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all columns, without the rejected documents. Columns may have any names.
 
     Rows are judged as in ``quality``: nulls, empty texts and repeated rows have the same result here. An empty table
-    stays empty. Texts are measured once; the fit and the verdict both read the stored rows.
+    stays empty. Texts are measured once for the fit, which sees votes only, and once for the verdict: to keep the rows
+    between the two would take a copy of the corpus.
     """
     packed = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(f"`{text}`").alias("text")))
-    return judge(stored(packed, "quality-rows")).filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    votes = measured(docs.select(F.lit(0).alias("x"), whole(f"`{text}`").alias("text")))
+    return judge(packed, votes).filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
