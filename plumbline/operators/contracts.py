@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import type_name
 from plumbline.operators.joins import last_per_key
 
 
@@ -21,11 +22,29 @@ def clause_conformance(clauses: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.select(*clauses.columns, "run_id", "violation_count", status.alias("clause_status"))
 
 
-def schema_clauses(diffs: DataFrame, contract: str = "contract_id") -> DataFrame:
-    """A schema clause per contract from its column differences."""
-    return diffs.groupBy(contract).agg(
-        F.when(F.bool_or("violation"), "breached").otherwise("pass").alias("clause_status"), F.count_if(F.col("violation")).alias("problems")
-    )
+def schema_clauses(contracts: DataFrame, current: DataFrame, contract: str = "contract_id") -> DataFrame:
+    """The schema clause of each contract: status and problems, from expected and current columns.
+
+    ``contracts`` has ``expected`` (an array of name, dtype, nullable, required) and the switches ``compare_types``,
+    ``enforce_nullable`` and ``allow_extra``; ``current`` has ``columns`` (name, dtype, nullable). Names and types compare
+    without case, a type that is not given fits any, and a column may be null unless it says otherwise. A contract that
+    expects no columns is unknown. Each row holds the columns of one table, so nothing is grouped.
+    """
+    joined = contracts.join(current.select(contract, F.col("columns").alias("_now")), contract, "left").withColumn("_now", F.coalesce("_now", F.array().cast(current.schema["columns"].dataType)))
+    same = lambda a, b: F.lower(a["name"]) == F.lower(b["name"])
+    found = lambda e: F.get(F.filter("_now", lambda c: same(c, e)), F.lit(0))
+    nullable = lambda c: F.coalesce(c["nullable"], F.lit(True))
+    kind = lambda c: F.coalesce(type_name(c["dtype"]), F.lit(""))
+    named = lambda cols, text: F.transform(cols, lambda c: F.concat(c["name"], F.lit(text)))
+    of = lambda test: F.filter("expected", test)
+    missing = of(lambda e: found(e).isNull() & F.coalesce(e["required"], F.lit(True)))
+    retyped = of(lambda e: F.col("compare_types") & (kind(e) != "") & (kind(found(e)) != "") & (kind(e) != kind(found(e))))
+    renulled = of(lambda e: F.col("enforce_nullable") & found(e).isNotNull() & (nullable(e) != nullable(found(e))))
+    extra = F.filter("_now", lambda c: ~F.col("allow_extra") & ~F.exists("expected", lambda e: same(c, e)))
+    problems = F.concat(named(missing, " is missing"), named(retyped, " has another type"), named(renulled, " differs in nullability"), named(extra, " is not declared"))
+    judged = joined.withColumn("problems", problems)
+    status = F.when(F.coalesce(F.size("expected"), F.lit(0)) <= 0, "unknown").when(F.size("problems") > 0, "breached").otherwise("pass")
+    return judged.select(contract, F.lit("schema").alias("clause_id"), status.alias("clause_status"), F.when(status == "breached", F.col("problems")).otherwise(F.array().cast("array<string>")).alias("problems"))
 
 
 def conformance(clause_status: DataFrame, contract: str = "contract_id") -> DataFrame:

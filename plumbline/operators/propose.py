@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import FORMAT_PATTERNS
+from plumbline.operators.spec import CheckSpec
+
 # Name hints and thresholds of the proposal rules.
 ID_HINTS = ("id", "key", "code", "sku", "uuid")
 MEASURE_HINTS = ("price", "amount", "total", "qty", "quantity", "count", "cost", "fee")
@@ -32,10 +36,13 @@ def _json(**values: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]))
 
 
-def profiled(facts: DataFrame, distinct: DataFrame, p99: DataFrame, table: str = "table_name") -> DataFrame:
-    """Join profile parts into the table the rules read, with key candidates marked."""
+def profiled(facts: DataFrame, distinct: DataFrame, p99: DataFrame, values: DataFrame, table: str = "table_name") -> DataFrame:
+    """Join profile parts into the table the rules read, with key candidates marked.
+
+    ``values`` has the most frequent values of each column as an array; a closed domain is one that it lists whole.
+    """
     on = [table, "column_name"]
-    joined = facts.join(distinct, on, "left").join(p99, on, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    joined = facts.join(distinct, on, "left").join(p99, on, "left").join(values, on, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     key = (F.col("row_count") >= 100) & (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
     return joined.withColumn("is_key", key)
 
@@ -64,10 +71,10 @@ def column_proposals(columns: DataFrame, table: str = "table_name") -> DataFrame
         F.when(spread & measure, _proposal("range", name, "error", _json(min=F.lit(0)))),
         F.when(spread & ~measure, _proposal("range", name, "warn", _json(min=F.round(low - pad, 4), max=F.round(high + pad, 4)))),
         F.when(numeric & (p99 > 0) & (high > p99 * 20), _proposal("range", name, "warn", _json(max=F.round(p99 * 20, 4)))),
-        *[F.when(pattern(p), _proposal("regex_match", name, certain(p), _json(format=F.lit(p)))) for p in ("email", "uuid", "url")],
+        *[F.when(pattern(p), _proposal("regex_match", name, certain(p), _json(pattern=F.lit(FORMAT_PATTERNS[p])))) for p in ("email", "uuid", "url")],
         F.when(
-            string & (distinct > 0) & (distinct <= 10) & (rows >= 500) & ~_hints(name, ID_HINTS),
-            _proposal("accepted_values", name, "warn"),
+            string & (distinct > 0) & (distinct <= 10) & (rows >= 500) & ~_hints(name, ID_HINTS) & (F.size("values") == distinct),
+            _proposal("accepted_values", name, "warn", _json(values=F.col("values"))),
         ),
         F.when(
             string & (rows >= 500) & (distinct > 0) & (distinct <= 20) & ~_hints(name, ID_HINTS),
@@ -86,28 +93,47 @@ def variance_proposals(columns: DataFrame, table: str = "table_name", k: int = 3
     return top.select(table, line.alias("_p")).select(table, "_p.*")
 
 
-def table_proposals(columns: DataFrame, table: str = "table_name") -> DataFrame:
-    """Checks on the table as a whole."""
+def table_proposals(columns: DataFrame, table: str = "table_name", knowledge: DataFrame | None = None) -> DataFrame:
+    """Checks on the table as a whole. ``knowledge(table, freshness_sla_hours)`` says how old a table may be."""
     timed = F.col("max_ts").isNotNull() & _hints(F.col("column_name"), TIME_HINTS)
     facts = columns.groupBy(table).agg(
         F.max("row_count").alias("rows"),
         F.count_if(F.col("kind") == "numeric").alias("numeric"),
         F.min_by(F.when(timed, F.col("column_name")), F.when(timed, F.col("ordinal"))).alias("clock"),
+        # As many entries as the table has columns.
+        F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "dtype"))).alias("columns"),
+        F.array_sort(F.collect_list(F.when(F.col("is_key"), F.col("column_name")))).alias("keys"),
     )
+    facts = facts.join(knowledge, table, "left") if knowledge is not None else facts.withColumn("freshness_sla_hours", F.lit(None).cast("int"))
+    sla = F.col("freshness_sla_hours")
+    expected = F.transform("columns", lambda c: F.struct(c["column_name"].alias("name"), c["dtype"].alias("dtype")))
+    # The settings of adaptive freshness.
+    age = _json(strategy=F.lit("adaptive"), default_max_age_hours=F.coalesce(sla, F.lit(48)), min_history=F.lit(3), lookback_runs=F.lit(14), multiplier=F.lit(2.0), grace_hours=F.lit(1.0))
     none, rows = F.lit(None), F.col("rows")
     found = F.array(
-        F.when(F.col("clock").isNotNull(), _proposal("freshness", F.col("clock"), "warn", _json(default_max_age_hours=F.lit(48)))),
-        _proposal("schema_contract", none, "warn"),
+        F.when(F.col("clock").isNotNull(), _proposal("freshness", F.col("clock"), F.when(sla.isNull(), "warn").otherwise("error"), age)),
+        _proposal("schema_contract", none, "warn", _json(expected_columns=expected, allow_additive=F.lit(True), case_sensitive=F.lit(False))),
         _proposal("schema_change", none, "warn", _json(baseline=F.lit("previous"))),
         F.when(rows >= 100, _proposal("row_count_min", none, "error", _json(min_rows=F.greatest(F.lit(1), F.floor(rows / 2))))),
         F.when(rows >= 100, _proposal("row_count_anomaly", none, "warn", _json(strategy=F.lit("adaptive")))),
-        F.when((rows >= 500) & (F.col("numeric") >= 2), _proposal("ml_outlier", none, "info", _json(contamination=F.lit(0.005)))),
+        F.when((rows >= 500) & (F.col("numeric") >= 2), _proposal("ml_outlier", none, "info", _json(contamination=F.lit(0.005), keys=F.when(F.size("keys") > 0, F.col("keys"))))),
     )
     return facts.select(table, F.explode(F.array_compact(found)).alias("_p")).select(table, "_p.*")
 
 
-def propose_checks(columns: DataFrame, table: str = "table_name") -> DataFrame:
-    return column_proposals(columns, table).unionByName(variance_proposals(columns, table)).unionByName(table_proposals(columns, table))
+def propose_checks(columns: DataFrame, table: str = "table_name", knowledge: DataFrame | None = None) -> DataFrame:
+    """All proposals; ``params`` is what the check type takes, as JSON."""
+    return column_proposals(columns, table).unionByName(variance_proposals(columns, table)).unionByName(table_proposals(columns, table, knowledge))
+
+
+def specs(proposals: DataFrame, table: str = "table_name", first_id: int = 1) -> dict[str, list[CheckSpec]]:
+    """Proposals as checks that run, by table: as many as tables and columns give rise to."""
+    out: dict[str, list[CheckSpec]] = {}
+    for i, r in enumerate(proposals.orderBy(table, "check_type", "column_name", "params").collect()):
+        params = json.loads(r["params"])
+        tolerance = int(params.pop("tolerance", 0))
+        out.setdefault(r[table], []).append(CheckSpec(first_id + i, r["check_type"], r["column_name"], params, r["severity"], tolerance))
+    return out
 
 
 def new_proposals(proposals: DataFrame, existing: DataFrame, table: str = "table_name") -> DataFrame:

@@ -75,9 +75,7 @@ def _duplicates(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tupl
 
 
 def _contract_breaks(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tuple[DataFrame, Column]:
-    expected = df.sparkSession.createDataFrame([tuple(c) for c in spec.params["expected_columns"]], "name string, dtype string, nullable boolean")
-    found = schemachecks.contract_diff(expected, schemachecks.column_catalog({"": df}), spec.params.get("allow_additive", True))
-    return found.filter("violation").drop("violation"), F.concat_ws(" ", "column_name", "change")
+    return suite.contract_breaks(df, spec).filter("violation").drop("violation"), F.concat_ws(" ", "column_name", "change")
 
 
 def _schema_changes(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tuple[DataFrame, Column]:
@@ -88,7 +86,7 @@ def _schema_changes(df: DataFrame, spec: CheckSpec, given: DataFrame | None) ->
 
 
 def _strange_rows(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tuple[DataFrame, Column]:
-    found = outliers.isolation_outliers(df, spec.params["keys"], spec.params.get("columns"), float(spec.params.get("contamination", 0.005)))
+    found = outliers.isolation_outliers(df, spec.params.get("keys") or df.columns, spec.params.get("columns"), float(spec.params.get("contamination", 0.005)))
     return found.filter(F.col("status") == "outlier").drop("status"), F.concat(F.lit("isolation score "), F.round("score", 4).cast("string"))
 
 

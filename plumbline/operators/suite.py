@@ -71,10 +71,15 @@ def _unique(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None
     return unique_counts(df, spec.column)
 
 
+def contract_breaks(df: DataFrame, spec: CheckSpec) -> DataFrame:
+    """Differences from the expected columns, each given as (name, type, nullable) or by these names; what is missing is free."""
+    wanted = [(c["name"], c.get("dtype"), c.get("nullable")) if isinstance(c, Mapping) else tuple(c) for c in spec.params["expected_columns"]]
+    expected = df.sparkSession.createDataFrame(wanted, "name string, dtype string, nullable boolean")
+    return schemachecks.contract_diff(expected, schemachecks.column_catalog({"": df}), spec.params.get("allow_additive", True), spec.params.get("case_sensitive", False))
+
+
 def _contract(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
-    expected = df.sparkSession.createDataFrame([tuple(c) for c in spec.params["expected_columns"]], "name string, dtype string, nullable boolean")
-    diffs = schemachecks.contract_diff(expected, schemachecks.column_catalog({"": df}), spec.params.get("allow_additive", True))
-    return diffs.agg(count_where(F.col("violation")).alias("violation_count"))
+    return contract_breaks(df, spec).agg(count_where(F.col("violation")).alias("violation_count"))
 
 
 def _schema_change(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
@@ -92,7 +97,7 @@ def _drift(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None)
 
 
 def _outliers(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
-    found = outliers.isolation_outliers(df, spec.params["keys"], spec.params.get("columns"), float(spec.params.get("contamination", 0.005)))
+    found = outliers.isolation_outliers(df, spec.params.get("keys") or df.columns, spec.params.get("columns"), float(spec.params.get("contamination", 0.005)))
     return found.agg(F.count_if(F.col("status") == "outlier").alias("violation_count"))
 
 
@@ -107,12 +112,15 @@ def _volume(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None
 
 
 def _freshness(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
-    """``given`` is the history: run_id, latest."""
+    """``given`` is the history: run_id, latest. Without one the default age holds."""
     if as_of is None:
         raise ValueError("freshness needs as_of")
     tuned = {k: spec.params[k] for k in ("lookback_runs", "min_history", "multiplier", "grace_hours") if k in spec.params}
-    history = _needed(given).withColumn("dataset", F.lit(1))
-    learned = historychecks.adaptive_max_age(history, "dataset", ["run_id"], "latest", float(spec.params.get("default_max_age_hours", spec.params.get("max_age_hours", 24))), **tuned)
+    default = float(spec.params.get("default_max_age_hours", spec.params.get("max_age_hours", 24)))
+    if given is None:
+        return freshness(df, spec.column, as_of, default)
+    history = given.withColumn("dataset", F.lit(1))
+    learned = historychecks.adaptive_max_age(history, "dataset", ["run_id"], "latest", default, **tuned)
     return freshness(df, spec.column, as_of, learned.select("max_age_hours").scalar())
 
 

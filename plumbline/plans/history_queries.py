@@ -289,13 +289,38 @@ def contract_clauses(d: Data) -> DataFrame:
     return _clauses(d)
 
 
+SCHEMA_SQL = """, ends as (select dataset_id, max(snapshot_id) as last, max(snapshot_id) filter (where snapshot_id % 10 = 0) as base from snapshot_columns group by 1),
+    old as (select c.* from ends e join snapshot_columns c on c.dataset_id = e.dataset_id and c.snapshot_id = e.base), cur as (select c.* from ends e join snapshot_columns c on c.dataset_id = e.dataset_id and c.snapshot_id = e.last),
+    sides as (select coalesce(o.dataset_id, c.dataset_id) as contract_id, o.name as old_name, c.name as new_name, o.dtype as old_type, c.dtype as new_type, o.nullable as old_null, c.nullable as new_null
+      from old o full outer join cur c on o.dataset_id = c.dataset_id and o.name = c.name),
+    schemas as (select contract_id, case when count(old_name) = 0 then 'unknown' when count(*) filter (where new_name is null or (contract_id % 2 = 0 and old_type <> new_type) or (contract_id % 3 = 0 and old_null <> new_null)
+      or (contract_id % 4 = 0 and old_name is null)) > 0 then 'breached' else 'pass' end as clause_status, count(*) filter (where new_name is null) + count(*) filter (where contract_id % 2 = 0 and old_type <> new_type)
+      + count(*) filter (where contract_id % 3 = 0 and old_null <> new_null) + count(*) filter (where contract_id % 4 = 0 and old_name is null) as n from sides group by 1)"""
+
+
+def _schema_clauses(d: Data) -> DataFrame:
+    """Each feed's contract expects the columns of its newest baseline; how strictly depends on the contract."""
+    newest = d.snapshots.groupBy("dataset_id").agg(F.max_by("columns", "snapshot_id").alias("columns"))
+    base = schemachecks.pinned_baseline(d.snapshots, "dataset_id", "snapshot_id").select("dataset_id", F.transform("columns", lambda c: F.struct(c["name"], c["dtype"], c["nullable"], F.lit(True).alias("required"))).alias("expected"))
+    of = F.col("dataset_id")
+    expected = newest.select("dataset_id").join(base, "dataset_id", "left").select(of.alias("contract_id"), "expected", (of % 2 == 0).alias("compare_types"), (of % 3 == 0).alias("enforce_nullable"), (of % 4 != 0).alias("allow_extra"))
+    return contracts.schema_clauses(expected, newest.select(of.alias("contract_id"), "columns"))
+
+
+@query("contract_schema", with_ctes("snapshot_columns", body=SCHEMA_SQL + " select contract_id, clause_status, case when clause_status = 'breached' then n else 0 end as problems from schemas"))
+def contract_schema(d: Data) -> DataFrame:
+    return _schema_clauses(d).select("contract_id", "clause_status", F.size("problems").cast("bigint").alias("problems"))
+
+
 @query(
     "contract_conformance",
-    with_ctes("clauses", "check_runs", body=CONFORM + """ select contract_id, case when bool_or(clause_status = 'breached') then 'breached' when bool_or(clause_status = 'unknown') then 'unknown' else 'pass' end as status,
-    count(*) as clauses, count(*) filter (where clause_status = 'breached') as breached_clauses, count(*) filter (where clause_status = 'unknown') as unknown_clauses from cs group by 1"""),
+    with_ctes("clauses", "check_runs", "snapshot_columns", body=CONFORM + SCHEMA_SQL + """, every as (select contract_id, clause_status from cs union all select contract_id, clause_status from schemas)
+    select contract_id, case when bool_or(clause_status = 'breached') then 'breached' when bool_or(clause_status = 'unknown') then 'unknown' else 'pass' end as status,
+    count(*) as clauses, count(*) filter (where clause_status = 'breached') as breached_clauses, count(*) filter (where clause_status = 'unknown') as unknown_clauses from every group by 1"""),
 )
 def contract_conformance(d: Data) -> DataFrame:
-    return contracts.conformance(_clauses(d))
+    clauses = _clauses(d).select("contract_id", "clause_id", "clause_status")
+    return contracts.conformance(clauses.unionByName(_schema_clauses(d).drop("problems")))
 
 
 @query(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import FORMAT_PATTERNS
-from plumbline.operators import contracts, joins, localize, profile, propose
+from plumbline.operators import contracts, joins, localize, profile, propose, suite
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.rowchecks import violation_predicate
 from plumbline.operators.spec import CheckSpec
@@ -185,7 +186,9 @@ def _profile_rows() -> str:
         for i, (c, kind) in enumerate(cols):
             num = kind == "numeric"
             parts.append(
-                f"select '{t}' as t, '{c}' as c, {i} as i, '{kind}' as k, count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as d, "
+                f"select '{t}' as t, '{c}' as c, {i} as i, '{kind}' as k, case typeof(min({c})) when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'TIMESTAMP' then 'timestamp_ntz' else lower(typeof(min({c}))) end as dtype, "
+                + (f"(select list(v order by m desc, v) from (select {c} as v, count(*) as m from {t} where {c} is not null group by 1 order by m desc, v limit 10))" if kind == "string" else "null::varchar[]") + " as top, "
+                + f"count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as d, "
                 + (f"min({c})::double as lo, max({c})::double as hi, stddev_samp({c})::double as sd, quantile_cont({c}, 0.99)::double as p99" if num else "null::double as lo, null::double as hi, null::double as sd, null::double as p99")
                 + f" from {t}"
             )
@@ -195,20 +198,21 @@ def _profile_rows() -> str:
 IDS, MEASURES = "(id|key|code|sku|uuid)", "(price|amount|total|qty|quantity|count|cost|fee)"
 
 PROPOSE_SQL = f"""with p as (select *, n >= 100 and nulls = 0 and d = n as pk from ({_profile_rows()}))
- select t as table_name, 'not_null' as check_type, c as column_name, case when pk then 'error' else 'warn' end as severity, '{{}}' as params from p where n >= 100 and nulls = 0
- union all select t, 'unique', c, 'error', '{{}}' from p where n >= 100 and d = n - nulls and nulls = 0 and (regexp_matches(c, '{IDS}') or pk)
- union all select t, 'range', c, 'error', '{{"min":0}}' from p where k = 'numeric' and hi > lo and lo >= 0 and regexp_matches(c, '{MEASURES}')
- union all select t, 'range', c, 'warn', 'padded' from p where k = 'numeric' and hi > lo and not (lo >= 0 and regexp_matches(c, '{MEASURES}'))
- union all select t, 'range', c, 'warn', 'max' from p where k = 'numeric' and p99 > 0 and hi > p99 * 20
- union all select t, 'accepted_values', c, 'warn', '{{}}' from p where k = 'string' and d > 0 and d <= 10 and n >= 500 and not regexp_matches(c, '{IDS}')
- union all select t, 'distribution_drift', c, 'info', '{{"method":"psi","threshold":0.2}}' from p where k = 'string' and d > 0 and d <= 20 and n >= 500 and not regexp_matches(c, '{IDS}')
- union all select t, 'distribution_drift', c, 'info', '{{"method":"psi","threshold":0.2}}' from (select *, row_number() over (partition by t order by sd desc, c desc) as r from p where k = 'numeric' and n >= 500 and sd > 0) where r <= 3
- union all select t, 'freshness', c, 'warn', '{{"default_max_age_hours":48}}' from p where k = 'temporal' and regexp_matches(c, '(created|updated|date|time|_at|ts)')
- union all select t, 'schema_contract', null, 'warn', '{{}}' from p group by t
- union all select t, 'schema_change', null, 'warn', '{{"baseline":"previous"}}' from p group by t
- union all select t, 'row_count_min', null, 'error', '{{"min_rows":' || greatest(1, max(n) // 2) || '}}' from p group by t having max(n) >= 100
- union all select t, 'row_count_anomaly', null, 'warn', '{{"strategy":"adaptive"}}' from p group by t having max(n) >= 100
- union all select t, 'ml_outlier', null, 'info', '{{"contamination":0.005}}' from p group by t having max(n) >= 500 and count(*) filter (where k = 'numeric') >= 2"""
+ select t as table_name, 'not_null' as check_type, c as column_name, case when pk then 'error' else 'warn' end as severity, '{{}}' as params, null::double as lower, null::double as upper from p where n >= 100 and nulls = 0
+ union all select t, 'unique', c, 'error', '{{}}', null, null from p where n >= 100 and d = n - nulls and nulls = 0 and (regexp_matches(c, '{IDS}') or pk)
+ union all select t, 'range', c, 'error', null, 0, null from p where k = 'numeric' and hi > lo and lo >= 0 and regexp_matches(c, '{MEASURES}')
+ union all select t, 'range', c, 'warn', null, lo - (hi - lo) * 0.5, hi + (hi - lo) * 0.5 from p where k = 'numeric' and hi > lo and not (lo >= 0 and regexp_matches(c, '{MEASURES}'))
+ union all select t, 'range', c, 'warn', null, null, p99 * 20 from p where k = 'numeric' and p99 > 0 and hi > p99 * 20
+ union all select t, 'accepted_values', c, 'warn', '{{"values":' || to_json(top) || '}}', null, null from p where k = 'string' and d > 0 and d <= 10 and n >= 500 and not regexp_matches(c, '{IDS}')
+ union all select t, 'distribution_drift', c, 'info', '{{"method":"psi","threshold":0.2}}', null, null from p where k = 'string' and d > 0 and d <= 20 and n >= 500 and not regexp_matches(c, '{IDS}')
+ union all select t, 'distribution_drift', c, 'info', '{{"method":"psi","threshold":0.2}}', null, null from (select *, row_number() over (partition by t order by sd desc, c desc) as r from p where k = 'numeric' and n >= 500 and sd > 0) where r <= 3
+ union all select t, 'freshness', c, case when t = 'orders' then 'error' else 'warn' end, '{{"strategy":"adaptive","default_max_age_hours":' || case when t = 'orders' then 24 else 48 end || ',"min_history":3,"lookback_runs":14,"multiplier":2.0,"grace_hours":1.0}}', null, null
+   from p where k = 'temporal' and regexp_matches(c, '(created|updated|date|time|_at|ts)')
+ union all select t, 'schema_contract', null, 'warn', '{{"expected_columns":[' || string_agg('{{"name":"' || c || '","dtype":"' || dtype || '"}}', ',' order by i) || '],"allow_additive":true,"case_sensitive":false}}', null, null from p group by t
+ union all select t, 'schema_change', null, 'warn', '{{"baseline":"previous"}}', null, null from p group by t
+ union all select t, 'row_count_min', null, 'error', '{{"min_rows":' || greatest(1, max(n) // 2) || '}}', null, null from p group by t having max(n) >= 100
+ union all select t, 'row_count_anomaly', null, 'warn', '{{"strategy":"adaptive"}}', null, null from p group by t having max(n) >= 100
+ union all select t, 'ml_outlier', null, 'info', '{{"contamination":0.005' || coalesce(',"keys":' || to_json(list(c order by c) filter (where pk)), '') || '}}', null, null from p group by t having max(n) >= 500 and count(*) filter (where k = 'numeric') >= 2"""
 
 
 def profiled_tables(d: Data) -> DataFrame:
@@ -220,21 +224,41 @@ def profiled_tables(d: Data) -> DataFrame:
         facts = profile.column_facts(df).select(name, "*")
         distinct = profile.distinct_counts(freq).select(name, "*")
         p99 = profile.numeric_quantiles(df, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
-        out.append(propose.profiled(facts, distinct, p99))
+        top = profile.restore_long_values(df, profile.top_values(freq)).groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("values"))
+        out.append(propose.profiled(facts, distinct, p99, top.select(name, "*")))
     # One row per column, read by several rule sets: profile once.
     return stored(reduce(DataFrame.unionByName, out), "profile")
 
 
-def _tidy(proposals: DataFrame) -> DataFrame:
-    """Padded bounds depend on floating point, so the twin compares which rule fired."""
-    padded = F.col("params").contains('"max"')
-    short = F.when(padded & F.col("params").contains('"min"'), "padded").when(padded, "max").otherwise(F.col("params"))
-    return proposals.withColumn("params", short)
+def _bounds(proposals: DataFrame) -> DataFrame:
+    """A range's bounds as numbers in columns of their own, so that they compare as numbers."""
+    is_range = F.col("check_type") == "range"
+    bound = lambda name: F.round(F.get_json_object("params", f"$.{name}").cast("double"), 2)
+    return proposals.withColumns({"lower": F.when(is_range, bound("min")), "upper": F.when(is_range, bound("max")), "params": F.when(~is_range, F.col("params"))})
 
 
-@query("propose_checks", PROPOSE_SQL)
+def _knowledge(d: Data) -> DataFrame:
+    return d.values([("orders", 24)], "table_name string, freshness_sla_hours int")
+
+
+@query("propose_checks", f"select * replace (round(lower, 2) as lower, round(upper, 2) as upper) from ({PROPOSE_SQL})")
 def propose_checks(d: Data) -> DataFrame:
-    return _tidy(propose.propose_checks(profiled_tables(d)))
+    return _bounds(propose.propose_checks(profiled_tables(d), knowledge=_knowledge(d)))
+
+
+@query(
+    "propose_and_run",
+    f"""with proposed as (select table_name, check_type, column_name from ({PROPOSE_SQL}) where check_type not in ('schema_change', 'row_count_anomaly', 'distribution_drift', 'ml_outlier'))
+    select table_name, check_type, column_name, count(*) as checks, count(*) filter (where check_type = 'freshness') as stale from proposed group by 1, 2, 3""",
+)
+def propose_and_run(d: Data) -> DataFrame:
+    """Every proposed check that needs no earlier run, built and run on the table it was proposed for: all but stale tables pass."""
+    wanted = propose.propose_checks(profiled_tables(d), knowledge=_knowledge(d)).filter(~F.col("check_type").isin("schema_change", "row_count_anomaly", "distribution_drift", "ml_outlier"))
+    out = []
+    for table, checks in sorted(propose.specs(wanted).items()):
+        out.append(suite.run_suite(d.table(table), checks, datetime(2010, 1, 1)).withColumn("table_name", F.lit(table)))
+    rows = reduce(DataFrame.unionByName, out)
+    return rows.groupBy("table_name", "check_type", "column_name").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("status") != "pass").alias("stale"))
 
 
 @query(
@@ -250,7 +274,7 @@ def propose_dedupe(d: Data) -> DataFrame:
     existing = columns.filter(F.col("kind") != "string").select(
         "table_name", F.lit("not_null").alias("check_type"), "column_name", F.when(F.col("ordinal") == 0, "archived").otherwise("active").alias("status")
     )
-    return propose.new_proposals(propose.propose_checks(columns), existing).select("table_name", "check_type", "column_name", "severity", "proposed")
+    return propose.new_proposals(propose.propose_checks(columns, knowledge=_knowledge(d)), existing).select("table_name", "check_type", "column_name", "severity", "proposed")
 
 
 @query(
