@@ -158,6 +158,18 @@ def reservoir_sample(d: Data) -> DataFrame:
     return drift.reservoir_sample(d.events, "value", ["event_id"], 2000)
 
 
+@query(
+    "exceptions_in_scope",
+    with_ctes("exceptions", "checks", "datasets", "grants", body="""select exception_id, e.dataset_id, e.status from exceptions e join checks c using (check_id) join datasets d on d.dataset_id = e.dataset_id
+    where e.status = 'open' and d.connection_id in (select connection_id from grants where user_id = 7)"""),
+)
+def exceptions_in_scope(d: Data) -> DataFrame:
+    """The open exceptions of the datasets that a user with grants may see."""
+    enriched = exceptions.with_checks(d.exceptions, d.checks)
+    scope = insights.visible(d.datasets, d.grants, 7, "viewer")
+    return exceptions.filter_exceptions(enriched, scope, as_of=AS_OF, status=["open"]).select("exception_id", "dataset_id", "status")
+
+
 @query("healthy_rows_range", "select c_custkey, c_acctbal from customer where c_acctbal is null or (c_acctbal >= 0 and c_acctbal <= 9000)")
 def healthy_rows_range(d: Data) -> DataFrame:
     spec = CheckSpec(1, "range", "c_acctbal", {"min": 0, "max": 9000})

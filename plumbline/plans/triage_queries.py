@@ -43,6 +43,21 @@ def exceptions_page(d: Data) -> DataFrame:
     return exceptions.page(joined, "occurrences", offset=100, limit=50).select("exception_id", "occurrence_count", "severity")
 
 
+@query(
+    "exceptions_page_seek",
+    with_ctes("exceptions", "checks", body="""select exception_id, occurrence_count, severity from exceptions join (select check_id, severity from checks) using (check_id)
+    order by occurrence_count desc, exception_id desc limit 50 offset 100"""),
+)
+def exceptions_page_seek(d: Data) -> DataFrame:
+    """The third page, each page found from the last position of the one before."""
+    joined = exceptions.with_checks(d.exceptions, d.checks)
+    after = None
+    for _ in range(2):
+        last = exceptions.seek(joined, "occurrences", after, 50).agg(F.max("position").alias("p")).first()["p"]
+        after = last if last is not None else after
+    return exceptions.seek(joined, "occurrences", after, 50).select("exception_id", "occurrence_count", "severity")
+
+
 @query(
     "view_counts",
     with_ctes("exceptions", "checks", body="""select count(*) filter (where e.status = 'open' and assigned_to_id = 1) as my_open, count(*) filter (where e.status = 'open' and first_seen_at >= timestamp '2024-01-30') as new_today,
