@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.profile import QUANTILES, frequencies, top_values
 from plumbline.operators.quantiles import exact_quantiles, largest_gap
+from plumbline.session import stored
 
 # Fixed value: empty bins count as this share, so the logarithm stays finite.
 FLOOR = 1e-4
@@ -124,6 +125,36 @@ def reservoir_sample(df: DataFrame, column: str, keys: Sequence[str], k: int = 2
     return usable.select(*keys, F.col(column), order.alias("_h")).orderBy("_h", *keys).limit(k).drop("_h")
 
 
+SAMPLES = "check_id int, run_id bigint, value double"
+
+
+def newest_sample(samples: DataFrame, runs: DataFrame, check_id: int) -> DataFrame:
+    """The values that a check's newest run without an error kept; ``runs(check_id, run_id, status)``."""
+    own = runs.filter((F.col("check_id") == check_id) & (F.col("status") != "error"))
+    newest = own.agg(F.max("run_id").alias("run_id"))
+    return samples.filter(F.col("check_id") == check_id).join(newest, "run_id").select("value")
+
+
+def ks_against_prior(
+    df: DataFrame, column: str, keys: Sequence[str], check_id: int, run_id: int, samples: DataFrame, runs: DataFrame, threshold: float = 0.2, k: int = 2000
+) -> tuple[DataFrame, DataFrame]:
+    """A run's verdict against the sample of the run before, and the sample that it leaves for the next one.
+
+    Samples are state: ``k`` values by key hash, written by each run and read by the next. A first run has nothing to
+    compare with: it captures its sample and passes (``note``).
+    """
+    kept = reservoir_sample(df, column, keys, k).select(F.lit(check_id).alias("check_id"), F.lit(run_id).cast("bigint").alias("run_id"), F.col(f"`{column}`").cast("double").alias("value"))
+    kept = stored(kept, "drift-sample")
+    verdict = ks_two_sample(kept, newest_sample(samples, runs, check_id), "value", threshold)
+    first = (F.col("n_current") < 2) | (F.col("n_prior") < 2)
+    note = F.when(first, "baseline captured")
+    out = verdict.select(
+        F.lit(check_id).alias("check_id"), F.lit(run_id).cast("bigint").alias("run_id"), *[F.when(~first, F.col(c)).alias(c) for c in ("statistic", "p_value")], "n_current", "n_prior", "violation_count",
+        F.when(F.col("violation_count") > 0, "fail").otherwise("pass").alias("status"), note.alias("note"),
+    )
+    return out, kept
+
+
 def bounded_sample(df: DataFrame, keys: Sequence[str], keep: int, out_of: int) -> DataFrame:
     """A fixed share of rows picked by a hash of the key; a filter, so no shuffle."""
     digest = F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), 256), 1, 8)

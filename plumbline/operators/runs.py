@@ -27,6 +27,7 @@ STATE = """check_id int, fingerprint string, dataset_id bigint, run_id bigint, l
 last_seen_at timestamp_ntz, occurrence_count bigint, version bigint"""
 INCIDENTS = """check_id int, dataset_id bigint, severity string, status string, failure_status string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz,
 resolved_at timestamp_ntz, current_run_id bigint, occurrence_count bigint, reopen_count bigint"""
+VIOLATIONS = "check_id int, fingerprint string, reason string, row string"
 #: Statuses whose violating rows are recorded: within its tolerance a check passes, and its rows are acceptable.
 RECORDED = ("fail", "warn")
 
@@ -57,15 +58,16 @@ def _as_violations(rows: DataFrame, columns: Sequence[str], check: Column, why:
     return rows.select(check.cast("int").alias("check_id"), row_fingerprint(check, known).alias("fingerprint"), why.alias("reason"), body.alias("row"))
 
 
-def _shared_violations(df: DataFrame, shared: suite.Shared, identity: Sequence[str]) -> DataFrame:
-    """The violating rows of all row checks; a row appears once for each check that it violates."""
+def _shared_violations(df: DataFrame, shared: suite.Shared, identity: Sequence[str]) -> DataFrame | None:
+    """The violating rows of all row checks; a row appears once for each check that it violates. None without row checks."""
     found = []
     for spec, _, _ in shared.good:
         by_row = suite.row_predicate(df, spec)
         if by_row is not None:
             found.append(F.when(F.coalesce(by_row[0], F.lit(False)), F.struct(F.lit(spec.check_id).alias("check_id"), reason(spec).alias("reason"))))
-    none = F.array().cast("array<struct<check_id:int,reason:string>>")
-    hits = df.withColumn("_hits", F.array_compact(F.array(*found)) if found else none).filter(F.size("_hits") > 0)
+    if not found:
+        return None
+    hits = df.withColumn("_hits", F.array_compact(F.array(*found))).filter(F.size("_hits") > 0)
     return _as_violations(hits.withColumn("_hit", F.explode("_hits")), df.columns, F.col("_hit.check_id"), F.col("_hit.reason"), identity)
 
 
@@ -74,6 +76,11 @@ def _duplicates(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tupl
     return tablechecks.duplicate_rows(df, spec.column), F.concat(F.lit(f"{spec.column} = "), shown, F.lit(" is not unique"))
 
 
+def _strangers(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tuple[DataFrame, Column]:
+    shown = F.col(f"`{spec.column}`").cast("string")
+    return tablechecks.strangers(df, spec.column, suite.dictionary(df, spec, given), spec.params.get("case_sensitive", True)), F.concat(F.lit(f"{spec.column} = "), shown, F.lit(" not in the accepted set"))
+
+
 def _contract_breaks(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tuple[DataFrame, Column]:
     return suite.contract_breaks(df, spec).filter("violation").drop("violation"), F.concat_ws(" ", "column_name", "change")
 
@@ -92,7 +99,7 @@ def _strange_rows(df: DataFrame, spec: CheckSpec, given: DataFrame | None) -> tu
 
 #: How checks that take a pass of their own find their violating rows. Checks of volume, age and distribution have none.
 ROWS: dict[str, Callable[[DataFrame, CheckSpec, DataFrame | None], tuple[DataFrame, Column]]] = {
-    "unique": _duplicates, "schema_contract": _contract_breaks, "schema_change": _schema_changes, "ml_outlier": _strange_rows,
+    "unique": _duplicates, "accepted_values": _strangers, "schema_contract": _contract_breaks, "schema_change": _schema_changes, "ml_outlier": _strange_rows,
 }
 
 
@@ -115,11 +122,14 @@ def observed_run(df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | No
     """
     spark = df.sparkSession
     shared, alone = suite.split(df, specs, as_of)
-    seen = Observation()
-    measures = shared.measures()
-    rows = stored(_shared_violations(df.observe(seen, *measures), shared, identity), "run-violations")
-    values = seen.get
-    if "_rows" not in values:  # a table without partitions runs no task that could be observed
+    seen, measures, values = Observation(), shared.measures(), {}
+    rows = _shared_violations(df.observe(seen, *measures), shared, identity)
+    if rows is None:
+        rows = spark.createDataFrame([], VIOLATIONS)
+    else:
+        rows = stored(rows, "run-violations")
+        values = seen.get
+    if "_rows" not in values:  # nothing is written, or a table without partitions runs no task that could be observed
         values = df.agg(*measures).first().asDict()
     names = sorted(values)
     counts = spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} bigint" for n in names))

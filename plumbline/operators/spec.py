@@ -31,7 +31,7 @@ class CheckSpec:
         missing = [p for p in kind.required if self.params.get(p) in (None, "", [], ())]
         if missing:
             raise ValueError(f"{self.check_type} needs {', '.join(missing)}")
-        if kind.any_of and all(self.params.get(p) is None for p in kind.any_of):
+        if kind.any_of and all(self.params.get(p) in (None, "", [], ()) for p in kind.any_of):
             raise ValueError(f"{self.check_type} needs one of {', '.join(kind.any_of)}")
         if self.tolerance < 0:
             raise ValueError("tolerance must not be negative")
@@ -65,7 +65,7 @@ def register_check(
 
 register_check("not_null")
 register_check("unique")
-register_check("accepted_values", required=("values",))
+register_check("accepted_values", any_of=("values", "values_from"))
 register_check("range", any_of=("min", "max"))
 register_check("string_length", any_of=("min_len", "max_len"))
 register_check("regex_match", required=("pattern",))

@@ -16,19 +16,33 @@ from plumbline.operators import drift, historychecks, outliers, schemachecks
 from plumbline.operators.rowchecks import ROW_CHECKS, count_where, violation_predicate
 from plumbline.operators.schemachecks import column_kind
 from plumbline.operators.spec import CHECK_TYPES, CheckSpec
-from plumbline.operators.tablechecks import freshness, unique_counts
+from plumbline.operators.tablechecks import freshness, member_counts, unique_counts
 from plumbline.sources import workbench
 
 RESULT = "check_id int, check_type string, column_name string, severity string, rows_evaluated bigint, violation_count bigint, status string, detail string"
 
 
 Given = DataFrame | None
+#: Accepted values beyond this number are joined as a table.
+LONG_LIST = 1000
 
 
 def _kind(df: DataFrame, spec: CheckSpec) -> str | None:
     return next((column_kind(f.dataType) for f in df.schema.fields if f.name == spec.column), None)
 
 
+def by_dictionary(spec: CheckSpec) -> bool:
+    """Whether a check compares with a table of values: a long list in an expression would be compiled into every task."""
+    return spec.check_type == "accepted_values" and (spec.params.get("values_from") is not None or len(spec.params["values"]) > LONG_LIST)
+
+
+def dictionary(df: DataFrame, spec: CheckSpec, given: Given) -> DataFrame:
+    """The accepted values as a table: the given one (``values_from``), or the list."""
+    if spec.params.get("values_from") is not None:
+        return _needed(given)
+    return df.sparkSession.createDataFrame([(v,) for v in spec.params["values"]], ["value"])
+
+
 def row_predicate(df: DataFrame, spec: CheckSpec) -> tuple[Column, Column | None] | None:
     """Where a row violates a row check, and where its cell cannot be judged; None for other checks.
 
@@ -36,6 +50,8 @@ def row_predicate(df: DataFrame, spec: CheckSpec) -> tuple[Column, Column | None
     that do not fit becomes an error of its own.
     """
     value, kind, params = F.col(f"`{spec.column}`"), _kind(df, spec), spec.params
+    if by_dictionary(spec):
+        return None
     if spec.check_type == "range" and kind == "string" and not any(isinstance(params.get(p), str) for p in ("min", "max")):
         number = value.try_cast("double")
         low, high = params.get("min"), params.get("max")
@@ -67,6 +83,11 @@ def _fused(df: DataFrame, spec: CheckSpec, as_of: datetime | None) -> tuple[Colu
     return None
 
 
+def _members(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
+    """``given`` is the table of accepted values, its first column."""
+    return member_counts(df, spec.column, dictionary(df, spec, given), spec.params.get("case_sensitive", True))
+
+
 def _unique(df: DataFrame, spec: CheckSpec, given: Given, as_of: datetime | None) -> DataFrame:
     return unique_counts(df, spec.column)
 
@@ -136,7 +157,7 @@ def _needed(given: Given) -> DataFrame:
 
 #: Check types that take a pass of their own. Each returns one row with ``violation_count``.
 ALONE: dict[str, Callable[[DataFrame, CheckSpec, Given, datetime | None], DataFrame]] = {
-    "unique": _unique, "schema_contract": _contract, "schema_change": _schema_change, "distribution_drift": _drift, "ml_outlier": _outliers, "row_count_anomaly": _volume, "freshness": _freshness, "custom_sql": _sql,
+    "unique": _unique, "accepted_values": _members, "schema_contract": _contract, "schema_change": _schema_change, "distribution_drift": _drift, "ml_outlier": _outliers, "row_count_anomaly": _volume, "freshness": _freshness, "custom_sql": _sql,
 }
 
 

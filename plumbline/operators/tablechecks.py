@@ -45,6 +45,33 @@ def duplicate_rows(df: DataFrame, column: str) -> DataFrame:
     return df.join(duplicate_groups(df, column).select(F.col(f"`{column}`").alias("_value")), F.col(f"`{column}`") == F.col("_value"), "left_semi")
 
 
+def _dictionary(allowed: DataFrame, case_sensitive: bool) -> DataFrame:
+    value = F.col(f"`{allowed.columns[0]}`")
+    return allowed.select((value if case_sensitive else F.lower(value.cast("string"))).alias("_value")).distinct()
+
+
+def member_counts(df: DataFrame, column: str, allowed: DataFrame, case_sensitive: bool = True) -> DataFrame:
+    """Rows whose value is in no row of ``allowed`` (its first column), and rows evaluated, in one row.
+
+    The column shrinks to its distinct values before the join, on the map side first, so a value held by a third of all
+    rows is one row; which side is broadcast, if any, the planner decides by size.
+    """
+    value = F.col(f"`{column}`")
+    counted = df.groupBy((value if case_sensitive else F.lower(value.cast("string"))).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    known = _dictionary(allowed, case_sensitive).withColumn("_known", F.lit(True))
+    judged = counted.join(known, "_value", "left")
+    unknown = F.col("_value").isNotNull() & F.col("_known").isNull()
+    return judged.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_evaluated"), F.coalesce(F.sum(F.when(unknown, F.col("_n"))), F.lit(0)).alias("violation_count"))
+
+
+def strangers(df: DataFrame, column: str, allowed: DataFrame, case_sensitive: bool = True) -> DataFrame:
+    """The rows behind ``member_counts``. NULL is no stranger."""
+    value = F.col(f"`{column}`")
+    kept = df.filter(value.isNotNull())
+    known = _dictionary(allowed, case_sensitive)
+    return kept.join(known, (value if case_sensitive else F.lower(value.cast("string"))) == F.col("_value"), "left_anti")
+
+
 def duplicate_samples(df: DataFrame, column: str, groups: int = 10) -> DataFrame:
     """All rows of the most duplicated values."""
     top = duplicate_groups(df, column).orderBy(F.desc("occurrences"), F.asc(f"`{column}`")).limit(groups)

@@ -287,6 +287,50 @@ def drift_ks_verdict(d: Data) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("statistic", "p_value")})
 
 
+def _prior_sql(now: int, before: int) -> str:
+    """The verdict of one run against the sample of another."""
+    return f"""select {now} as run_id, max(gap) as statistic, cast(sum(a) as bigint) as n_current, cast(sum(b) as bigint) as n_prior from (select a, b,
+      abs(sum(a) over (order by value) / sum(a) over () - sum(b) over (order by value) / sum(b) over ()) as gap
+      from (select value, sum(a) as a, sum(b) as b from (select value, 1 as a, 0 as b from s{now} union all select value, 0, 1 from s{before}) group by value))"""
+
+
+@query(
+    "drift_prior_runs",
+    "with "
+    + ", ".join(
+        f"s{n} as (select value + case when {n} = 3 and event_id % 3 = 0 then 60 else 0 end as value from events where value is not null and ts >= timestamp '{a}' and ts < timestamp '{b}' order by sha256(cast(event_id as varchar)), event_id limit 2000)"
+        for n, a, b in ((1, "2024-01-01", "2024-01-11"), (2, "2024-01-11", "2024-01-21"), (3, "2024-01-21", "2024-02-01"))
+    )
+    + f""" select 1::bigint as run_id, null::double as statistic, (select count(*) from s1) as n_current, 0::bigint as n_prior, 'baseline captured' as note
+    union all select run_id, round(statistic, 6), n_current, n_prior, null from ({_prior_sql(2, 1)}) union all select run_id, round(statistic, 6), n_current, n_prior, null from ({_prior_sql(3, 1)})""",
+)
+def drift_prior_runs(d: Data) -> DataFrame:
+    """Three runs, each against the sample that the newest run without an error left; the second one's result is an error."""
+    samples, history = d.values([], drift.SAMPLES), d.values([], "check_id int, run_id bigint, status string")
+    out = None
+    for n, a, b in ((1, datetime(2024, 1, 1), datetime(2024, 1, 11)), (2, datetime(2024, 1, 11), datetime(2024, 1, 21)), (3, datetime(2024, 1, 21), datetime(2024, 2, 1))):
+        moved = F.col("value") + F.when(F.lit(n == 3) & (F.col("event_id") % 3 == 0), 60).otherwise(0)
+        rows = d.events.filter((F.col("ts") >= moment(a)) & (F.col("ts") < moment(b))).withColumn("value", moved)
+        verdict, kept = drift.ks_against_prior(rows, "value", ["event_id"], 1, n, samples, history)
+        samples = samples.unionByName(kept)
+        history = history.unionByName(verdict.select("check_id", "run_id", F.when(F.col("run_id") == 2, "error").otherwise(F.col("status")).alias("status")))
+        out = verdict if out is None else out.unionByName(verdict)
+    return out.select("run_id", F.round("statistic", 6).alias("statistic"), "n_current", "n_prior", "note")
+
+
+@query(
+    "check_values_reference",
+    """select 1 as check_id, 'accepted_values' as check_type, count(*) as rows_evaluated, count(*) filter (where l_partkey not in (select p_partkey from part where p_size < 40)) as violation_count from lineitem
+    union all select 2, 'accepted_values', count(*), count(*) filter (where o_custkey > 1200 or o_custkey < 1) from orders""",
+)
+def check_values_reference(d: Data) -> DataFrame:
+    """Accepted values out of a table, and a list that is too long for an expression."""
+    small = d.table("part").filter(F.col("p_size") < 40).select("p_partkey")
+    first = suite.run_suite(d.table("lineitem"), [CheckSpec(1, "accepted_values", "l_partkey", {"values_from": "part"})], given={1: small})
+    second = suite.run_suite(d.table("orders"), [CheckSpec(2, "accepted_values", "o_custkey", {"values": list(range(1, 1201))})])
+    return first.unionByName(second).select("check_id", "check_type", "rows_evaluated", "violation_count")
+
+
 PAIRS = """pairs as (select dataset_id, day, lag(day) over (partition by dataset_id order by day) as before from (select distinct dataset_id, day from snapshot_columns)),
     cur as (select p.dataset_id, p.day, c.name, c.dtype, c.nullable, c.ordinal from pairs p join snapshot_columns c using (dataset_id, day) where before is not null),
     old as (select p.dataset_id, p.day, c.name, c.dtype, c.nullable, c.ordinal from pairs p join snapshot_columns c on c.dataset_id = p.dataset_id and c.day = p.before),

@@ -14,6 +14,7 @@ from plumbline.operators.spec import CheckSpec
 from plumbline.plans.feeds import AS_OF, Data, moment
 from plumbline.plans.feeds_sql import with_ctes
 from plumbline.plans.registry import query
+from plumbline.session import run_folder
 from plumbline.sources import readers, sinks, workbench
 
 
@@ -129,6 +130,21 @@ def snapshot_upsert(d: Data) -> DataFrame:
     return sinks.merged(old, new, ["user_id", "day"])
 
 
+@query(
+    "snapshot_upsert_buckets",
+    """with a as (select user_id, cast(ts as date) as day, count(*) as n, 'old' as origin from events where ts < timestamp '2024-01-20' group by 1, 2),
+    b as (select user_id, cast(ts as date) as day, count(*) as n, 'new' as origin from events where ts >= timestamp '2024-01-15' group by 1, 2)
+    select * from a where not exists (select 1 from b where b.user_id = a.user_id and b.day = a.day) union all select * from b""",
+)
+def snapshot_upsert_buckets(d: Data) -> DataFrame:
+    """The same merge into a state table laid out by key bucket, in two runs."""
+    path = f"{run_folder(d.spark, 'state')}/daily"
+    for rows, origin in ((d.events.filter(F.col("ts") < moment(datetime(2024, 1, 20))), "old"), (d.events.filter(F.col("ts") >= moment(datetime(2024, 1, 15))), "new")):
+        daily = rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit(origin))
+        sinks.upsert_buckets(path, daily, ["user_id", "day"], 16)
+    return d.spark.read.parquet(path).drop(sinks.BUCKET)
+
+
 @query(
     "jsonable_cells",
     """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, case when value <= 1 then null else value end as value,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.cells import flat_cell, spreadsheet_safe, unique_names
+from plumbline.session import stored
 
 
 
@@ -26,6 +28,38 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], new_pa
     merged(existing, incoming, keys).write.mode("errorifexists").parquet(new_path)
 
 
+#: The partition column of a state table, and its number of partitions.
+BUCKET, BUCKETS = "bucket", 64
+
+
+def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def upsert_buckets(path: str, incoming: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Merge rows into a state table laid out by key bucket; incoming rows win.
+
+    Only the buckets that incoming rows fall into are read and overwritten, so the cost follows the change, not the state.
+    The merge is written aside first: a bucket is replaced once its new rows are complete, and a run that is cut short can
+    be repeated. A table that does not exist yet is created.
+    """
+    spark = incoming.sparkSession
+    fresh = stored(incoming.withColumn(BUCKET, bucket_of(keys, buckets)), "upsert-incoming")
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # ``buckets`` numbers at most
+    try:
+        state = spark.read.parquet(path)
+    except AnalysisException as failure:
+        if failure.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        state = None
+    if state is not None:
+        old = state.filter(F.col(BUCKET).isin(touched))
+        fresh = stored(merged(old, fresh.select(*old.columns), keys), "upsert-merged")
+    # One task per bucket: a bucket's size is the state's, divided by their number.
+    dealt = fresh.repartition(buckets, BUCKET)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
 def replace_days(df: DataFrame, path: str, day: str) -> None:
     """Overwrite only the day partitions that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import incidents, runs, suite
+from plumbline.operators import contracts, drift, incidents, profile, propose, runs, suite
 from plumbline.operators.spec import CheckSpec
 
 AT = datetime(2024, 5, 1)
@@ -94,3 +94,69 @@ def test_incidents_run_by_run_equal_all_at_once(spark: SparkSession) -> None:
     whole = incidents.incident_state(incidents.incident_moves(all_runs))
     names = sorted(whole.columns)
     assert sorted(map(str, state.select(names).collect())) == sorted(map(str, whole.select(names).collect()))
+
+
+def test_long_lists_are_joined(people: DataFrame, spark: SparkSession) -> None:
+    """A third of the rows holds one value that is not accepted; NULL is never a stranger."""
+    rows = people.withColumn("name", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("name")))
+    listed = [r["name"] for r in people.select("name").distinct().collect() if r["name"]]
+    long = CheckSpec(1, "accepted_values", "name", {"values": listed + [f"x{i}" for i in range(suite.LONG_LIST)]})
+    table = CheckSpec(2, "accepted_values", "name", {"values_from": "names", "case_sensitive": False})
+    given = {2: spark.createDataFrame([(n.upper(),) for n in listed], "n string")}
+    got = {r["check_id"]: (r["rows_evaluated"], r["violation_count"]) for r in suite.run_suite(rows, [long, table], given=given).collect()}
+    want = rows.filter("name = 'hot'").count()
+    assert got == {1: (100, want), 2: (100, want)}
+    _, violations = runs.observed_run(rows, [long, table], AT, ["id"], given)
+    assert {r["check_id"]: r["count"] for r in violations.groupBy("check_id").count().collect()} == {1: want, 2: want}
+    assert suite.run_suite(rows, [CheckSpec(3, "accepted_values", "name", {"values_from": "names"})]).first()["status"] == "error"
+    with pytest.raises(ValueError, match="needs one of"):
+        CheckSpec(4, "accepted_values", "name", {"values": []})
+
+
+def test_a_run_reads_the_sample_of_the_run_before(spark: SparkSession) -> None:
+    frame = lambda shift: spark.range(500).select("id", (F.col("id") % 50 + shift).cast("double").alias("v"))
+    samples, history = spark.createDataFrame([], drift.SAMPLES), spark.createDataFrame([], "check_id int, run_id long, status string")
+    notes = []
+    for n, shift, status in ((1, 0, "pass"), (2, 1000, "error"), (3, 0, "pass"), (4, 1000, "fail")):
+        verdict, kept = drift.ks_against_prior(frame(shift), "v", ["id"], 1, n, samples, history)
+        row = verdict.first()
+        notes.append((row["note"], row["status"], row["n_prior"]))
+        samples, history = samples.unionByName(kept), history.unionByName(spark.createDataFrame([(1, n, status)], history.schema))
+    assert notes == [("baseline captured", "pass", 0), (None, "fail", 500), (None, "pass", 500), (None, "fail", 500)]
+
+
+def test_proposals_run(people: DataFrame) -> None:
+    """Each proposal is a check that the registry takes; a pattern, a closed domain and a contract hold on their own table."""
+    df = people.crossJoin(people.select(F.col("id").alias("copy")).filter("copy < 6")).select(
+        (F.col("id") * 6 + F.col("copy")).alias("row_id"), F.concat(F.lit("u"), F.col("id"), F.lit("@example.org")).alias("email"), (F.col("id") % 4).cast("string").alias("grade"), F.lit(AT).cast("timestamp_ntz").alias("created_at"),
+        F.col("age").cast("double").alias("amount"), (F.col("age") * F.col("copy")).alias("points"),
+    )
+    freq, name = profile.frequencies(df), F.lit("t").alias("table_name")
+    p99 = profile.numeric_quantiles(df, [0.99]).select(name, "column_name", F.col("q").alias("p99"))
+    top = profile.top_values(freq).groupBy("column_name").agg(F.collect_list("value").alias("values")).select(name, "*")
+    columns = propose.profiled(profile.column_facts(df).select(name, "*"), profile.distinct_counts(freq).select(name, "*"), p99, top)
+    knowledge = df.sparkSession.createDataFrame([("t", 12)], "table_name string, freshness_sla_hours int")
+    specs = propose.specs(propose.propose_checks(columns, knowledge=knowledge))["t"]
+    by = {(s.check_type, s.column): s for s in specs}
+    assert set(by[("accepted_values", "grade")].params["values"]) == {"0", "1", "2", "3"} and by[("regex_match", "email")].params["pattern"].startswith("^")
+    fresh = by[("freshness", "created_at")]
+    assert (fresh.severity, fresh.params["default_max_age_hours"], fresh.params["strategy"]) == ("error", 12, "adaptive")
+    assert by[("ml_outlier", None)].params["keys"] == ["row_id"] and by[("schema_contract", None)].params["expected_columns"][0] == {"name": "row_id", "dtype": "bigint"}
+    for hours, want in ((11, "pass"), (13, "fail")):
+        got = {(r["check_type"], r["column_name"]): r["status"] for r in suite.run_suite(df, [s for s in specs if s.check_type not in ("schema_change", "row_count_anomaly", "distribution_drift")], AT + timedelta(hours=hours)).collect()}
+        assert got.pop(("freshness", "created_at")) == want
+        got.pop(("ml_outlier", None))
+        assert set(got.values()) == {"pass"}
+
+
+def test_schema_clause(spark: SparkSession) -> None:
+    expected = [("Id", "BIGINT", False, True), ("gone", None, None, True), ("optional", None, None, False), ("kind", "string", None, True)]
+    fields = "array<struct<name:string,dtype:string,nullable:boolean,required:boolean>>"
+    rows = [(1, expected, True, True, False), (2, expected, False, False, True), (3, [], True, True, True), (4, None, True, True, True), (5, expected[3:], False, False, False)]
+    declared = spark.createDataFrame(rows, f"contract_id long, expected {fields}, compare_types boolean, enforce_nullable boolean, allow_extra boolean")
+    now = [("id", "bigint", True), ("kind", "int", True), ("more", "int", True)]
+    current = spark.createDataFrame([(i, now) for i in (1, 2, 3, 4)] + [(5, now[1:2])], "contract_id long, columns array<struct<name:string,dtype:string,nullable:boolean>>")
+    got = {r["contract_id"]: (r["clause_status"], r["problems"]) for r in contracts.schema_clauses(declared, current).collect()}
+    assert got[1] == ("breached", ["gone is missing", "kind has another type", "Id differs in nullability", "more is not declared"])
+    assert got[2] == ("breached", ["gone is missing"])
+    assert got[3] == got[4] == ("unknown", []) and got[5] == ("pass", [])

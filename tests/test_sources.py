@@ -98,3 +98,19 @@ def test_text_functions(spark: SparkSession) -> None:
     assert [r for r in df.select(text.duration_hours(F.col("raw")).alias("h"), "hours").collect() if r["h"] != r["hours"]] == []
     row = spark.range(1).select(text.slug(F.lit(" Héllo, World! ")).alias("a"), text.slug(F.lit("--"), F.lit("x")).alias("b"), text.type_name(F.lit(" Big  INT ")).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == ("h-llo-world", "x", "big int")
+
+
+def test_an_upsert_touches_the_buckets_of_its_rows(spark: SparkSession, tmp_path: Path) -> None:
+    path = str(tmp_path / "state")
+    sinks.upsert_buckets(path, spark.range(1000).select("id", F.lit("old").alias("v")), ["id"], 8)
+    files = lambda: {p.relative_to(path): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    before = files()
+    few = spark.createDataFrame([(3, "new"), (5000, "new")], "id long, v string")
+    touched = {r["b"] for r in few.select(sinks.bucket_of(["id"], 8).alias("b")).collect()}
+    sinks.upsert_buckets(path, few, ["id"], 8)
+    after = files()
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if int(f.parts[0].split("=")[1]) not in touched}
+    rows = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 1001 and rows[3] == rows[5000] == "new" and rows[4] == "old"
+    sinks.upsert_buckets(path, few.limit(0), ["id"], 8)
+    assert spark.read.parquet(path).count() == 1001

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from plumbline.operators import incidents, insights, joins, lineage, ordered, reconcile, scorecards, sla
+from plumbline.operators import exceptions, incidents, insights, joins, lineage, ordered, reconcile, scorecards, sla
 from plumbline.plans.feeds import moment
 from plumbline.session import run_folder, stored
 from plumbline.streaming import incidents as stream_incidents
@@ -333,3 +333,28 @@ def test_notifications_of_a_flapping_check(spark: SparkSession, one_hot_day: Dat
         got = [(r["check_id"], r["run_id"], r["action"]) for r in sent.collect()]
         assert set(got) == want and len(got) == len(want)
     assert "Python" not in sent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_by_position_equal_pages_by_offset(spark: SparkSession) -> None:
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, 1, 2, None, 7]), rng.choice(["error", "warn", "info", None])) for i in range(200)]
+    listed = spark.createDataFrame(rows, "exception_id long, occurrence_count long, severity string")
+    for sort in exceptions.SORTS:
+        after, seen = None, []
+        while page := exceptions.seek(listed, sort, after, 30).collect():
+            seen += [r["exception_id"] for r in page]
+            after = page[-1]["position"]
+        assert seen == [r["exception_id"] for r in exceptions.page(listed.na.fill(0, ["occurrence_count"]), sort, 0, 500).collect()]
+
+
+def test_filters_by_name(spark: SparkSession) -> None:
+    row = (1, 5, 7, "open", 2, START, START, "Late Row", None, "check a", "range", "error", 3)
+    names = "exception_id long, dataset_id long, check_id long, status string, occurrence_count long, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, reason string, note string, check_name string, check_type string, severity string, assigned_to_id long"
+    listed = spark.createDataFrame([row], names)
+    hit = lambda **f: exceptions.filter_exceptions(listed, as_of=START + timedelta(hours=5), **f).count()
+    assert all(hit(**f) for f in ({}, {"dataset_id": 5}, {"status": ["open"]}, {"assignee": "3"}, {"recurrence": "new"}, {"recurrence": "recurring"}, {"text": "LATE"}, {"status": [], "text": ""}, {"assignee": "me", "user_id": 3}))
+    assert not any(hit(**f) for f in ({"check_id": 8}, {"severity": ["warn"]}, {"assignee": "none"}, {"seen_since": START + timedelta(days=1)}, {"assignee": "me", "user_id": 4}))
+    scope = spark.createDataFrame([(5,), (5,)], "dataset_id long")
+    assert exceptions.filter_exceptions(listed, scope, as_of=START).count() == 1 and exceptions.filter_exceptions(listed, scope.filter("dataset_id = 6"), as_of=START).count() == 0
+    with pytest.raises(KeyError):
+        hit(colour="red")
