@@ -134,7 +134,7 @@ def test_lm_base_and_model(spark: SparkSession) -> None:
 
 
 def test_lm_learns_from_every_training_window(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
-    """Each token of each training text, also of texts of one window and of copies, is a target of a round."""
+    """Each token of each training text, also of texts of one window and of copies, is a target once."""
     texts = [cases.prose(i, 3) for i in range(40)] + ["one two"] * 5 + [cases.prose(99, 300), "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     given: list[tuple] = []
@@ -144,11 +144,22 @@ def test_lm_learns_from_every_training_window(spark: SparkSession, monkeypatch:
     seen: list[np.ndarray] = []
     monkeypatch.setattr(attention, "train", lambda w, windows, rate, seed: seen.append(windows) or w)
     list(lmscore._trainer(weights, begin, 0.01, 0)(iter(rows.select("data").toArrow().to_batches())))
+    dealt = [rows.filter(f"pmod(xxhash64(id, data), {lmscore.ROUNDS}) = {turn}").count() for turn in range(lmscore.ROUNDS)]
+    assert sum(dealt) == rows.count() and min(dealt) > 0
     learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
     lengths = np.array([len(x) for x in ids_of([" " + t if t else "" for t in learned], 0)])
-    of, at = attention.window_starts(lengths)
     windows = np.concatenate(seen)
-    assert len(windows) == len(at) and (windows[:, 1:] >= 0).sum() == np.minimum(attention.WINDOW, lengths[of] - at).sum()
+    assert len(windows) == -(-lengths // attention.WINDOW).sum() and (windows[:, 1:] >= 0).sum() == lengths.sum()
+
+
+def test_training_is_worth_it(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Held-out texts become more likely by training, by a tenth of a decade a token at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trained = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in lmscore.scores(docs).filter("held_out").collect()}
+    monkeypatch.setattr(lmscore, "learn", lambda texts, weights, begin: lmscore.Language(weights, begin))
+    before = {r["doc_id"]: r["score"] for r in lmscore.scores(docs).filter("held_out").collect()}
+    gain = sum(s - before[i] for i, (s, _) in trained.items()) / sum(n for _, n in trained.values())
+    assert trained.keys() == before.keys() and gain > 0.1
 
 
 def test_a_token_past_the_first_window_sees_nine_tokens_or_more() -> None:
@@ -166,8 +177,13 @@ def test_a_token_past_the_first_window_sees_nine_tokens_or_more() -> None:
 
 
 def test_attention_is_a_distribution_and_learns() -> None:
-    vocabulary = attention.vocabulary(np.random.default_rng(0).integers(0, 50, 500))
-    assert np.isclose(sum(10 ** vocabulary.shares[vocabulary.classes == c].sum() if False else (10 ** vocabulary.shares[vocabulary.classes == c]).sum() for c in range(attention.CLASSES)), attention.CLASSES)
+    pairs = np.zeros((attention.BEFORE, 500), np.int64)
+    pairs[:3] = np.random.default_rng(0).integers(0, 50, (3, 500))
+    vocabulary = attention.vocabulary(pairs)
+    for kind in (0, 2, 100):
+        sums = np.bincount(vocabulary.classes, 10.0 ** vocabulary.shares[kind], attention.CLASSES)
+        assert np.allclose(sums, 1, atol=1e-4)
+    assert attention.before(np.array([5, 6, 5, 6, 7]), np.array([0, 2])).tolist()[::2] == [0, 0, attention.before(np.array([6, 7]), np.array([0]))[1]]
     weights = attention.initial(vocabulary.frequency)
     ends = [attention.score(weights, np.array([c]), np.array([0, 1]), 0)[0] for c in range(attention.CLASSES)]
     assert np.isclose(sum(10**e for e in ends), 1, atol=1e-4)
