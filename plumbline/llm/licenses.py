@@ -11,6 +11,7 @@ Short phrases must be covered wholly and on one diagonal. The templates are a fi
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,11 +73,28 @@ def _hash(size: int, words: list[Column]) -> Column:
     return F.xxhash64(F.lit(size), *words)
 
 
+#: Words of a template that one number marks, a bit each.
+LANE = 32
+
+
+def _lanes() -> list[str]:
+    """The columns that mark a template's words."""
+    longest = max(g.grams + g.size - 1 for g in template_grams())
+    return [f"words_{i}" for i in range(-(-longest // LANE))]
+
+
+def _marks(gram: Gram) -> list[int]:
+    """For each lane, the bits of the words that a gram covers."""
+    words = ((1 << gram.size) - 1) << gram.place
+    return [words >> i * LANE & (1 << LANE) - 1 for i in range(len(_lanes()))]
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(template_grams(), "template int, label string, base boolean, grams int, tpos int, size int, gram string")
+    lanes = ", ".join(f"{name} long" for name in _lanes())
+    rows = spark.createDataFrame([(*g, *_marks(g)) for g in template_grams()], f"template int, label string, base boolean, grams int, tpos int, size int, gram string, {lanes}")
     terms = [F.get(F.split("gram", " "), F.lit(i)) for i in range(NOTICE_GRAM)]
     known = F.when(F.col("size") == PHRASE_GRAM, _hash(PHRASE_GRAM, terms[:PHRASE_GRAM])).otherwise(_hash(NOTICE_GRAM, terms))
-    ends = spark.createDataFrame([(-1, "", False, 0, 0, 0, "")], rows.schema).withColumn("hash", F.lit(_END))
+    ends = spark.createDataFrame([(-1, "", False, 0, 0, 0, "", *[0] * len(_lanes()))], rows.schema).withColumn("hash", F.lit(_END))
     return rows.withColumn("hash", known).union(ends)
 
 
@@ -99,7 +117,7 @@ def votes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     n = F.size("words")
     pos = F.when(F.col("size") == PHRASE_GRAM, F.col("at")).otherwise(F.col("at") - n)
     found = found.withColumns({"n_words": n, "pos": pos, "seen": F.array_join(F.slice("words", pos + 1, F.col("size")), " ")})
-    return found.filter((F.col("template") < 0) | (F.col("seen") == F.col("gram"))).select("id", "key", "n_words", "template", "label", "base", "grams", "tpos", "size", "pos")
+    return found.filter((F.col("template") < 0) | (F.col("seen") == F.col("gram"))).select("id", "key", "n_words", "template", "label", "base", "grams", "tpos", "size", "pos", *_lanes())
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,16 +130,16 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     of = ["id", "key", "n_words", "template", "label", "base", "grams"]
     found = votes(docs, id_column, text).repartition("id", "key")
     found = found.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("pos") - F.col("tpos")))
+    marked = [F.bit_or(lane).alias(lane) for lane in _lanes()]
     # Rows that repeat id and text come together here; the closing entry of each counts them.
-    lines = found.groupBy(*of, "size", "diagonal").agg(F.collect_set("tpos").alias("places"), F.max(F.col("pos") + F.col("size")).alias("stop"), F.count(F.when(F.col("template") < 0, 1)).alias("rows"))
+    lines = found.groupBy(*of, "size", "diagonal").agg(*marked, F.max(F.col("pos") + F.col("size")).alias("stop"), F.count(F.when(F.col("template") < 0, 1)).alias("rows"))
     along = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
     apart = F.col("base") | step.isNull() | (step > NEIGHBOURS)
     lines = lines.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    words = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
-    lines = lines.withColumn("places", F.array_distinct(words))
-    merged = lines.groupBy(*of, "size", "span").agg(F.min("diagonal").alias("start"), F.max("stop").alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.sum("rows").alias("rows"))
-    cover = F.when(F.col("grams") > 0, F.col("covered") / (F.col("grams") + F.col("size") - 1)).otherwise(0.0)
+    merged = lines.groupBy(*of, "size", "span").agg(F.min("diagonal").alias("start"), F.max("stop").alias("stop"), *marked, F.sum("rows").alias("rows"))
+    covered = reduce(Column.__add__, [F.bit_count(lane) for lane in _lanes()])
+    cover = F.when(F.col("grams") > 0, covered / (F.col("grams") + F.col("size") - 1)).otherwise(0.0)
     return merged.withColumn("cover", cover).select("id", "key", "n_words", "template", "label", "base", "start", "stop", "cover", "rows")
 
 
