@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -358,3 +359,82 @@ def test_filters_by_name(spark: SparkSession) -> None:
     assert exceptions.filter_exceptions(listed, scope, as_of=START).count() == 1 and exceptions.filter_exceptions(listed, scope.filter("dataset_id = 6"), as_of=START).count() == 0
     with pytest.raises(KeyError):
         hit(colour="red")
+
+
+class _Held:
+    """The state of one check in memory, as the state API gives it, with the number of calls."""
+
+    def __init__(self) -> None:
+        self.value, self.places, self.calls, self.timers, self.now = None, {}, 0, [], 0
+
+    def getValueState(self, name: str, schema: str) -> _Held:  # noqa: N802
+        return self
+
+    def getMapState(self, name: str, key: str, value: str) -> _Held:  # noqa: N802
+        return self
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self) -> int:  # noqa: N802
+        return self.now
+
+    def exists(self) -> bool:
+        self.calls += 1
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        self.calls += 1
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.calls, self.value = self.calls + 1, value
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        self.calls += 1
+        return key in self.places
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802
+        self.calls += 1
+        return self.places.get(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.calls, self.places[key] = self.calls + 1, value
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self.calls += 1
+        del self.places[key]
+
+    def keys(self) -> list[tuple]:
+        self.calls += 1
+        return list(self.places)
+
+
+def _released(times: list[int], cuts: list[int], batch: int) -> tuple[list[tuple], _Held]:
+    """Run and kind of the incident events of runs at these microseconds that fail in every third, over batches and watermarks."""
+    held, made = _Held(), []
+    processor = stream_incidents.IncidentProcessor()
+    processor.init(held)
+    rows = [(t, i, "fail" if i % 3 == 0 else "warn" if i % 3 == 1 else "pass") for i, t in enumerate(times)]
+    random.Random(5).shuffle(rows)
+    for k in range(0, len(rows), batch):
+        assert not list(processor.handleInputRows((1,), iter([pd.DataFrame(rows[k : k + batch], columns=["at", "run_id", "status"])]), held))
+    for cut in cuts:
+        held.now = cut // 1000
+        made += [(r.run_id, r.kind) for part in processor.handleExpiredTimer((1,), held, None) for r in part.itertuples()]
+    return made, held
+
+
+def test_a_check_that_runs_every_few_hours_waits_in_few_places() -> None:
+    times = [i * 8 * stream_incidents.HOUR for i in range(90)]
+    made, held = _released(times, [times[-1]], 90)
+    assert made == [(i, "opened" if i % 3 == 0 else "recovered") for i in range(90) if i % 3 != 1]
+    assert not held.places and held.calls <= 20
+
+
+def test_a_check_with_many_runs_waits_by_hour_and_leaves_nothing() -> None:
+    n = stream_incidents.BLOCK * 2
+    times = [(i - n // 2) * 60_000_000 for i in range(n)]  # one a minute, from before 1970 on
+    made, held = _released(times, [times[0], times[n // 3], times[n // 2], times[-1]], 3_000)
+    assert made == [(i, "opened" if i % 3 == 0 else "recovered") for i in range(n) if i % 3 != 1]
+    assert not held.places
