@@ -67,3 +67,12 @@ def status_as_of_days(runs: DataFrame, keys: Sequence[str], last_day: Column) ->
         .filter(F.col("_from") <= F.col("_upto"))
         .select(*keys, F.explode(F.sequence("_from", "_upto")).alias("day"), "status", "run_id")
     )
+
+
+#: Rows of which one task keeps the distinct ones.
+DISTINCT_ROWS = 500_000
+
+
+def distinct_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Distinct rows of a table of about ``rows`` rows, dealt out to as many tasks as it needs: a task's memory stays the same."""
+    return df.repartition(max(1, -(-rows // DISTINCT_ROWS)), *df.columns).distinct()

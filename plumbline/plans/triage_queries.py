@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import exceptions, incidents, insights, lineage, reconcile
+from plumbline.operators.joins import distinct_rows
 from plumbline.plans.feeds import AS_OF, Data, moment
 from plumbline.plans.feeds_sql import with_ctes
 from plumbline.plans.registry import query
@@ -303,8 +304,9 @@ def edges(d: Data) -> DataFrame:
     def arc(df: DataFrame, a: str, source: str, b: str, target: str) -> DataFrame:
         return df.select(F.concat(F.lit(f"{a}:"), F.col(source).cast("string")).alias("source"), F.concat(F.lit(f"{b}:"), F.col(target).cast("string")).alias("target"))
 
+    lines = d.table("lineitem").select("l_partkey", "l_orderkey")
     return (
-        arc(d.table("lineitem"), "part", "l_partkey", "order", "l_orderkey").distinct()
+        arc(distinct_rows(lines, lines.count()), "part", "l_partkey", "order", "l_orderkey")
         .unionByName(arc(d.table("orders"), "order", "o_orderkey", "customer", "o_custkey"))
         .unionByName(arc(d.table("customer"), "customer", "c_custkey", "nation", "c_nationkey"))
         .unionByName(arc(d.table("nation"), "nation", "n_nationkey", "region", "n_regionkey"))
@@ -351,19 +353,24 @@ COLUMN_SQL = """with recursive pairs as (select distinct l_suppkey as s, l_partk
 
 
 def column_edges(d: Data) -> DataFrame:
-    pairs = d.table("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p")).distinct()
-    placed = pairs.join(d.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(
+    """Parts of suppliers into those of their nations, and these into those of their regions. Keys are made distinct before they are written out as names."""
+    lines = d.table("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p"))
+    rows = lines.count()
+    placed = distinct_rows(lines, rows).join(d.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(
         d.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey"
     )
+    part = F.col("p").isNotNull()  # without a part neither end has a name: all such rows are one, kept among the first
+    supplied = distinct_rows(placed.select(*[F.when(part, F.col(c)).alias(c) for c in ("s_suppkey", "s_nationkey")], "p"), rows)
+    gathered = distinct_rows(placed.filter(part).select("s_nationkey", "n_regionkey", "p"), rows)
     name = lambda kind, key: F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"), F.lit(".part_"), F.col("p").cast("string"))
-    first = placed.select(name("supplier", "s_suppkey").alias("source"), name("nation", "s_nationkey").alias("target"))
-    second = placed.select(name("nation", "s_nationkey").alias("source"), name("region", "n_regionkey").alias("target"))
-    return first.unionByName(second).distinct()
+    first = supplied.select(name("supplier", "s_suppkey").alias("source"), name("nation", "s_nationkey").alias("target"))
+    second = gathered.select(name("nation", "s_nationkey").alias("source"), name("region", "n_regionkey").alias("target"))
+    return first.unionByName(second)
 
 
 @query("lineage_columns", COLUMN_SQL + " select substr(id, 1, length(id) - length(split_part(id, '.', -1)) - 1) as table_id, min(depth) as depth, count(*) as columns from nodes group by 1")
 def lineage_columns(d: Data) -> DataFrame:
-    arcs = column_edges(d)
+    arcs = stored(column_edges(d), "column-edges")
     return lineage.column_subgraph(arcs, arcs.agg(F.min("target").alias("id")), 2)[1]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.operators import exceptions, incidents, insights, joins, lineage, ordered, reconcile, scorecards, sla
-from plumbline.plans.feeds import moment
+from plumbline.plans import triage_queries
+from plumbline.plans.feeds import Data, moment
 from plumbline.session import run_folder, stored
 from plumbline.streaming import incidents as stream_incidents
 from plumbline.streaming import monitors
@@ -438,3 +440,26 @@ def test_a_check_with_many_runs_waits_by_hour_and_leaves_nothing() -> None:
     made, held = _released(times, [times[0], times[n // 3], times[n // 2], times[-1]], 3_000)
     assert made == [(i, "opened" if i % 3 == 0 else "recovered") for i in range(n) if i % 3 != 1]
     assert not held.places
+
+
+def test_edges_are_made_distinct_by_as_many_tasks_as_the_rows_need(spark: SparkSession, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Keys repeat and are null; no task holds more than a fixed number of rows."""
+    rng = random.Random(4)
+    some = lambda n: None if rng.random() < 0.1 else rng.randint(1, n)
+    lines = [(some(9), some(9), some(9)) for _ in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = [(s, s % 3) for s in range(1, 9)] + [(3, 0), (4, 2), (None, 1), (5, None)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    nations = [(0, 1), (1, 1), (2, None), (2, 2), (None, 1)]
+    spark.createDataFrame(nations, "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    want = set()
+    for _, p, s in lines:
+        for n in [n for k, n in suppliers if k == s is not None]:
+            for r in [r for k, r in nations if k == n is not None]:
+                want.add((p and f"supplier_{s}.part_{p}", p and f"nation_{n}.part_{p}"))
+                want.add((p and f"nation_{n}.part_{p}", p and r and f"region_{r}.part_{p}"))
+    monkeypatch.setattr(joins, "DISTINCT_ROWS", 50)
+    made = triage_queries.column_edges(Data(spark, str(tmp_path)))
+    got = [tuple(r) for r in made.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert made.rdd.getNumPartitions() == 2 * 600 // 50
