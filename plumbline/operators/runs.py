@@ -17,7 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.functions.fingerprint import row_fingerprint
+from plumbline.functions.fingerprint import packed, row_fingerprint, unpacked
 from plumbline.operators import incidents, outliers, reconcile, schemachecks, suite, tablechecks
 from plumbline.operators.rowchecks import reason
 from plumbline.operators.spec import CHECK_TYPES, CheckSpec
@@ -127,7 +127,7 @@ def observed_run(df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | No
     if rows is None:
         rows = spark.createDataFrame([], VIOLATIONS)
     else:
-        rows = stored(rows, "run-violations")
+        rows = stored(rows, "run-violations", "zstd")
         values = seen.get
     if "_rows" not in values:  # nothing is written, or a table without partitions runs no task that could be observed
         values = df.agg(*measures).first().asDict()
@@ -142,7 +142,7 @@ def observed_run(df: DataFrame, specs: Sequence[CheckSpec], as_of: datetime | No
             try:
                 own = _own_violations(df, spec, baseline, identity)
                 if own is not None:
-                    parts.append(stored(own, "run-violations"))
+                    parts.append(stored(own, "run-violations", "zstd"))
             except (PySparkException, Py4JError, ValueError, KeyError, TypeError) as failure:
                 line = (*line[:4], None, None, "error", suite._named(failure))
         lines.append(line)
@@ -169,9 +169,11 @@ def run_pipeline(
     spark = df.sparkSession
     owner = spark.createDataFrame([(s.check_id, s.dataset_id) for s in specs], "check_id int, dataset_id bigint")
     at = F.lit(started_at).cast("timestamp_ntz")
-    seen = violations.join(F.broadcast(owner), "check_id").withColumns({"run_id": F.lit(run_id).cast("bigint"), "seen_at": at, "position": F.xxhash64("row")})
-    known = reconcile.reconcile(state if state is not None else empty_state(df), seen)
-    after = stored(reconcile.auto_resolve(known, results), "run-state")
+    # Digests cross shuffles and are stored in binary; a sighting takes its place among its copies along, not its row.
+    short = violations.select("check_id", packed(F.col("fingerprint")).alias("fingerprint"), "reason", F.xxhash64("row").alias("position"))
+    seen = short.join(F.broadcast(owner), "check_id").withColumns({"run_id": F.lit(run_id).cast("bigint"), "seen_at": at})
+    before = (state if state is not None else empty_state(df)).withColumn("fingerprint", packed(F.col("fingerprint")))
+    after = stored(reconcile.auto_resolve(reconcile.reconcile(before, seen), results), "run-state", "zstd").withColumn("fingerprint", unpacked(F.col("fingerprint")))
     counts = reconcile.reconcile_counts(after)
     finished = results.join(F.broadcast(owner), "check_id").withColumns({"run_id": F.lit(run_id).cast("bigint"), "started_at": at})
     told = results.join(counts, "check_id", "left").na.fill(0, ["new_count", "suppressed_count", "regressed_count"])

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import fingerprint
 from plumbline.operators import contracts, drift, incidents, profile, propose, runs, suite
 from plumbline.operators.spec import CheckSpec
 
@@ -160,3 +161,19 @@ def test_schema_clause(spark: SparkSession) -> None:
     assert got[1] == ("breached", ["gone is missing", "kind has another type", "Id differs in nullability", "more is not declared"])
     assert got[2] == ("breached", ["gone is missing"])
     assert got[3] == got[4] == ("unknown", []) and got[5] == ("pass", [])
+
+
+def test_fingerprints_are_packed_and_violating_rows_stay_out_of_the_state(people: DataFrame, spark: SparkSession) -> None:
+    """Digests take half their letters in the stored state; other texts come back as they are."""
+    texts = ["ab" * 32, "AB" * 32, "a" * 31, "f1", "", "\u00e9", "0" * 64, "ab" * 16]
+    frame = spark.createDataFrame([(t,) for t in texts], "f string").select("f", fingerprint.packed(F.col("f")).alias("p"))
+    assert all(r["f"] == r["u"] for r in frame.withColumn("u", fingerprint.unpacked(F.col("p"))).collect())
+    assert frame.filter(F.octet_length("p") == 32).count() == 2
+    check = [CheckSpec(2, "range", "age", {"max": 95})]
+    one = runs.run_pipeline(people, check, 1, AT, identity=["id"])
+    stored = [spark.read.parquet(f).schema["fingerprint"].dataType.simpleString() for f in one.state.inputFiles()]
+    assert stored and set(stored) == {"binary"}
+    assert {r["fingerprint"] for r in one.state.collect()} == {r["fingerprint"] for r in one.violations.collect()}
+    odd = one.state.withColumn("fingerprint", F.concat(F.lit("x"), F.substring("fingerprint", 1, 9)))
+    two = runs.run_pipeline(people, check, 2, AT, odd.select(one.state.columns), one.incidents, ["id"])
+    assert {r["fingerprint"] for r in odd.collect()} <= {r["fingerprint"] for r in two.state.collect()} and two.state.count() == 2 * one.state.count()
