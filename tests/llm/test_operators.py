@@ -194,6 +194,46 @@ def test_attention_is_a_distribution_and_learns() -> None:
     assert attention.score(trained, pattern[:100], np.array([0, 100]), 5)[0] > before / 4
 
 
+def test_ids_of_words_stay_in_one_piece() -> None:
+    """A portion gives the ids of its words in one row; the rows that are shuffled by word hold no ids."""
+    known = encode.encoder(encode.byte_bpe(), 1000)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "held_out": [False, True], "text": ["tokens of many words of", "words unheard"]})
+    rows = [r for b in lmscore._portion_rows(batch, 7, known, 0) for r in b.to_pylist()]
+    words = sorted((r for r in rows if r["kind"] == "word"), key=lambda r: r["number"])
+    assert {r["word"]: r["n"] for r in words} == {"of": 2, "tokens": 1, "many": 1, "words": 1, "unheard": 0}
+    assert all(r["data"] is None for r in words)
+    (table,) = (r for r in rows if r["kind"] == "table")
+    ids = lmscore.unpacked(table["data"])
+    parts = np.split(ids[table["n"] :], np.cumsum(ids[: table["n"]])[:-1])
+    assert [p.tolist() for p in parts] == [known.tokenizer.encode(" " + r["word"], add_special_tokens=False).ids for r in words]
+
+
+@pytest.mark.parametrize("spread", [0.2, 4.0])
+def test_gradient_is_that_of_the_plain_formulas(spread: float) -> None:
+    """Against differences of the loss; with wide weights, powers leave single precision unless rows are shifted."""
+    rng = np.random.default_rng(3)
+    weights = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)) + rng.normal(0, spread, attention._ENDS[-1]).astype(np.float32)
+    x, y = rng.integers(0, attention.CLASSES, (2, 3, attention.WINDOW))
+    real = rng.random(y.shape) < 0.8
+    room = attention._Room(3)
+    attention.gradient(weights, y, x, real, room)  # what an earlier step left there does no harm
+
+    def loss(w: np.ndarray) -> float:
+        p = attention.views(w)
+        logits = attention._outward(p, attention._attend(p, x)[-1])[-1]
+        top = logits.max(axis=2)
+        like = np.take_along_axis(logits, y[..., None], axis=2)[..., 0] - top - np.log(np.exp(logits - top[..., None]).sum(axis=2))
+        return float(-like[real].mean())
+
+    got, slope = attention.gradient(weights, x, y, real, room)
+    assert np.isfinite(slope).all()
+    if spread < 1:
+        way = slope.astype(np.float64) / np.linalg.norm(slope)
+        exact = weights.astype(np.float64)
+        assert math.isclose(got, loss(exact), rel_tol=1e-4)
+        assert math.isclose((loss(exact + 1e-4 * way) - loss(exact - 1e-4 * way)) / 2e-4, float(slope @ way), rel_tol=1e-2)
+
+
 def test_each_token_is_scored_once_with_its_window() -> None:
     rng = np.random.default_rng(1)
     weights = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)) + rng.normal(0, 0.3, attention._ENDS[-1]).astype(np.float32)
